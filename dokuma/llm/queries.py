@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import abuse, confusables
+from . import abuse, confusables, overlap
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,14 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return confusables.groups(table(spark, d, "examples"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.found(table(spark, d, "examples"))
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.report(table(spark, d, "examples"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
