@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import abuse, confusables, overlap
+from . import abuse, confusables, overlap, privacy
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,14 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.report(table(spark, d, "examples"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return privacy.found(table(spark, d, "examples"))
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return privacy.redacted(table(spark, d, "examples"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
