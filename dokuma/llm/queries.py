@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import abuse, confusables, overlap, privacy
+from . import abuse, confusables, overlap, privacy, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,9 +52,33 @@ def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
     return privacy.redacted(table(spark, d, "examples"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return terms.found(table(spark, d, "examples"), table(spark, d, "token_instances"))
+
+
+def p5_terms(spark: SparkSession, d: str) -> DataFrame:
+    return terms.counted(table(spark, d, "examples"), table(spark, d, "token_instances"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
 
+TERMS_SQL = """
+with rec as (
+  select 'e' || ex_id as rid, gold_tokens from examples
+  union all
+  select 'i' || coalesce(cast(inst_id as varchar), ''), any_value(gold_tokens) from token_instances group by inst_id
+), t as (select rid, unnest(gold_tokens) as term from rec), n as (select count(*) as total from rec)
+select term, count(*) as occurrences, count(distinct rid) as records,
+       case when count(distinct rid) < 3 then 'rare'
+            when count(distinct rid) > 0.02 * (select total from n) then 'common' end as mark
+from t where term is not null and term <> '' group by term
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p5_terms": TERMS_SQL,
+        "p5_found": f"select term, mark from ({TERMS_SQL}) where mark is not null",
+    }
