@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import abuse, confusables, overlap, privacy, terms
+from . import abuse, confusables, leakage, overlap, privacy, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +60,14 @@ def p5_terms(spark: SparkSession, d: str) -> DataFrame:
     return terms.counted(table(spark, d, "examples"), table(spark, d, "token_instances"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.found(table(spark, d, "documents"), table(spark, d, "test_items"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.report(table(spark, d, "documents"), table(spark, d, "test_items"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
