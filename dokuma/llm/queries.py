@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import abuse, confusables, leakage, overlap, privacy, terms
+from . import abuse, confusables, leakage, overlap, privacy, terms, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,6 +68,14 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return leakage.report(table(spark, d, "documents"), table(spark, d, "test_items"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.found(table(spark, d, "documents"))
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.rates(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
