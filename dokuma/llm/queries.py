@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import abuse, confusables, leakage, overlap, privacy, terms, truncation
+from . import abuse, confusables, leakage, mixture, overlap, privacy, terms, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,6 +68,14 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return leakage.report(table(spark, d, "documents"), table(spark, d, "test_items"))
 
 
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.found(table(spark, d, "documents"))
 
