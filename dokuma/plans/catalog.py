@@ -6,11 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import records
+from ..session import table
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return records.found(table(spark, d, "raw_records"))
+
+
+def p6_typed(spark: SparkSession, d: str) -> DataFrame:
+    return records.typed(table(spark, d, "raw_records"))
+
+
 def queries() -> dict[str, Query]:
-    return {}
+    return {"p6_found": p6_found, "p6_typed": p6_typed}
 
 
 def oracle_sql() -> dict[str, str]:
