@@ -1,28 +1,856 @@
-"""All core queries with the SQL that gives the same rows."""
+"""All core queries with the SQL that gives the same rows.
+
+A query without SQL is one that SQL can't say (reversible masks, greedy phrase merging, fitted models) or where the two
+engines' primitives differ; those are tested against brute force in tests/.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import records
+from ..functions import chars, masks
+from ..operators import corpus, evaluate, features, graph, normalize, records, sentences, stem, tokenize
 from ..session import table
+from ..sources import readers
+from . import pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__.strip("_")] = f
+        if sql:
+            _SQL[f.__name__.strip("_")] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# SQL pieces -------------------------------------------------------------------------------------------------------
+
+
+def _trl(x: str) -> str:
+    return f"lower(translate({x}, 'İIÜŞÖÇĞ', 'iıüşöçğ'))"
+
+
+def _ii(x: str) -> str:
+    return f"lower(translate({x}, 'Iİ', 'ıi'))"
+
 
+def _plain(x: str) -> str:
+    return f"translate({x}, '{chars.MARKED}', '{chars.PLAIN}')"
 
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
+
+def _upper_first(x: str) -> str:
+    g = lambda k: rf"regexp_extract({x}, '(?s)^(\P{{L}}*)(\p{{L}})(.*)$', {k})"
+    return rf"case when regexp_matches({x}, '\p{{L}}') then {g(1)} || upper(translate({g(2)}, 'iı', 'İI')) || {g(3)} else {x} end"
+
+
+_WS = r"[\s\x0b\x{85}\p{Z}]+"
+_WST = lambda x: f"list_filter(regexp_split_to_array({x}, '{_WS}'), lambda t: t <> '')"
+_SAN = lambda x: f"replace(translate({x}, chr(8217)||chr(8216)||chr(8220)||chr(8221)||chr(8211)||chr(8212)||chr(160)||chr(8203)||chr(8204)||chr(8205)||chr(65279), chr(39)||chr(39)||'\"\"-- '), chr(8230), '...')"
+_CONLLU = "(select distinct * from conllu_tokens where form is not null and id is not null)"
+_TOKENS = "(select distinct t as token from (select unnest(gold_tokens) as t from examples) where t is not null and t <> '')"
+
+
+def _tokens(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "examples").select(F.explode("gold_tokens").alias("token"))
+    return t.where("token is not null and token <> ''").distinct()
+
+
+def _conllu(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conllu_tokens").where("form is not null and id is not null").distinct()
+
+
+def _sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Treebank rows as (ex_id, sentence, pos, token)."""
+    t = _conllu(spark, d).groupBy("ex_id", "id").agg(F.min("form").alias("token"))
+    return t.select("ex_id", F.lit(0).alias("sentence"), F.col("id").alias("pos"), "token")
+
+
+_SENT = "(select ex_id, id as pos, min(form) as token from conllu_tokens where form is not null and id is not null group by ex_id, id)"
+
+
+# problem 6 --------------------------------------------------------------------------------------------------------
+
+
+@query()
+def p6_found(spark, d):
     return records.found(table(spark, d, "raw_records"))
 
 
-def p6_typed(spark: SparkSession, d: str) -> DataFrame:
+@query()
+def p6_typed(spark, d):
     return records.typed(table(spark, d, "raw_records"))
 
 
-def queries() -> dict[str, Query]:
-    return {"p6_found": p6_found, "p6_typed": p6_typed}
+# characters -------------------------------------------------------------------------------------------------------
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+@query(
+    f"select ex_id, {_trl('raw_text')} as lower_tr, {_ii('raw_text')} as lower_ii, replace(lower(translate(raw_text, 'İ', 'i')), 'ß', 'ss') as folded from examples"
+)
+def tr_lower(spark, d):
+    c = F.col("raw_text")
+    return table(spark, d, "examples").select("ex_id", chars.tr_lower(c).alias("lower_tr"), chars.tr_lower(c, "ii").alias("lower_ii"), chars.tr_lower(c, "casefold").alias("folded"))
+
+
+@query(f"select ex_id, {_upper_first('raw_text')} as capitalised from examples")
+def upper_first(spark, d):
+    return table(spark, d, "examples").select("ex_id", chars.tr_upper_first(F.col("raw_text")).alias("capitalised"))
+
+
+@query(f"select doc_id, {_plain('text')} as plain from documents")
+def strip_diacritics(spark, d):
+    return table(spark, d, "documents").select("doc_id", chars.strip_diacritics(F.col("text")).alias("plain"))
+
+
+@query(f"select ex_id, {_SAN('raw_text')} as sanitized, trim(regexp_replace({_SAN('raw_text')}, '{_WS}', ' ', 'g')) as compact from examples")
+def sanitize(spark, d):
+    s = chars.sanitize(F.col("raw_text"))
+    return table(spark, d, "examples").select("ex_id", s.alias("sanitized"), chars.compact_ws(s).alias("compact"))
+
+
+@query(r"""select ex_id, regexp_replace(regexp_replace(raw_text, '\s*''\s*', '''', 'g'), '([.,!?;:])([^\s"])', '\1 \2', 'g') as spaced from examples""")
+def fix_spacing(spark, d):
+    return table(spark, d, "examples").select("ex_id", chars.fix_spacing(F.col("raw_text"), protect_ellipsis=False).alias("spaced"))
+
+
+@query(
+    """select ex_id, list_reduce(list_concat([''], string_split(raw_text, '')), lambda a, x: case when right(a, 2) = x || x then a else a || x end) as shrunk,
+    list_reduce(list_concat([''], string_split(raw_text, '')), lambda a, x: case when right(a, 1) = x then a else a || x end) as single
+    from examples where raw_text is not null and not contains(raw_text, chr(10))"""
+)
+def shrink_runs(spark, d):
+    c = F.col("raw_text")
+    rows = table(spark, d, "examples").where(c.isNotNull() & ~c.contains("\n"))
+    return rows.select("ex_id", chars.shrink_runs(c, 2, False).alias("shrunk"), chars.shrink_repetitions_to(c, 1).alias("single"))
+
+
+@query(
+    r"""with c as (select unnest(string_split(raw_text, '')) as ch from examples where raw_text is not null)
+    select category, count(*) as n from (select case when regexp_matches(ch, '^[\s\x0b\p{Z}]$') then 'WS' when regexp_matches(ch, '^\p{L}$') then 'L'
+    when regexp_matches(ch, '^\p{Nd}$') then 'D' when regexp_matches(ch, '^\p{P}$') then 'P' else 'O' end as category from c where ch <> '') group by category"""
+)
+def char_categories(spark, d):
+    c = table(spark, d, "examples").select(F.explode(F.split("raw_text", "")).alias("ch")).where("ch <> ''")
+    return c.groupBy(chars.char_category(F.col("ch")).alias("category")).agg(F.count("*").alias("n"))
+
+
+@query(
+    rf"""select token, regexp_matches(token, '^\P{{L}}*\p{{Ll}}') as starts_lower, not regexp_matches(token, '[\p{{Lu}}\p{{Lt}}\p{{Lm}}\p{{Lo}}]') as all_lower,
+    regexp_matches(token, '\p{{Lu}}') and not regexp_matches(token, '[\p{{Ll}}\p{{Lt}}\p{{Lm}}\p{{Lo}}]') and length(token) <= 8 as acronym,
+    regexp_matches(token, '^\P{{L}}*\p{{Lu}}') and regexp_matches(token, '[\p{{Ll}}\p{{Lt}}\p{{Lm}}\p{{Lo}}]') as proper from {_TOKENS}"""
+)
+def word_shapes(spark, d):
+    t = F.col("token")
+    return _tokens(spark, d).select(
+        "token", chars.starts_lower(t).alias("starts_lower"), chars.is_all_lower(t).alias("all_lower"), chars.is_acronym(t).alias("acronym"), chars.is_proper_case(t).alias("proper")
+    )
+
+
+@query(f"select token, left(token, length(token) - 1) || translate(right(token, 1), 'bcdgğ', 'pçtkk') as devoiced from {_TOKENS}")
+def final_devoicing(spark, d):
+    return _tokens(spark, d).select("token", chars.final_devoicer(F.col("token")).alias("devoiced"))
+
+
+@query(
+    r"""select ex_id, trim(regexp_replace(raw_text, '\s*\(.*?\)\s*', '', 'g')) as title,
+    replace(trim(regexp_replace(raw_text, '[^\p{L}\p{N}_\- ]+', '', 'g')), ' ', '_') as filename from examples"""
+)
+def title_forms(spark, d):
+    c = F.col("raw_text")
+    return table(spark, d, "examples").select("ex_id", chars.clean_title(c).alias("title"), chars.safe_filename(c).alias("filename"))
+
+
+@query(
+    rf"""with a as (select ex_id, trim(regexp_replace(regexp_replace(regexp_replace({_trl("trim(translate(gold_text, '_', ' '))")}, '''?d[ae]ki($|[^\p{{L}}])', '\1', 'g'),
+    'ndeki($|[^\p{{L}}])', '\1', 'g'), '\s{{2,}}', ' ', 'g')) as c from examples)
+    select ex_id, case when contains(c, ' ') then trim(regexp_replace(c, '(ları|leri)$', '')) else c end as category from a"""
+)
+def category_forms(spark, d):
+    return table(spark, d, "examples").select("ex_id", chars.clean_category(F.col("gold_text")).alias("category"))
+
+
+@query(
+    rf"""with t as (select distinct unnest({_WST('raw_text')}) as token from examples where raw_text is not null), m as (select token, regexp_matches(token, '^(\p{{P}}+)?([\p{{L}}\p{{N}}]+)(\p{{P}}+)?$') as w from t)
+    select token, case when w then regexp_extract(token, '^(\p{{P}}+)?([\p{{L}}\p{{N}}]+)(\p{{P}}+)?$', 1) else '' end as lead, case when w then regexp_extract(token, '^(\p{{P}}+)?([\p{{L}}\p{{N}}]+)(\p{{P}}+)?$', 2) else token end as core,
+    case when w then regexp_extract(token, '^(\p{{P}}+)?([\p{{L}}\p{{N}}]+)(\p{{P}}+)?$', 3) else '' end as trail, regexp_replace(token, '^\p{{P}}+|\p{{P}}+$', '', 'g') as stripped from m"""
+)
+def split_core(spark, d):
+    t = table(spark, d, "examples").select(F.explode(chars.ws_tokens(F.col("raw_text"))).alias("token")).distinct()
+    return t.select("token", chars.split_core(F.col("token")).alias("c"), chars.edge_strip(F.col("token")).alias("stripped")).select("token", "c.*", "stripped")
+
+
+@query(
+    rf"""with p as (select distinct {_plain('raw')} as a, {_plain('gold')} as b from noisy_pairs where raw is not null and gold is not null),
+    x as (select a, b, levenshtein(lower(a), lower(b)) as d from p where not regexp_matches(a || b, '[^\x00-\x7F]'))
+    select a, b, cast(d as int) as distance, levenshtein(a, b) <= 1 as within_one, cast(case when levenshtein(a, b) <= 2 then levenshtein(a, b) else 3 end as int) as estimate from x"""
+)
+def edit_distances(spark, d):
+    p = table(spark, d, "noisy_pairs").where("raw is not null and gold is not null")
+    p = p.select(chars.strip_diacritics(F.col("raw")).alias("a"), chars.strip_diacritics(F.col("gold")).alias("b")).distinct().where(~F.concat("a", "b").rlike(r"[^\x00-\x7F]"))
+    a, b = F.col("a"), F.col("b")
+    return p.select("a", "b", chars.edit_distance(a, b).alias("distance"), chars.within_edits(a, b, 1).alias("within_one"), chars.edit_estimate(a, b).alias("estimate"))
+
+
+@query(
+    """select source, least(64, cast(pow(2, length(regexp_replace(translate(source, 'I', 'i'), '[^cgosui]', '', 'g'))) as int)) as variants
+    from (select distinct lower(source) as source from lexicon where source is not null)"""
+)
+def diacritic_variants(spark, d):
+    s = table(spark, d, "lexicon").where("source is not null").select(F.lower("source").alias("source")).distinct()
+    return s.select("source", F.size(chars.diacritic_variants(F.col("source"))).alias("variants"))
+
+
+@query()
+def spoken_forms(spark, d):
+    t = table(spark, d, "noisy_pairs").where("raw is not null").select(F.col("raw").alias("token")).distinct()
+    c = F.col("token")
+    return t.select("token", chars.apply_replacements(c).alias("replaced"), chars.accent_normalize(c).alias("accent"), chars.restore_vowels(c).alias("vowels"))
+
+
+@query()
+def nfkc_text(spark, d):
+    c = F.col("raw_text")
+    return table(spark, d, "examples").select("ex_id", chars.normalize_unicode(c).alias("unicode"), chars.clean(c).alias("clean"))
+
+
+@query(r"""select ex_id, regexp_replace(raw_text, '@([A-Za-z_]+)\[([^\]]*)\]', '\2', 'g') as stripped from examples""")
+def strip_tags(spark, d):
+    return table(spark, d, "examples").select("ex_id", chars.strip_itu_tags(F.col("raw_text")).alias("stripped"))
+
+
+@query("select ex_id, array_to_string(list_filter(gold_tokens, lambda t: t is not null), ' ') as joined from examples where gold_tokens is not null")
+def join_tokens(spark, d):
+    return table(spark, d, "examples").where("gold_tokens is not null").select("ex_id", chars.join_simple(F.col("gold_tokens")).alias("joined"))
+
+
+@query()
+def detokenized(spark, d):
+    return table(spark, d, "examples").where("gold_tokens is not null").select("ex_id", chars.detok(F.col("gold_tokens")).alias("text"))
+
+
+@query(
+    f"""with t as (select ex_id, {_WST('raw_text')} as a, {_WST('gold_text')} as b from examples where raw_text is not null and gold_text is not null),
+    z as (select ex_id, list_transform(list_zip(a, b), lambda x: case when coalesce(x[1], '∅') = coalesce(x[2], '∅') then x[1] else '[' || coalesce(x[1], '∅') || ' -> ' || coalesce(x[2], '∅') || ']' end) as p from t)
+    select ex_id, array_to_string(p, ' ') as diff from z"""
+)
+def inline_diff(spark, d):
+    e = table(spark, d, "examples").where("raw_text is not null and gold_text is not null")
+    return e.select("ex_id", chars.inline_diff(F.col("raw_text"), F.col("gold_text")).alias("diff"))
+
+
+# masks ------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    r"""select ex_id, len(regexp_extract_all(raw_text, '(?i)\bhttps?://\S+')) as url, len(regexp_extract_all(raw_text, '(?i)\b[\w.\-+%]+@[\w.\-]+\.[A-Za-z]{2,}\b')) as email
+    from examples where raw_text is not null"""
+)
+def mask_counts(spark, d):
+    e = table(spark, d, "examples").where("raw_text is not null").select("ex_id", masks.counts(F.col("raw_text")).alias("m"))
+    return e.select("ex_id", F.col("m.url").cast("long").alias("url"), F.col("m.email").cast("long").alias("email"))
+
+
+@query()
+def masked_text(spark, d):
+    e = table(spark, d, "examples").select("ex_id", masks.mask(F.col("raw_text")).alias("m"))
+    return e.select("ex_id", "m.text", F.size("m.masks").alias("masks"))
+
+
+@query("select ex_id, true as restored from examples where raw_text is not null")
+def mask_roundtrip(spark, d):
+    e = table(spark, d, "examples").where("raw_text is not null").select("ex_id", "raw_text", masks.mask(F.col("raw_text")).alias("m"))
+    return e.select("ex_id", (masks.unmask(F.col("m.text"), F.col("m.masks")) == F.col("raw_text")).alias("restored"))
+
+
+# tokens and sentences ---------------------------------------------------------------------------------------------
+
+_PROTECT = lambda x, s, e: f"replace(replace(regexp_replace(regexp_replace({x}, '(\\d){e}', '\\1' || chr(2), 'g'), '{e}(\\d)', chr(2) || '\\1', 'g'), '{s}', ' {s} '), chr(2), '{s}')"
+_SPACED = "regexp_replace(replace({t}, '...', ' ' || chr(1) || ' '), '([?!;(){{}}\\[\\]])', ' \\1 ', 'g')".format(t="raw_text")
+for _s, _e in ((",", ","), (":", ":"), (".", r"\.")):
+    _SPACED = _PROTECT(_SPACED, _s, _e)
+_SPACED = f"replace(trim(regexp_replace(regexp_replace({_SPACED}, '([\"“”«»])', ' \\1 ', 'g'), '{_WS}', ' ', 'g')), chr(1), '...')"
+
+
+@query(f"select ex_id, {_SPACED} as spaced from examples")
+def spaced_text(spark, d):
+    return table(spark, d, "examples").select("ex_id", tokenize.add_spaces(F.col("raw_text")).alias("spaced"))
+
+
+@query(f"select ex_id, array_to_string({_WST(_SPACED)}, '|') as tokens from examples where raw_text is not null")
+def plain_tokens(spark, d):
+    e = table(spark, d, "examples").where("raw_text is not null")
+    return e.select("ex_id", F.array_join(tokenize.rule_tokens(F.col("raw_text"), copulas=False), "|").alias("tokens"))
+
+
+_LOW = "lower(translate(token, 'İ', 'i'))"
+
+
+@query(
+    f"""with t as (select token, {_LOW} as low, length(token) as n from (select distinct unnest({_WST(_SPACED)}) as token from examples where raw_text is not null) where not contains(token, 'İ'))
+    select token, case when regexp_matches(low, '(acak|ecek)(tı|ti|tu|tü)$') then left(token, n - 2) || '+' || right(token, 2)
+    when regexp_matches(low, '(ymiş|yken)$') and n > 5 then left(token, n - 4) || '+' || right(token, 4)
+    when regexp_matches(low, 'ydi$') and n > 4 then left(token, n - 3) || '+' || right(token, 3)
+    when regexp_matches(low, 'bilirdik$') then left(token, n - 3) || '+' || right(token, 3)
+    when regexp_matches(low, '{tokenize.COPULA}') and not regexp_matches(low, '{tokenize.VERB_ENDING}') and n >= 5 and regexp_matches(left(token, n - 3), '{tokenize.VOWELS}') then left(token, n - 3) || '+' || right(token, 3)
+    else token end as parts from t"""
+)
+def copula_split(spark, d):
+    t = table(spark, d, "examples").select(F.explode(tokenize.rule_tokens(F.col("raw_text"), copulas=False)).alias("token")).distinct().where(~F.col("token").contains("İ"))
+    return t.select("token", F.array_join(tokenize.split_copula(F.col("token")), "+").alias("parts"))
+
+
+@query()
+def rule_tokens(spark, d):
+    e = table(spark, d, "examples").where("raw_text is not null")
+    return e.select("ex_id", F.array_join(tokenize.rule_tokens(F.col("raw_text")), "|").alias("boun"), F.array_join(tokenize.rule_tokens(F.col("raw_text"), "iwt"), "|").alias("iwt"))
+
+
+@query()
+def mwe_merge(spark, d):
+    e = table(spark, d, "examples").where("gold_tokens is not null").select(F.col("ex_id").alias("doc_id"), F.filter("gold_tokens", lambda t: t.isNotNull()).alias("tokens"))
+    pair = F.transform(F.sequence(F.lit(1), F.greatest(F.size("tokens") - 1, F.lit(1))), lambda i: F.array_join(F.slice("tokens", i, 2), " "))
+    phrases = e.where(F.size("tokens") > 1).select(F.explode(pair).alias("phrase")).groupBy("phrase").count().where("count >= 5").select("phrase")
+    return tokenize.merge_phrases(e, phrases).select("doc_id", F.array_join("tokens", "|").alias("tokens"))
+
+
+@query()
+def dependency_mwe(spark, d):
+    t = tokenize.merge_dependents(_conllu(spark, d))
+    return t.select("ex_id", F.array_join("tokens", "|").alias("tokens"))
+
+
+@query(
+    r"""with m as (select doc_id, replace(replace(text, chr(10), ' '), '', '') as t from documents where text is not null),
+    p as (select doc_id, regexp_replace(regexp_replace(regexp_replace(t, '(\d)\.', '\1' || chr(2), 'g'), '\.(\d)', chr(2) || '\1', 'g'), '(^|[\s("])([A-Za-z])\.', '\1\2' || chr(2), 'g') as t from m),
+    s as (select doc_id, list_filter(list_transform(string_split(replace(regexp_replace(t, '(\.|[!?]{1,3})', '\1' || chr(1), 'g'), chr(2), '.'), chr(1)), lambda x: trim(x)), lambda x: x <> '') as s from p)
+    select doc_id, len(s) as sentences, array_to_string(s, '|') as joined from s"""
+)
+def sentence_split(spark, d):
+    s = table(spark, d, "documents").where("text is not null").select("doc_id", sentences.simple_sentences(F.col("text")).alias("s"))
+    return s.select("doc_id", F.size("s").cast("long").alias("sentences"), F.array_join("s", "|").alias("joined"))
+
+
+@query()
+def rule_sentences(spark, d):
+    s = table(spark, d, "documents").where("text is not null").select("doc_id", sentences.rule_sentences("text").alias("s"))
+    return s.select("doc_id", F.size("s").alias("sentences"), F.array_join("s", "|").alias("joined"))
+
+
+@query(
+    f"""select token from (select distinct unnest({_WST('raw_text')}) as token from examples where raw_text is not null)
+    where lower(translate(token, 'İ', 'i')) in ({', '.join("'" + a + "'" for a in sorted(sentences.ABBREVIATIONS))}) or regexp_matches(token, '^(?:[A-Za-z]\\.|(?:[A-Z]\\.){{2,}})$')"""
+)
+def abbreviations(spark, d):
+    t = table(spark, d, "examples").select(F.explode(chars.ws_tokens(F.col("raw_text"))).alias("token")).distinct()
+    return t.where(sentences.is_abbreviation(F.col("token")))
+
+
+# stems ------------------------------------------------------------------------------------------------------------
+
+_SUFFIXES = f"""select distinct substr({_ii('form')}, length({_ii('lemma')}) + 1) as suffix from conllu_tokens
+    where form is not null and lemma is not null and coalesce(upos, '') <> 'AUX' and starts_with({_ii('form')}, {_ii('lemma')}) and length({_ii('form')}) - length({_ii('lemma')}) > 1"""
+
+
+@query(_SUFFIXES)
+def suffix_pairs(spark, d):
+    return stem.suffix_pairs(table(spark, d, "conllu_tokens"))
+
+
+@query(
+    f"""with s as ({_SUFFIXES}), t as (select token as word from {_TOKENS}), b as (select word, max(length(suffix)) as n from t, s
+    where not contains(word, '''') and length(word) > 3 and length(word) - length(suffix) >= 2 and right(word, length(suffix)) = suffix group by word),
+    c as (select t.word, left(t.word, length(t.word) - coalesce(n, 0)) as cut from t left join b on t.word = b.word)
+    select word, case when contains(word, '''') then split_part(word, '''', 1) else {_ii("left(cut, length(cut) - 1) || translate(right(cut, 1), 'bcdgğ', 'pçtkk')")} end as stem from c"""
+)
+def stem_words(spark, d):
+    return stem.stems(_tokens(spark, d), stem.suffix_pairs(table(spark, d, "conllu_tokens")), "token")
+
+
+# frequencies, vocabularies, stopwords ------------------------------------------------------------------------------
+
+_WORDS = f"(select unnest(regexp_extract_all({_trl('text')}, '\\p{{L}}+')) as word from documents where text is not null)"
+_FREQ = f"(select word, count(*) as freq from {_WORDS} group by word)"
+
+
+def _freq(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.word_counts(table(spark, d, "documents"))
+
+
+@query(f"select word, freq from {_FREQ} where freq >= 2")
+def word_freq(spark, d):
+    return corpus.word_counts(table(spark, d, "documents"), least=2)
+
+
+@query(rf"select word, freq from {_FREQ} where freq >= 5 and length(word) between 2 and 40 and not regexp_matches(word, '\p{{Nd}}')")
+def safe_vocab(spark, d):
+    return corpus.valid_tokens(_freq(spark, d))
+
+
+@query(f"select word, freq from {_FREQ} order by freq desc, word limit 100")
+def top_stopwords(spark, d):
+    return corpus.top_words(_freq(spark, d))
+
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in sorted(corpus.STOPWORDS)) + "]"
+
+
+@query(
+    f"select ex_id, array_to_string(list_filter(gold_tokens, lambda t: t is not null and not list_contains({_STOP}, lower(translate(t, 'İ', 'i')))), '|') as kept from examples where gold_tokens is not null"
+)
+def static_stop_filter(spark, d):
+    e = table(spark, d, "examples").where("gold_tokens is not null")
+    return e.select("ex_id", F.array_join(corpus.filter_stopwords(F.col("gold_tokens")), "|").alias("kept"))
+
+
+_CORPUS = rf"""(select ex_id, id, lower(form) as token from {_CONLLU} where not regexp_matches(form, '^\s*[+-]?\d+\s*$') and coalesce(upos, '') <> 'AUX'
+    and not regexp_matches(form, '^(?:[!-/:-@\[-`{{-~]|\.\.\.|\."?)$') and not contains(form, 'İ'))"""
+
+
+@query(
+    f"""with t as {_CORPUS}, s as (select token, count(*) as freq from t group by token order by freq desc, token limit 100)
+    select token, count(*) as freq from t where token not in (select token from s) group by token"""
+)
+def dynamic_stop_filter(spark, d):
+    t = corpus.corpus_tokens(_conllu(spark, d).where(~F.col("form").contains("İ")))
+    stop = corpus.top_words(t.groupBy(F.col("token").alias("word")).agg(F.count("*").alias("freq")))
+    return corpus.filter_by_table(t, stop).groupBy("token").agg(F.count("*").alias("freq"))
+
+
+_IGNORE = lambda c: rf"""({c} = '' or length({c}) > 40 or {c} in ({', '.join("'" + s + "'" for s in corpus.SKIPPED)}) or regexp_matches({c}, '^\p{{P}}+$') or regexp_matches({c}, '(?i)^https?://\S+$')
+    or regexp_matches({c}, '(?i)^[\w.\-+%]+@[\w.\-]+\.[A-Za-z]{{2,}}$') or regexp_matches({c}, '^\d+(?:[.,]\d+)?$'))"""
+_SURFACE = rf"""(select word, count(*) as freq from (select regexp_replace(t, '^\p{{P}}+|\p{{P}}+$', '', 'g') as word from (select unnest({_WST('gold_text')}) as t from examples where gold_text is not null
+    and not regexp_matches(gold_text, '[^\x00-\x7FçğıöşüÇĞİÖŞÜ]'))) where not {_IGNORE('word')} group by word)"""
+
+
+def _surface(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "examples").where(~F.col("gold_text").rlike(r"[^\x00-\x7FçğıöşüÇĞİÖŞÜ]"))
+    return corpus.surface_vocabulary(e, "gold_text")
+
+
+@query()
+def surface_vocab_all(spark, d):
+    return corpus.surface_vocabulary(table(spark, d, "examples"), "gold_text")
+
+
+@query(f"select word, freq from {_SURFACE}")
+def surface_vocab(spark, d):
+    return _surface(spark, d)
+
+
+@query(
+    f"""select word, cast(sum(freq) as bigint) as freq from (select replace(lower(translate(word, 'İ', 'i')), 'ß', 'ss') as word, coalesce(frequency, 0) as freq from word_freq where word is not null) group by word"""
+)
+def summed_freq(spark, d):
+    return corpus.summed_frequencies(table(spark, d, "word_freq"))
+
+
+@query("select trim(word) as word, cast(frequency as bigint) as frequency from word_freq where regexp_matches(trim(word), '^[A-Za-zÇĞİÖŞÜçğıöşüÂÎÛâîû]') and frequency >= 2")
+def clean_wordlist(spark, d):
+    return corpus.clean_wordlist(table(spark, d, "word_freq"))
+
+
+# lexicons ---------------------------------------------------------------------------------------------------------
+
+_PURE = r"not regexp_matches(raw || gold, '[^\x00-\x7FçğıöşüÇĞİÖŞÜ]')"
+_PAIRS = rf"""(select {_ii('r')} as key, g as target, count(*) as freq from (select trim(regexp_replace(raw, '{_WS}', ' ', 'g')) as r, trim(regexp_replace(gold, '{_WS}', ' ', 'g')) as g
+    from (select distinct * from noisy_pairs) where raw is not null and gold is not null and {_PURE}) where r <> g and not {_IGNORE('r')} and not {_IGNORE('g')} group by 1, 2)"""
+
+
+def _noisy(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "noisy_pairs").distinct()
+
+
+def _pure(spark: SparkSession, d: str) -> DataFrame:
+    return _noisy(spark, d).where(~F.concat("raw", "gold").rlike(r"[^\x00-\x7FçğıöşüÇĞİÖŞÜ]"))
+
+
+@query(f"select key, target, freq from {_PAIRS}")
+def pair_counts(spark, d):
+    return corpus.pair_counts(_pure(spark, d))
+
+
+_BEST = f"""(select key, target from (select p.key, p.target, row_number() over (partition by p.key order by p.freq + case when s.word is null then 0 else 1 end desc, p.target) as r
+    from {_PAIRS} p left join {_SURFACE} s on s.word = p.target) where r = 1)"""
+
+
+@query(f"select key, target from {_BEST}")
+def best_target(spark, d):
+    return corpus.best_targets(corpus.pair_counts(_pure(spark, d)), _surface(spark, d))
+
+
+_CANON = f"(select key, word as target from (select {_ii('word')} as key, word, row_number() over (partition by {_ii('word')} order by freq desc, word) as r from {_SURFACE}) where r = 1)"
+
+
+@query(f"select key, target from {_CANON}")
+def canonical_case(spark, d):
+    return corpus.canonical_casing(_surface(spark, d))
+
+
+@query(f"select key, target, 'pairs' as origin from {_BEST} union all select key, target, 'corpus' from {_CANON} where key not in (select key from {_BEST})")
+def lexicon_backfill(spark, d):
+    return corpus.build_lexicon(_pure(spark, d), _surface(spark, d))
+
+
+@query()
+def tweet_lexicon(spark, d):
+    noisy = _noisy(spark, d).where("raw is not null").select(F.lower("raw").alias("noisy"))
+    return corpus.ranked_candidates(noisy, corpus.summed_frequencies(table(spark, d, "word_freq")))
+
+
+_LEX = f"(select {_trl('trim(source)')} as key, min(trim(target)) as target from lexicon where trim(source) <> '' and trim(target) <> '' group by 1)"
+
+
+def _lexicon(spark: SparkSession, d: str) -> DataFrame:
+    return normalize.lexicon_table(table(spark, d, "lexicon"))
+
+
+def _prior(spark: SparkSession, d: str) -> DataFrame:
+    return normalize.frequency_table(table(spark, d, "word_freq"))
+
+
+@query(f"select key, target from {_LEX}")
+def lexicon_table(spark, d):
+    return _lexicon(spark, d)
+
+
+_NOISY = "(select distinct raw as token from noisy_pairs where raw is not null)"
+_PRIOR = f"(select {_trl('trim(word)')} as word, cast(sum(coalesce(frequency, 0)) as bigint) as freq from word_freq where word is not null group by 1)"
+
+
+def _noisy_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "noisy_pairs").where("raw is not null").select(F.col("raw").alias("token")).distinct()
+
+
+@query(
+    f"""select token, target, coalesce(freq, 0) as freq from {_NOISY} t left join {_LEX} l on l.key = {_trl('t.token')} left join {_PRIOR} p on p.word = {_trl('l.target')}"""
+)
+def exact_lookup(spark, d):
+    t = _noisy_tokens(spark, d).withColumn("key", chars.tr_lower(F.col("token")))
+    j = t.join(_lexicon(spark, d), "key", "left").join(_prior(spark, d), chars.tr_lower(F.col("target")) == F.col("word"), "left")
+    return j.select("token", "target", F.coalesce("freq", F.lit(0)).alias("freq"))
+
+
+@query(
+    f"""with v as (select distinct word from word_freq where word is not null) select token, token in (select word from v) or {_trl('token')} in (select {_trl('word')} from v) as safe from {_NOISY}"""
+)
+def safe_vocab_flag(spark, d):
+    check = normalize.vocabulary_validator(table(spark, d, "word_freq").where("word is not null"))
+    return check(_noisy_tokens(spark, d), "token").select("token", F.col("token_ok").alias("safe"))
+
+
+@query(
+    f"""with k as (select distinct {_trl('token')} as key from {_NOISY}), l as {_LEX},
+    p as (select k.key, l.key as near, l.target, list_filter(range(1, length(k.key) + 1), lambda i: substr(k.key, i, 1) <> substr(l.key, i, 1)) as pos from k join l
+      on length(k.key) = length(l.key) and {_plain('k.key')} = {_plain('l.key')} and k.key <> l.key)
+    select key, target from (select key, target, row_number() over (partition by key order by len(pos), pos) as r from p where len(pos) <= case when length(key) <= 6 then 2 else 1 end) where r = 1"""
+)
+def flip_candidates(spark, d):
+    keys = _noisy_tokens(spark, d).select(chars.tr_lower(F.col("token")).alias("key")).distinct()
+    return normalize.flip_hits(keys, _lexicon(spark, d))
+
+
+_NEAR = f"""with k as (select distinct lower(token) as key from {_NOISY} where regexp_matches(token, '^[a-z]+$')), l as (select * from {_LEX} where regexp_matches(key, '^[a-z]+$')),
+    c as (select k.key, l.key as near, l.target, levenshtein(k.key, l.key) as edits, coalesce(freq, 0) as freq, length(regexp_replace(l.target, '[^çğıöşüÇĞİÖŞÜ]', '', 'g')) as marks
+      from k join l on abs(length(k.key) - length(l.key)) <= %d left join {_PRIOR} p on p.word = {_trl('l.target')} where levenshtein(k.key, l.key) <= %d)
+    select key, target, cast(edits as int) as edits from (select *, row_number() over (partition by key order by edits, freq desc, marks desc, length(target), near) as r from c) where r = 1"""
+
+
+def _near(spark: SparkSession, d: str, edits: int) -> DataFrame:
+    keys = _noisy_tokens(spark, d).where(F.col("token").rlike("^[a-z]+$")).select(F.col("token").alias("key"))
+    lex = _lexicon(spark, d).where(F.col("key").rlike("^[a-z]+$"))
+    return normalize.near_hits(keys, lex, _prior(spark, d), edits).select("key", "target", "edits")
+
+
+@query(_NEAR % (1, 1))
+def ed1_candidates(spark, d):
+    return _near(spark, d, 1)
+
+
+@query(_NEAR % (2, 2))
+def ed2_candidates(spark, d):
+    return _near(spark, d, 2)
+
+
+@query()
+def normalized_tokens(spark, d):
+    return normalize.normalize_tokens(_noisy_tokens(spark, d), _lexicon(spark, d), _prior(spark, d))
+
+
+@query()
+def cascade_tokens(spark, d):
+    names = table(spark, d, "conllu_tokens").where("upos = 'PROPN' and lemma is not null").select(F.lit("treebank").alias("gazetteer"), F.col("lemma").alias("word")).distinct()
+    check = normalize.vocabulary_validator(table(spark, d, "word_freq").where("word is not null"))
+    return normalize.cascade(_noisy_tokens(spark, d), _lexicon(spark, d), _prior(spark, d), gazetteers=names, slang=True, validator=check)
+
+
+@query()
+def normalized_text(spark, d):
+    lex, prior = _lexicon(spark, d), _prior(spark, d)
+    n = normalize.texts(table(spark, d, "examples"), lambda t: normalize.normalize_tokens(t, lex, prior), "ex_id", "raw_text")
+    return n.select("ex_id", "normalized", F.size("masks").alias("masks"))
+
+
+@query(
+    f"""with g as (select distinct src_doc as gazetteer, {_trl('lemma')} as key from conllu_tokens where upos = 'PROPN' and lemma is not null and src_doc is not null), n as (select count(distinct gazetteer) as n from g),
+    h as (select key, count(*) as hits from g group by key) select token, case when (coalesce(hits, 0) + 1.0) / ((select n from n) - coalesce(hits, 0) + 1) >= 0.01 then {_upper_first('token')} else token end as proper
+    from {_NOISY} t left join h on h.key = {_trl('t.token')}"""
+)
+def proper_nouns(spark, d):
+    g = table(spark, d, "conllu_tokens").where("upos = 'PROPN' and lemma is not null and src_doc is not null").select(F.col("src_doc").alias("gazetteer"), F.col("lemma").alias("word"))
+    return normalize.proper_nouns(_noisy_tokens(spark, d), g, 0.01)
+
+
+# gazetteers, titles, pages -----------------------------------------------------------------------------------------
+
+_LEMMAS = "(select lemma as title from conllu_tokens where lemma is not null)"
+_TITLES = rf"(select title, count(*) as freq from (select trim(translate(title, '_', ' ')) as title from {_LEMMAS} where not regexp_matches(title, '[^\x00-\x7FçğıöşüÇĞİÖŞÜ]')) where regexp_matches(title, '\p{{L}}') and length(title) <= 200 group by title having count(*) >= 2)"
+
+
+@query(f"select title, freq from {_TITLES}")
+def title_counts(spark, d):
+    t = table(spark, d, "conllu_tokens").where("lemma is not null").select(F.col("lemma").alias("title")).where(~F.col("title").rlike(r"[^\x00-\x7FçğıöşüÇĞİÖŞÜ]"))
+    return corpus.title_counts(t, least=2)
+
+
+@query(
+    rf"""select word, count(*) as freq from (select unnest({_WST('gold_text')}) as word from examples where gold_text is not null) where regexp_matches(word, '^\p{{L}}[\p{{L}}''’\-]*$') and length(word) between 2 and 40
+    and ((regexp_matches(word, '\p{{Lu}}') and not regexp_matches(word, '[\p{{Ll}}\p{{Lt}}\p{{Lm}}\p{{Lo}}]') and length(word) <= 8) or (regexp_matches(word, '^\P{{L}}*\p{{Lu}}') and regexp_matches(word, '[\p{{Ll}}\p{{Lt}}\p{{Lm}}\p{{Lo}}]')))
+    group by word having count(*) >= 2"""
+)
+def title_tokens(spark, d):
+    return corpus.title_tokens(table(spark, d, "examples").where("gold_text is not null").select(F.col("gold_text").alias("title")))
+
+
+@query(
+    f"""select e.src_doc as title, array_to_string(list_sort(list_distinct(list({_trl('trim(deprel)')}))), '|') as categories from (select distinct src_doc from examples where src_doc is not null) e
+    join conllu_tokens c on c.src_doc = e.src_doc where deprel is not null group by e.src_doc"""
+)
+def page_categories(spark, d):
+    pages = table(spark, d, "examples").where("src_doc is not null").select(F.col("src_doc").alias("page_id"), F.col("src_doc").alias("title"), F.lit(0).alias("namespace")).distinct()
+    links = table(spark, d, "conllu_tokens").select(F.col("src_doc").alias("page_id"), F.col("deprel").alias("category"))
+    return corpus.page_categories(pages, links).select("title", "categories")
+
+
+@query("select distinct src_doc as title from examples where trim(src_doc) <> '' and src_doc not in (select src_doc from conllu_tokens where src_doc is not null)")
+def missing_pages(spark, d):
+    t = lambda n: table(spark, d, n).where("src_doc is not null").select(F.col("src_doc").alias("title"))
+    return corpus.missing_pages(t("examples"), t("conllu_tokens").distinct())
+
+
+@query(
+    """with recursive e as (select 'r' || r_regionkey as src, 'n' || n_nationkey as dst from region join nation on n_regionkey = r_regionkey
+      union all select 'n' || c_nationkey, 'c' || c_custkey from customer union all select 'n' || n_nationkey, 'r' || n_regionkey from nation),
+    w(node) as (select 'r' || r_regionkey from region where r_regionkey < 2 union select dst from e join w on e.src = w.node) select node from w"""
+)
+def recursive_closure(spark, d):
+    n, c, r = table(spark, d, "nation"), table(spark, d, "customer"), table(spark, d, "region")
+    name = lambda p, k: F.concat(F.lit(p), F.col(k))
+    edges = n.select(name("r", "n_regionkey").alias("src"), name("n", "n_nationkey").alias("dst"))
+    edges = edges.unionByName(c.select(name("n", "c_nationkey").alias("src"), name("c", "c_custkey").alias("dst"))).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return graph.closure(edges, r.where("r_regionkey < 2").select(name("r", "r_regionkey").alias("node"))).select("node")
+
+
+# boundary features and models ---------------------------------------------------------------------------------------
+
+
+@query(
+    f"""select ex_id, pos, token, lead(token) over w is null as snt_end, token in ('.', '!', '?', '...') as punct, {_ii('token')} in ({', '.join("'" + a + "'" for a in sorted(sentences.ABBREVIATIONS))}) as abbrev,
+    coalesce(regexp_matches(lead(token) over w, '^\\p{{Lu}}'), false) as next_cap, coalesce(regexp_matches(lag(token) over w, '^\\p{{Ll}}'), false) as prev_not_cap,
+    coalesce(lead(token) over w in ('.', '!', '?', '...'), false) as nxt_punct, coalesce(lag(token) over w in ('.', '!', '?', '...'), false) as prev_punct from {_SENT} window w as (partition by ex_id order by pos)"""
+)
+def boundary_feats(spark, d):
+    return features.boundary_features(_sentences(spark, d)).drop("sentence")
+
+
+@query(
+    f"""select ex_id, pos, token, regexp_matches(token, '^[.!?…]$') as punct, regexp_matches(lead(token, 1, 'A') over w, '^\\p{{Lu}}') as next_cap, not regexp_matches(lag(token, 1, 'a') over w, '^\\p{{Lu}}') as prev_not_cap,
+    regexp_matches(lead(token, 1, 'A') over w, '^[.!?…]$') as nxt_punct, regexp_matches(lag(token, 1, 'a') over w, '^[.!?…]$') as prev_punct from {_SENT} window w as (partition by ex_id order by pos)"""
+)
+def shift_feats(spark, d):
+    return features.shift_features(_sentences(spark, d))
+
+
+def _instances(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "token_instances").dropDuplicates(["inst_id"])
+
+
+_CAT = lambda c: rf"case when {c} in ('<BOS>', '<EOS>') then {c} when regexp_matches({c}, '^[\s\x0b\p{{Z}}]$') then 'WS' when regexp_matches({c}, '^\p{{L}}$') then 'L' when regexp_matches({c}, '^\p{{Nd}}$') then 'D' when regexp_matches({c}, '^\p{{P}}$') then 'P' else 'O' end"
+_OFFSETS = """(select inst_id, text, i, list_contains(boundaries, i)::int as label, case when i > 0 then substr(text, i, 1) else '<BOS>' end as p, case when i < length(text) then substr(text, i + 1, 1) else '<EOS>' end as n,
+    regexp_extract(left(text, i), '(\\S+)\\s*$', 1) as l, regexp_extract(substr(text, i + 1), '^\\s*(\\S+)', 1) as r
+    from (select inst_id, text, boundaries, unnest(range(0, length(text) + 1))::int as i from (select distinct * from token_instances) where text is not null and boundaries is not null))"""
+_FEATURES = f"""(select inst_id, i, label, unnest(list_filter(['prev_char=' || p, 'next_char=' || n, 'prev_cat=' || {_CAT('p')}, 'next_cat=' || {_CAT('n')}, 'prev_next=' || p || '|' || n,
+    case when p in ('''', '’', '‘') then 'prev_is_apostrophe' end, case when n in ('''', '’', '‘') then 'next_is_apostrophe' end, case when p in ('"', '“', '”') then 'prev_is_quote' end, case when n in ('"', '“', '”') then 'next_is_quote' end,
+    case when regexp_matches(l, '^\\p{{Lu}}') and (p in ('''', '’') or n in ('''', '’')) and r <> '' then 'around_apostrophe_after_capital' end, case when p in ('"', '“', '”') and regexp_matches(r, '^\\p{{Lu}}') then 'quote_before_capital' end,
+    case when regexp_matches(lower(l), '(dir|dır|dur|dür)$') then 'left_endswith_dir_variant' end, case when regexp_matches(lower(l), '(dı|di|du|dü)$') then 'left_endswith_past_d' end,
+    case when regexp_matches(lower(l), '(tı|ti|tu|tü)$') then 'left_endswith_past_t' end, case when regexp_matches(lower(l), 'yor$') then 'left_endswith_yor' end], lambda x: x is not null)) as feature from {_OFFSETS})"""
+
+
+@query(f"select label, feature, count(*) as n from {_FEATURES} group by label, feature")
+def nb_counts(spark, d):
+    return features.nb_fit(_instances(spark, d))[0]
+
+
+@query()
+def nb_predict(spark, d):
+    inst = _instances(spark, d)
+    model = features.nb_fit(inst)
+    return features.nb_predict(inst, model).select("inst_id", "pos", F.round("log_odds", 6).alias("log_odds"), "boundary")
+
+
+@query()
+def nb_tokenize(spark, d):
+    inst = _instances(spark, d)
+    t = features.nb_tokens(inst, features.nb_predict(inst, features.nb_fit(inst)))
+    return t.select("inst_id", F.array_join("tokens", "|").alias("tokens"))
+
+
+@query()
+def lr_splitter(spark, d):
+    f = features.boundary_features(_sentences(spark, d).withColumn("sentence", F.col("ex_id")).withColumn("ex_id", F.floor(F.col("ex_id") / 16)))
+    p = features.lr_predict(f, features.lr_fit(f))
+    s = sentences.by_predictions(p.withColumn("pos", F.struct(F.col("sentence").alias("s"), "pos")).drop("sentence"), "ex_id")
+    return s.select("ex_id", "sentence", F.array_join("tokens", " ").alias("text"))
+
+
+# evaluation -------------------------------------------------------------------------------------------------------
+
+_ENDS = "list_transform(range(1, len(t) + 1), lambda i: list_sum(list_transform(t[1:i], lambda x: length(x))) + i - 1)"
+
+
+@query(
+    f"""with g as (select inst_id, list_filter(gold_tokens, lambda x: x is not null) as t from (select distinct * from token_instances) where gold_tokens is not null)
+    select inst_id, array_to_string(list_transform({_ENDS}, lambda x: cast(x as bigint)), ',') as ends from g"""
+)
+def token_ends(spark, d):
+    t = _instances(spark, d).where("gold_tokens is not null")
+    return t.select("inst_id", F.array_join(evaluate.ends(F.filter("gold_tokens", lambda x: x.isNotNull())), ",").alias("ends"))
+
+
+_SETS = f"""(select inst_id, list_filter(boundaries, lambda x: x is not null) as g, list_transform(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 1) <> ' ' and (i = length(text) or substr(text, i + 1, 1) = ' ')), lambda i: cast(i as int)) as p
+    from (select distinct * from token_instances) where text is not null and boundaries is not null)"""
+
+
+def _sets(spark: SparkSession, d: str) -> DataFrame:
+    i = _instances(spark, d).where("text is not null and boundaries is not null")
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i: (F.substring("text", i, F.lit(1)) != " ") & ((i == F.length("text")) | (F.substring("text", i + 1, F.lit(1)) == " ")))
+    return i.select("inst_id", F.filter("boundaries", lambda x: x.isNotNull()).alias("g"), F.filter(at, lambda i: i <= F.length("text")).alias("p"))
+
+
+@query(
+    f"""with s as (select inst_id, len(list_distinct(g)) as ng, len(list_distinct(p)) as np, len(list_intersect(g, p)) as tp from {_SETS}),
+    q as (select *, case when np > 0 then tp / np else 0 end as pr, case when ng > 0 then tp / ng else 0 end as re from s)
+    select inst_id, case when ng = 0 and np = 0 then 1.0 else round(pr, 9) end as precision, case when ng = 0 and np = 0 then 1.0 else round(re, 9) end as recall,
+    case when ng = 0 and np = 0 then 1.0 when pr + re > 0 then round(2 * pr * re / (pr + re), 9) else 0.0 end as f1 from q"""
+)
+def span_prf(spark, d):
+    s = _sets(spark, d).select("inst_id", evaluate.prf_sets(F.col("g"), F.col("p")).alias("s"))
+    return s.select("inst_id", *(F.round(f"s.{c}", 9).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query(
+    f"""select inst_id, array_to_string(list_sort(list_distinct(list_concat(g, p))), ',') as either, array_to_string(list_sort(list_distinct(list_intersect(g, p))), ',') as both_,
+    array_to_string(list_sort(list_distinct(list_filter(p, lambda x: not list_contains(g, x)))), ',') as only_pred from {_SETS}"""
+)
+def hybrid_or_and(spark, d):
+    s = _sets(spark, d)
+    j = lambda c: F.array_join(F.array_sort(c), ",")
+    return s.select("inst_id", j(F.array_union("g", "p")).alias("either"), j(F.array_intersect("g", "p")).alias("both_"), j(F.array_except("p", "g")).alias("only_pred"))
+
+
+@query()
+def aligned_spans(spark, d):
+    i = _instances(spark, d).where("text is not null and gold_tokens is not null")
+    return i.select("inst_id", F.array_join(evaluate.boundaries(F.col("text"), F.col("gold_tokens")), ",").alias("ends"))
+
+
+_DOMAIN = "coalesce(nullif(lower(trim(domain)), ''), 'unknown')"
+
+
+@query(
+    f"""with t as (select ex_id, {_DOMAIN} as domain, {_WST('raw_text')} as r, {_WST(_trl('raw_text'))} as p, {_WST('gold_text')} as g from examples where raw_text is not null and gold_text is not null),
+    z as (select domain, p = g as exact, len(g) as ng, list_filter(list_zip(r, p, g), lambda x: x[1] is not null and x[2] is not null and x[3] is not null) as z from t),
+    s as (select domain, exact, ng, len(list_filter(z, lambda x: x[2] = x[3])) as same, len(list_filter(z, lambda x: x[1] <> x[3] and x[2] = x[3])) as tp, len(list_filter(z, lambda x: x[1] = x[3] and x[2] <> x[1])) as fp,
+      len(list_filter(z, lambda x: x[1] <> x[3] and x[2] <> x[3])) as fn from z)
+    select domain, count(*) as sentences, cast(sum(exact::int) as bigint) as exact, cast(sum(same) as bigint) as same, cast(sum(ng) as bigint) as tokens, cast(sum(tp) as bigint) as tp, cast(sum(fp) as bigint) as fp, cast(sum(fn) as bigint) as fn from s group by domain"""
+)
+def edit_scores(spark, d):
+    e = table(spark, d, "examples").where("raw_text is not null and gold_text is not null")
+    dom = F.coalesce(F.nullif(F.lower(F.trim("domain")), F.lit("")), F.lit("unknown"))
+    raw = F.col("raw_text")
+    rows = e.select(dom.alias("domain"), chars.ws_tokens(raw).alias("raw"), chars.ws_tokens(chars.tr_lower(raw)).alias("pred"), chars.ws_tokens(F.col("gold_text")).alias("gold"))
+    return evaluate.score_texts(rows, ["domain"]).drop("precision", "recall", "f1")
+
+
+@query(
+    "with n as (select count(*) as n, cast(floor(count(*) * 0.1) as bigint) as h from examples) select ex_id, case when row_number() over (order by ex_id desc) <= (select h from n) then 'dev' else 'train' end as part from examples"
+)
+def train_dev_split(spark, d):
+    return evaluate.split_train_dev(table(spark, d, "examples").select("ex_id"), "ex_id")
+
+
+@query("select ex_id, raw_text as pred, gold_text as gold from examples where raw_text <> gold_text order by ex_id limit 20")
+def error_samples(spark, d):
+    return evaluate.error_samples(table(spark, d, "examples").select("ex_id", F.col("raw_text").alias("pred"), F.col("gold_text").alias("gold")), "ex_id")
+
+
+# sources over the tables --------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""select ex_id, rtrim(string_agg(form || case when coalesce(contains(misc, 'SpaceAfter=No'), false) then '' else ' ' end, '' order by id)) as text
+    from (select ex_id, id, min(form) as form, min(misc) as misc from {_CONLLU} group by ex_id, id) group by ex_id"""
+)
+def conllu_text(spark, d):
+    t = _conllu(spark, d).groupBy("ex_id", "id").agg(F.min("form").alias("form"), F.min("misc").alias("misc"))
+    s = t.groupBy("ex_id").agg(F.array_sort(F.collect_list(F.struct("id", "form", "misc"))).alias("t"))
+    return s.select("ex_id", readers.surface(F.col("t")).alias("text"))
+
+
+@query(
+    """with p as (select file_key, line_no, any_value(is_begin) as is_begin, any_value(raw) as raw, any_value(gold) as gold from noisy_pairs group by file_key, line_no),
+    s as (select *, sum(coalesce(is_begin, false)::int) over (partition by file_key order by line_no) as sentence from p)
+    select file_key, cast(sentence as bigint) as sentence, array_to_string(list(raw order by line_no) filter (where raw is not null and raw <> '_'), ' ') as raw, array_to_string(list(gold order by line_no) filter (where gold is not null and gold <> '_'), ' ') as gold from s group by file_key, sentence"""
+)
+def pair_sentences(spark, d):
+    s = readers.pair_sentences(table(spark, d, "noisy_pairs"))
+    return s.select("file_key", F.col("sentence").cast("long").alias("sentence"), F.nullif(F.array_join("raw", " "), F.lit("")).alias("raw"), F.nullif(F.array_join("gold", " "), F.lit("")).alias("gold"))
+
+
+@query("select ex_id, lower(trim(domain)) as domain, cast(len(gold_tokens) as int) as tokens from examples where raw_text is not null and len(gold_tokens) > 0 and lower(trim(domain)) in ('boun', 'iwt')")
+def tokenization_source(spark, d):
+    r = readers.for_tokenization(table(spark, d, "examples"), ["boun", "iwt"])
+    return r.select("ex_id", F.lower(F.trim("domain")).alias("domain"), F.size("gold_tokens").alias("tokens"))
+
+
+# the whole pipeline -------------------------------------------------------------------------------------------------
+
+
+def _flat(p: DataFrame) -> DataFrame:
+    return p.select("ex_id", "normalized", *(F.array_join(c, "|").alias(c) for c in ("tokens", "sentences", "stems", "content")))
+
+
+@query()
+def _pipeline(spark, d):
+    return _flat(pipeline.process(table(spark, d, "examples"), _lexicon(spark, d), _prior(spark, d)))
+
+
+@query()
+def pipeline_light(spark, d):
+    return _flat(pipeline.process_light(table(spark, d, "examples")))
