@@ -56,6 +56,12 @@ def rule_tokens(c: Column, domain: str = "boun", copulas: bool = True) -> Column
     return F.flatten(F.transform(tokens, split_copula)) if copulas else tokens
 
 
+def _grams(tokens: str, n: int) -> Column:
+    """array<struct(start, n, phrase)> of the windows of n tokens."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(tokens) - n, F.lit(0)))
+    return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), F.array_join(F.slice(tokens, i + 1, n), " ").alias("phrase")))
+
+
 def merge_phrases(docs: DataFrame, phrases: DataFrame, tokens: str = "tokens", key: str = "doc_id") -> DataFrame:
     """Multi-word expressions merged: leftmost longest match of the ``phrase`` column in each row's tokens, exact case.
 
@@ -66,10 +72,7 @@ def merge_phrases(docs: DataFrame, phrases: DataFrame, tokens: str = "tokens", k
     lengths = [r["n"] for r in known.select("n").distinct().orderBy("n").collect()]  # a handful of lengths
     if not lengths:
         return docs
-    grams = F.flatten(F.array(*(
-        F.transform(F.sequence(F.lit(0), F.greatest(F.size(tokens) - n, F.lit(0))), lambda i, n=n: F.struct(i.alias("start"), F.lit(n).alias("n"), F.array_join(F.slice(tokens, i + 1, n), " ").alias("phrase")))
-        for n in lengths
-    )))
+    grams = F.flatten(F.array(*(_grams(tokens, n) for n in lengths)))
     spans = docs.where(F.size(tokens) > 1).select(key, F.explode(grams).alias("g")).select(key, "g.*")
     hits = spans.join(known, ["phrase", "n"], "left_semi").groupBy(key).agg(F.array_sort(F.collect_set(F.struct("start", F.negate("n").alias("back")))).alias("spans"))
     # leftmost longest: sorted by start, then longest; a span that begins before the last kept one ends is skipped
