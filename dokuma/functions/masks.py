@@ -39,10 +39,15 @@ def counts(c: Column) -> Column:
 
 def mask(c: Column) -> Column:
     """struct(text, masks): every match replaced by <TAGn>, n counting over all tags, with array<struct(key, original)>."""
-    state = F.struct(c.alias("text"), F.array().cast("array<struct<key:string,original:string>>").alias("masks"))
+    plain = F.struct(c.alias("text"), F.array().cast("array<struct<key:string,original:string>>").alias("masks"))
+    state = plain
     for tag, p in PATTERNS.items():
         state = _mask_one(state, tag, p)
-    return F.when(c.isNotNull(), state)
+    return F.when(c.isNull(), F.lit(None)).when(c.rlike(_ANY), state).otherwise(plain)
+
+
+#: Every pattern needs one of these; a text without any is left alone.
+_ANY = r"(?i)\p{N}|[@#€$₺£%:;=<©®\x{1F000}-\x{1FAFF}\x{2190}-\x{2BFF}]|xd"
 
 
 def _mask_one(state: Column, tag: str, pattern: str) -> Column:

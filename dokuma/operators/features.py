@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import chars
+from ..session import spread
 from .sentences import ABBREVIATIONS
 
 END_MARKS = (".", "!", "?", "...")
@@ -43,11 +44,6 @@ def shift_features(tokens: DataFrame, key: str = "ex_id") -> DataFrame:
     )
 
 
-def offsets(text: Column) -> Column:
-    """Array of the boundary offsets 0 .. length."""
-    return F.sequence(F.lit(0), F.length(text))
-
-
 def _flat(text: Column) -> Column:
     return F.translate(text, "\t\n\x0b\f\r", "     ")
 
@@ -61,72 +57,61 @@ def right_token(text: Column, i: Column) -> Column:
     return F.substring_index(F.ltrim(F.substring(_flat(text), i + 1, F.length(text))), " ", 1)
 
 
-def _neighbours(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """(keep, pos, prev, next, prev_cat, next_cat, left, right) of every offset of ``text``. A text is cut into characters
-    and their categories found once, not once per offset."""
-    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(spread, keep[0])  # each row becomes hundreds: spread them before they grow
-    cut = rows.select(*keep, "text", F.split("text", "").alias("_c"))
-    cut = cut.withColumn("_c", F.filter("_c", lambda x: x != "")).withColumn("_k", F.transform("_c", lambda x: char_kind(x)))
-    at = lambda a, i, edge: F.coalesce(F.get(a, i), F.lit(edge))
-    spots = F.transform(
-        F.sequence(F.lit(0), F.size("_c")),
-        lambda i: F.struct(
-            i.alias("pos"), at("_c", i - 1, "<BOS>").alias("prev"), at("_c", i, "<EOS>").alias("next"),
-            at("_k", i - 1, "<BOS>").alias("prev_cat"), at("_k", i, "<EOS>").alias("next_cat"),
-        ),
-    )
-    e = cut.select(*keep, "text", F.explode(spots).alias("s")).select(*keep, "text", "s.*")
-    return e.select(
-        *keep, "pos", "prev", "next", "prev_cat", "next_cat", left_token(F.col("text"), F.col("pos")).alias("left"), right_token(F.col("text"), F.col("pos")).alias("right")
-    )
+# Endings that hint at a boundary.
+ENDINGS = (
+    (("dir", "dır", "dur", "dür"), "left_endswith_dir_variant"), (("dı", "di", "du", "dü"), "left_endswith_past_d"),
+    (("tı", "ti", "tu", "tü"), "left_endswith_past_t"), (("yor",), "left_endswith_yor"),
+)
+_CONTEXT = ("around_apostrophe_after_capital", "quote_before_capital", *(n for _, n in ENDINGS))
+SIGNATURE = ["prev", "next", "flags"]
 
 
-def char_kind(c: Column) -> Column:
-    """chars.char_category of a plain character, most frequent kinds first."""
-    return F.when(c.rlike(r"^\p{L}$"), "L").otherwise(chars.char_category(c))
+def signatures(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, pos, prev, next, flags) of every offset of ``text``: all that the features of an offset depend on. flags is
+    a bit set over the context features."""
+    rows = spread(rows, keep[0])  # each row becomes hundreds
+    cut = rows.select(*keep, "text", F.filter(F.split("text", ""), lambda x: x != "").alias("_c"))
+    at = lambda i, edge: F.coalesce(F.get("_c", i), F.lit(edge))
+    spots = F.transform(F.sequence(F.lit(0), F.size("_c")), lambda i: F.struct(i.alias("pos"), at(i - 1, "<BOS>").alias("prev"), at(i, "<EOS>").alias("next")))
+    e = cut.select(*keep, "text", F.explode(spots).alias("s")).select(*keep, "text", "s.*")
+    e = e.select(*keep, "pos", "prev", "next", left_token(F.col("text"), F.col("pos")).alias("left"), right_token(F.col("text"), F.col("pos")).alias("right"))
+    prev, nxt, left, right = (F.col(c) for c in ("prev", "next", "left", "right"))
+    low = F.lower(F.right(left, F.lit(3)))
+    tests = [(prev.isin("'", "’") | nxt.isin("'", "’")) & left.rlike(r"^\p{Lu}") & (right != ""), prev.isin('"', "“", "”") & right.rlike(r"^\p{Lu}")]
+    tests += [reduce(Column.__or__, (F.endswith(low, F.lit(x)) for x in ends)) for ends, _ in ENDINGS]
+    flags = reduce(Column.__add__, (F.when(t, 1 << k).otherwise(0) for k, t in enumerate(tests)))
+    return e.select(*keep, "pos", "prev", "next", flags.alias("flags"))
 
 
 def token_features() -> Column:
-    """Array of the features of an offset from its neighbours: characters, categories, bigram, quotes, endings."""
-    prev, nxt, left, right = (F.col(c) for c in ("prev", "next", "left", "right"))
+    """Array of the features of a signature: characters, categories, bigram, quotes, context."""
+    prev, nxt = F.col("prev"), F.col("next")
     apostrophe, quote = ("'", "’", "‘"), ('"', "“", "”")
-    low = F.lower(left)
     flag = lambda cond, name: F.when(cond, F.lit(name))
     f = lambda name, c: F.concat(F.lit(name + "="), c)
     fs = F.array(
-        f("prev_char", prev), f("next_char", nxt), f("prev_cat", F.col("prev_cat")), f("next_cat", F.col("next_cat")),
+        f("prev_char", prev), f("next_char", nxt), f("prev_cat", chars.char_category(prev)), f("next_cat", chars.char_category(nxt)),
         F.concat(F.lit("prev_next="), prev, F.lit("|"), nxt),
         flag(prev.isin(*apostrophe), "prev_is_apostrophe"), flag(nxt.isin(*apostrophe), "next_is_apostrophe"),
         flag(prev.isin(*quote), "prev_is_quote"), flag(nxt.isin(*quote), "next_is_quote"),
-        flag((prev.isin("'", "’") | nxt.isin("'", "’")) & left.rlike(r"^\p{Lu}") & (right != ""), "around_apostrophe_after_capital"),
-        flag(prev.isin(*quote) & right.rlike(r"^\p{Lu}"), "quote_before_capital"),
-        *(flag(reduce(Column.__or__, (F.endswith(low, F.lit(x)) for x in ends)), name) for ends, name in ENDINGS),
+        *(flag(F.col("flags").bitwiseAND(1 << k) != 0, name) for k, name in enumerate(_CONTEXT)),
     )
     return F.array_compact(fs)
 
 
-# Endings that hint at a boundary.
-ENDINGS = (
-    (("dir", "dır", "dur", "dür"), "left_endswith_dir_variant"), (("dı", "di", "du", "dü"), "left_endswith_past_d"),
-    (("tı", "ti", "tu", "tü"), "left_endswith_past_t"), (("yor",), "left_endswith_yor"),
-)
-
-
-def feature_rows(instances: DataFrame, key: str = "inst_id") -> DataFrame:
-    """(key, pos, label, feature): one row per feature of every offset; label tells whether a gold token ends there."""
+def feature_counts(instances: DataFrame, key: str = "inst_id") -> tuple[DataFrame, DataFrame]:
+    """((label, feature, n), (label, offsets)). Offsets are counted by signature before features are unfolded, so what is
+    shuffled is a few rows per signature, not one per feature of every character."""
     rows = instances.where(F.col("text").isNotNull() & F.col("boundaries").isNotNull())
-    n = _neighbours(rows, [key, "boundaries"])
-    label = F.array_contains("boundaries", F.col("pos")).cast("int")
-    return n.select(key, "pos", label.alias("label"), F.explode(token_features()).alias("feature"))
+    label = F.array_contains("boundaries", F.col("pos")).cast("int").alias("label")
+    g = signatures(rows, [key, "boundaries"]).groupBy(label, *SIGNATURE).agg(F.count("*").alias("n"))
+    counts = g.select("label", "n", F.explode(token_features()).alias("feature")).groupBy("label", "feature").agg(F.sum("n").alias("n"))
+    return counts, g.groupBy("label").agg(F.sum("n").alias("offsets"))
 
 
 def nb_fit(instances: DataFrame, key: str = "inst_id") -> tuple[DataFrame, DataFrame]:
     """((label, feature, n), (label, offsets, features, vocabulary)): counts of the multinomial model."""
-    rows = feature_rows(instances, key)
-    counts = rows.groupBy("label", "feature").agg(F.count("*").alias("n"))
-    e = instances.where("text is not null and boundaries is not null").select("boundaries", F.explode(offsets(F.col("text"))).alias("pos"))
-    classes = e.groupBy(F.array_contains("boundaries", F.col("pos")).cast("int").alias("label")).agg(F.count("*").alias("offsets"))
+    counts, classes = feature_counts(instances, key)
     vocabulary = counts.agg(F.count_distinct("feature").alias("vocabulary"))
     totals = classes.join(counts.groupBy("label").agg(F.sum("n").alias("features")), "label").join(F.broadcast(vocabulary))  # one row by construction
     return counts, totals
@@ -141,12 +126,12 @@ def nb_predict(texts: DataFrame, model: tuple[DataFrame, DataFrame], key: str =
     size = {k: (t[k]["features"] if k in t else 0) + alpha * v for k in (0, 1)}
     prior = {k: ((t[k]["offsets"] if k in t else 0) + alpha) / (total + 2 * alpha) for k in (0, 1)}
     pivot = counts.groupBy("feature").agg(*(F.sum(F.when(F.col("label") == k, F.col("n"))).alias(f"n{k}") for k in (0, 1)))
-    n = _neighbours(texts.where("text is not null"), [key])
-    rows = n.select(key, "pos", F.explode(token_features()).alias("feature")).join(pivot, "feature", "left")
+    spots = signatures(texts.where("text is not null"), [key])
+    rows = spots.select(*SIGNATURE).distinct().select(*SIGNATURE, F.explode(token_features()).alias("feature")).join(pivot, "feature", "left")
     odds = lambda k: F.ln((F.coalesce(f"n{k}", F.lit(0)) + F.lit(alpha)) / F.lit(float(size[k])))
     base = F.ln(F.lit(prior[1])) - F.ln(F.lit(prior[0]))
-    g = rows.groupBy(key, "pos").agg((F.sum(odds(1) - odds(0)) + base).alias("log_odds"))
-    return g.select(key, "pos", "log_odds", (F.col("log_odds") >= 0).alias("boundary"))
+    g = rows.groupBy(*SIGNATURE).agg((F.sum(odds(1) - odds(0)) + base).alias("log_odds"))
+    return spots.join(g, SIGNATURE).select(key, "pos", "log_odds", (F.col("log_odds") >= 0).alias("boundary"))
 
 
 def nb_tokens(texts: DataFrame, predictions: DataFrame, key: str = "inst_id") -> DataFrame:

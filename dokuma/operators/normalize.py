@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chars, masks
+from ..session import checkpointed, spread
 
 MARKED = "[çğıöşüÇĞİÖŞÜ]"
 
@@ -91,6 +92,7 @@ def normalize_tokens(tokens: DataFrame, lexicon: DataFrame, frequencies: DataFra
         low = safe.select(chars.tr_lower(F.col("word")).alias("key"), F.lit(True).alias("lowered")).distinct()
         t = t.join(s, "token", "left").join(low, "key", "left")
         t = t.withColumn("kept", F.col("kept") | F.coalesce("cased", F.lit(False)) | F.coalesce("lowered", F.lit(False))).drop("cased", "lowered")
+    t = checkpointed(t)  # the stages below read the distinct tokens several times
     open_keys = _keys(t.where("not kept"))
     exact = open_keys.join(lexicon, "key").select("key", F.col("target").alias("exact"))
     left = open_keys.join(exact, "key", "left_anti")
@@ -179,10 +181,11 @@ def texts(docs: DataFrame, normalizer: Callable[[DataFrame], DataFrame], key: st
     """key, normalized text and masks of every document: plain characters, reversible masks, runs shrunk, each token by
     ``normalizer`` (a function from distinct tokens to (token, normalized)), sentence casing and spacing. Null texts stay
     null, empty ones empty."""
-    m = docs.select(key, masks.mask(chars.normalize_unicode(F.col(column))).alias("m"))
-    rows = m.select(key, "m.masks", chars.ws_tokens(chars.shrink_runs(F.col("m.text"))).alias("raw"))
+    m = spread(docs.select(key, column)).select(key, masks.mask(chars.normalize_unicode(F.col(column))).alias("m"))
+    # read three times below, and masking is the dearest step: written once
+    rows = checkpointed(m.select(key, "m.masks", chars.ws_tokens(chars.shrink_runs(F.col("m.text"))).alias("raw")))
     each = rows.select(key, F.posexplode("raw").alias("pos", "token"))
-    table = normalizer(each.select("token"))
+    table = normalizer(each.select("token").distinct()).where("normalized <> token")
     done = each.join(table, "token", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("normalized", "token").alias("t")))).alias("t"))
     j = rows.join(done.select(key, F.transform("t", lambda x: x["t"]).alias("tokens")), key, "left")
     s = chars.compact_ws(chars.fix_spacing(F.array_join(chars.sentence_casing(F.col("tokens"), F.col("raw")), " ")))

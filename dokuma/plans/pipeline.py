@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import chars
 from ..operators import corpus, normalize, sentences, stem
 from ..operators.tokenize import rule_tokens
+from ..session import spread
 
 
 def process(docs: DataFrame, lexicon: DataFrame, frequencies: DataFrame, key: str = "ex_id", column: str = "raw_text") -> DataFrame:
@@ -18,7 +19,7 @@ def process(docs: DataFrame, lexicon: DataFrame, frequencies: DataFrame, key: st
 
 
 def process_light(docs: DataFrame, key: str = "ex_id", column: str = "raw_text") -> DataFrame:
-    """The same without the lexicon joins: one projection, no shuffle."""
+    """The same without the lexicon joins: one projection, no shuffle (but for an input of few files)."""
     clean = chars.compact_ws(chars.shrink_runs(chars.sanitize(F.col(column))))
-    t = docs.select(key, clean.alias("normalized")).select("*", rule_tokens(F.col("normalized")).alias("tokens"), sentences.simple_sentences(F.col("normalized")).alias("sentences"))
+    t = spread(docs.select(key, column)).select(key, clean.alias("normalized")).select("*", rule_tokens(F.col("normalized")).alias("tokens"), sentences.simple_sentences(F.col("normalized")).alias("sentences"))
     return t.select("*", F.transform("tokens", lambda t: stem.stem_column(t)).alias("stems"), corpus.filter_stopwords(F.col("tokens")).alias("content"))

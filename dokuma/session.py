@@ -40,3 +40,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "dokuma-checkpoints"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows over at least as many partitions as the cluster has cores, before work that is heavy for each row.
+
+    A large input has more partitions than that already and passes unchanged; only an input of few files is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    few = df._jdf.queryExecution().toRdd().getNumPartitions() < cores
+    return df.repartition(cores, *keys) if few else df
