@@ -26,14 +26,14 @@ from . import textfold
 from .confusables import FIELDS, fields
 
 LEAST_SHARE = 0.5  # of a term's occurrences that the slot explains
-LEAST_BITS = 3.0  # pointwise mutual information with the slot
+LEAST_BITS = 1.0  # pointwise mutual information with the slot
 LEAST_CUES = 2  # different neighbours that show the term in the slot
 ENDING = 5
 PLACEHOLDERS = {"email": "<EMAIL>", "phone": "<PHONE>", "identity": "<IDENTITY>", "address": "<ADDRESS>", "name": "<NAME>"}
 
 # Common first names, folded.
 FIRST_NAMES = frozenset(
-    "adem ahmet akin ali alper anil arda arzu asli asuman ata atilla aydin ayhan ayla ayse aysun aziz bahar baris basak "
+    "adem ahmet akin ali alper anil arda arzu asli asude asuman ata atilla aydin ayhan ayla ayse aysun aziz bahar baris basak "
     "baran batuhan begum bekir belgin beren berk berkay berna berrin betul beyza bilal bilge bora bulent burak burcu "
     "busra cagla caglar can canan cansu celal cem cemal cemil cengiz ceren ceyda cigdem cihan cinar damla defne deniz "
     "derya devrim dilek dilara duygu ebru ece ecem efe ege ekin ela elif emel emin emine emrah emre engin enes eray ercan "
@@ -223,8 +223,9 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _disclosing(scan: DataFrame) -> DataFrame:
     """Terms whose place in a name discloses a person: term and ending statistics over the whole corpus."""
-    seen = scan.where("ex_id is not null and pii_type = 'name' and term is not null and cue <> '?'")
-    slots = seen.groupBy("term").agg(F.sum("n").alias("k"), F.countDistinct("cue").alias("cues"))
+    seen = scan.where("ex_id is not null and pii_type = 'name' and term is not null")
+    cue = F.when(F.col("cue") != "?", F.col("cue"))  # capitals alone are no neighbour
+    slots = seen.groupBy("term").agg(F.sum("n").alias("k"), F.countDistinct(cue).alias("cues"))
     totals = scan.where("ex_id is null").groupBy("term").agg(F.sum("n").alias("n"))
     ending = F.substring("term", -ENDING, ENDING).alias("ending")
     sums = totals.agg(F.sum("n").alias("words")).collect()[0]["words"] or 0
@@ -234,13 +235,13 @@ def _disclosing(scan: DataFrame) -> DataFrame:
     terms = slots.join(totals, "term").withColumn("ending", ending)
     own = (F.col("k") / F.col("n") >= LEAST_SHARE) & (bits(F.col("k"), F.col("n")) >= LEAST_BITS) & (F.col("cues") >= LEAST_CUES)
     ends = totals.groupBy(ending).agg(F.sum("n").alias("en")).join(
-        seen.groupBy(ending).agg(F.sum("n").alias("ek"), F.countDistinct("cue").alias("ecues"), F.countDistinct("term").alias("eterms")), "ending"
+        seen.groupBy(ending).agg(F.sum("n").alias("ek"), F.countDistinct(cue).alias("ecues"), F.countDistinct("term").alias("eterms")), "ending"
     )
     shared = (F.col("ek") / F.col("en") >= 0.7) & (bits(F.col("ek"), F.col("en")) >= LEAST_BITS) & (F.col("ecues") >= 3) & (F.col("eterms") >= 2)
     judged = terms.join(ends, "ending", "left")
     kept = judged.where(own | (shared & (F.col("k") / F.col("n") >= LEAST_SHARE))).select("term")
     # a rare term is disclosed by a neighbour that itself stands almost only beside disclosing terms
-    beside = seen.join(kept.withColumn("kept", F.lit(1)), "term", "left").groupBy("cue").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("kept")).alias("good"))
+    beside = seen.where("cue <> '?'").join(kept.withColumn("kept", F.lit(1)), "term", "left").groupBy("cue").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("kept")).alias("good"))
     reliable = beside.where("good >= 5 and good >= 0.6 * all").select("cue")
     rare = judged.where("n <= 3 and k = n").select("term")
     by_cue = seen.join(rare, "term", "left_semi").join(reliable, "cue", "left_semi").select("term")
