@@ -83,6 +83,14 @@ def score_texts(rows: DataFrame, by: list[str]) -> DataFrame:
     return g.withColumns({"precision": s["precision"], "recall": s["recall"], "f1": s["f1"]})
 
 
+def hybrid_scores(rows: DataFrame, gold: str, a: str, b: str) -> DataFrame:
+    """Macro precision, recall and F1 over all rows of two boundary arrays, their union and their intersection."""
+    preds = {a: F.col(a), b: F.col(b), "either": F.array_union(a, b), "both": F.array_intersect(a, b)}
+    each = F.array(*(F.struct(F.lit(n).alias("system"), prf_sets(F.col(gold), c).alias("s")) for n, c in preds.items()))
+    e = rows.select(F.explode(each).alias("e")).select("e.system", "e.s.*")
+    return e.groupBy("system").agg(F.count("*").alias("rows"), *(F.avg(c).alias(c) for c in ("precision", "recall", "f1")))
+
+
 def split_train_dev(rows: DataFrame, key: str, ratio: float = 0.1) -> DataFrame:
     """The rows with ``part``: the last ``ratio`` of them by a unique key are dev, the others train. Only the key at the
     border is looked up; no task numbers all rows."""

@@ -774,6 +774,21 @@ def hybrid_or_and(spark, d):
     return s.select("inst_id", j(F.array_union("g", "p")).alias("either"), j(F.array_intersect("g", "p")).alias("both_"), j(F.array_except("p", "g")).alias("only_pred"))
 
 
+_PRF = lambda g, p: f"[len(list_intersect({g}, {p})), len(list_distinct({p})), len(list_distinct({g}))]"
+
+
+@query(
+    f"""with s as (select inst_id, g, p, list_filter(p, lambda x: x % 2 = 0) as q from {_SETS}), e as (select unnest([{{'system': 'p', 's': {_PRF('g', 'p')}}}, {{'system': 'q', 's': {_PRF('g', 'q')}}},
+    {{'system': 'either', 's': {_PRF('g', 'list_distinct(list_concat(p, q))')}}}, {{'system': 'both', 's': {_PRF('g', 'list_intersect(p, q)')}}}]) as e from s),
+    f as (select e.system as system, e.s[1] as tp, e.s[2] as np, e.s[3] as ng from e), h as (select system, case when ng = 0 and np = 0 then 1.0 when np = 0 then 0.0 else tp / np end as p, case when ng = 0 and np = 0 then 1.0 when ng = 0 then 0.0 else tp / ng end as r from f)
+    select system, count(*) as rows, round(avg(p), 6) as precision, round(avg(r), 6) as recall, round(avg(case when p + r > 0 then 2 * p * r / (p + r) else 0.0 end), 6) as f1 from h group by system"""
+)
+def hybrid_scores(spark, d):
+    s = _sets(spark, d).withColumn("q", F.filter("p", lambda x: x % 2 == 0))
+    h = evaluate.hybrid_scores(s, "g", "p", "q")
+    return h.select("system", "rows", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
+
+
 @query()
 def aligned_spans(spark, d):
     i = _instances(spark, d).where("text is not null and gold_tokens is not null")

@@ -217,3 +217,9 @@ def sql_dump(spark: SparkSession, path: str, columns: list[str], relation: str |
             yield pd.DataFrame(rows, columns=columns)
 
     return v.mapInPandas(run, ", ".join(f"{c} string" for c in columns))
+
+
+def frequency_json(spark: SparkSession, path: str) -> DataFrame:
+    """word, freq of a JSON object of numbers (one object a file)."""
+    v = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,bigint>").alias("m"))
+    return v.select(F.explode("m").alias("word", "freq")).where("freq is not null")
