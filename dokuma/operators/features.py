@@ -44,17 +44,18 @@ def shift_features(tokens: DataFrame, key: str = "ex_id") -> DataFrame:
     )
 
 
-def _flat(text: Column) -> Column:
+def flat(text: Column) -> Column:
+    """White space as blanks, as the two functions below expect it."""
     return F.translate(text, "\t\n\x0b\f\r", "     ")
 
 
 def left_token(text: Column, i: Column) -> Column:
     """What stands between the last white space and offset i (white space before i skipped), without backtracking."""
-    return F.substring_index(F.rtrim(F.left(_flat(text), i)), " ", -1)
+    return F.substring_index(F.rtrim(F.left(text, i)), " ", -1)
 
 
 def right_token(text: Column, i: Column) -> Column:
-    return F.substring_index(F.ltrim(F.substring(_flat(text), i + 1, F.length(text))), " ", 1)
+    return F.substring_index(F.ltrim(F.substring(text, i + 1, F.length(text))), " ", 1)
 
 
 # Endings that hint at a boundary.
@@ -70,7 +71,7 @@ def signatures(rows: DataFrame, keep: list[str]) -> DataFrame:
     """(keep, pos, prev, next, flags) of every offset of ``text``: all that the features of an offset depend on. flags is
     a bit set over the context features."""
     rows = spread(rows, keep[0])  # each row becomes hundreds
-    cut = rows.select(*keep, "text", F.filter(F.split("text", ""), lambda x: x != "").alias("_c"))
+    cut = rows.select(*keep, flat(F.col("text")).alias("text"), F.filter(F.split("text", ""), lambda x: x != "").alias("_c"))
     at = lambda i, edge: F.coalesce(F.get("_c", i), F.lit(edge))
     spots = F.transform(F.sequence(F.lit(0), F.size("_c")), lambda i: F.struct(i.alias("pos"), at(i - 1, "<BOS>").alias("prev"), at(i, "<EOS>").alias("next")))
     e = cut.select(*keep, "text", F.explode(spots).alias("s")).select(*keep, "text", "s.*")
