@@ -88,12 +88,24 @@ _SENT = "(select ex_id, id as pos, min(form) as token from conllu_tokens where f
 # problem 6 --------------------------------------------------------------------------------------------------------
 
 
-@query()
+_ROWS = "(" + " union all ".join(
+    f"""select line_id, regexp_full_match(line, '(?s)("(?:[^"]|"")*"|[^"{x}]*)({x}("(?:[^"]|"")*"|[^"{x}]*))*') as well, regexp_extract_all({y} || line, '(?s){x}("(?:[^"]|"")*"|[^"{x}]*)', 1) as cells
+    from (select line_id, delim, regexp_replace(line, '\\r$', '') as line from raw_records where line is not null) where delim = {y}"""
+    for x, y in ((",", "','"), (";", "';'"), ("\\t", "chr(9)"))
+) + ")"
+_CELLS = f"(select line_id, well, list_transform(cells, lambda c: case when starts_with(c, '\"') then replace(substr(c, 2, length(c) - 2), '\"\"', '\"') else c end) as c from {_ROWS})"
+_REASON = rf"""(select line_id, c, case when not well then 'quoting' when len(c) <> 7 then 'column_count' when c[2] not in ('boun', 'iwt') or c[3] not in ('train', 'dev', 'test') or regexp_full_match(c[4], '[\s\p{{Z}}]*')
+    or not regexp_full_match(c[6], '[0-9]+') or not regexp_full_match(c[7], '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') or try_cast(c[7] as date) is null or contains(array_to_string(c, ''), chr(65533)) then 'value' end as reason from {_CELLS})"""
+
+
+@query(f"select line_id, reason from {_REASON} where reason is not null")
 def p6_found(spark, d):
     return records.found(table(spark, d, "raw_records"))
 
 
-@query()
+@query(
+    f"""select line_id, nullif(c[1], '') as sent_id, c[2] as domain, c[3] as split, c[4] as raw_text, nullif(c[5], '') as gold_text, cast(c[6] as bigint) as n_tokens, cast(c[7] as date) as created_on from {_REASON} where reason is null"""
+)
 def p6_typed(spark, d):
     return records.typed(table(spark, d, "raw_records"))
 
@@ -316,7 +328,15 @@ def copula_split(spark, d):
     return t.select("token", F.array_join(tokenize.split_copula(F.col("token")), "+").alias("parts"))
 
 
-@query()
+_PARTS = lambda t: f"""case when regexp_matches(lower(translate({t}, 'İ', 'i')), '(acak|ecek)(tı|ti|tu|tü)$') then left({t}, length({t}) - 2) || '|' || right({t}, 2)
+    when regexp_matches(lower(translate({t}, 'İ', 'i')), '(ymiş|yken)$') and length({t}) > 5 then left({t}, length({t}) - 4) || '|' || right({t}, 4) when regexp_matches(lower(translate({t}, 'İ', 'i')), 'ydi$') and length({t}) > 4 then left({t}, length({t}) - 3) || '|' || right({t}, 3)
+    when regexp_matches(lower(translate({t}, 'İ', 'i')), 'bilirdik$') then left({t}, length({t}) - 3) || '|' || right({t}, 3) when regexp_matches(lower(translate({t}, 'İ', 'i')), '{tokenize.COPULA}') and not regexp_matches(lower(translate({t}, 'İ', 'i')), '{tokenize.VERB_ENDING}')
+    and length({t}) >= 5 and regexp_matches(left({t}, length({t}) - 3), '{tokenize.VOWELS}') then left({t}, length({t}) - 3) || '|' || right({t}, 3) else {t} end"""
+
+
+@query(
+    f"with t as (select ex_id, {_WST(_SPACED)} as t from examples where raw_text is not null) select ex_id, array_to_string(list_transform(t, lambda x: {_PARTS('x')}), '|') as boun, array_to_string(t, '|') as iwt from t"
+)
 def rule_tokens(spark, d):
     e = table(spark, d, "examples").where("raw_text is not null")
     return e.select("ex_id", F.array_join(tokenize.rule_tokens(F.col("raw_text")), "|").alias("boun"), F.array_join(tokenize.rule_tokens(F.col("raw_text"), "iwt"), "|").alias("iwt"))
