@@ -147,6 +147,13 @@ def nb_tokens(texts: DataFrame, predictions: DataFrame, key: str = "inst_id") ->
 FLAGS = ("punct", "abbrev", "next_cap", "prev_not_cap", "nxt_punct", "prev_punct")
 
 
+class Constant:
+    """The model of rows of one class, or of none: that class always, no boundary without rows."""
+
+    def __init__(self, ends: bool):
+        self.coefficients, self.intercept = [0.0] * len(FLAGS), 1.0 if ends else -1.0
+
+
 def lr_fit(features: DataFrame, iterations: int = 500):
     """Balanced logistic regression of snt_end on the six flags (each class weighs half, unit ridge penalty)."""
     from pyspark.ml.classification import LogisticRegression
@@ -154,6 +161,8 @@ def lr_fit(features: DataFrame, iterations: int = 500):
 
     counts = {r["snt_end"]: r["count"] for r in features.groupBy("snt_end").count().collect()}  # two rows
     n = sum(counts.values())
+    if len(counts) < 2:
+        return Constant(bool(counts.get(True)))
     weight = F.when(F.col("snt_end"), n / (2 * max(1, counts.get(True, 0)))).otherwise(n / (2 * max(1, counts.get(False, 0))))
     rows = features.select(*(F.col(c).cast("double") for c in FLAGS), F.col("snt_end").cast("double").alias("label"), weight.alias("weight"))
     rows = VectorAssembler(inputCols=list(FLAGS), outputCol="features").transform(rows)
