@@ -28,6 +28,7 @@ WINDOW = 5
 SHARE = 0.5  # of the passage's words in one stretch
 EXCHANGED = 0.1  # of the stretch's words
 DRIFT = 3  # words by which neighbouring hits may be shifted
+WIDTH = 64  # diagonals of one stretch
 MAX_ITEMS = 20_000  # items whose windows may travel with the function
 
 # Units, folded.
@@ -122,7 +123,7 @@ def compare(item: Item, plain: np.ndarray, template: np.ndarray, hits: list[tupl
     diagonals = sorted({d - i for d, i in hits})
     clusters = [[diagonals[0]]]
     for d in diagonals[1:]:
-        if d - clusters[-1][-1] <= DRIFT:
+        if d - clusters[-1][-1] <= DRIFT and len(clusters[-1]) < WIDTH:
             clusters[-1].append(d)
         else:
             clusters.append([d])
@@ -172,8 +173,12 @@ class Index:
             h = np.concatenate([w for w, _ in ws])
             item = np.concatenate([np.full(len(w), j) for w, j in ws])
             pos = np.concatenate([np.arange(len(w)) for w, _ in ws])
-            order = np.argsort(h, kind="stable")
-            self.by_k[k] = (h[order], item[order], pos[order])
+            order = np.lexsort((pos, item, h))
+            h, item, pos = h[order], item[order], pos[order]
+            # a window that an item repeats is looked up at its first place only: hits stay linear in the document
+            first = np.ones(len(h), bool)
+            first[1:] = (h[1:] != h[:-1]) | (item[1:] != item[:-1])
+            self.by_k[k] = (h[first], item[first], pos[first])
 
     def matches(self, text: str) -> list[tuple[int, float, int, int, bool]]:
         plain, template = hashes(text)
