@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from . import textfold
 from .abuse import domain_key
 
@@ -120,7 +121,8 @@ def members(examples: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
     side = F.when(split == "train", "train").when(split.isin("dev", "test"), split)
     rows = examples.where(F.col("raw_text").isNotNull() & side.isNotNull())
     rows = rows.select("ex_id", side.alias("side"), domain_key(F.col("domain")).alias("domain"), "raw_text")
-    return rows.mapInPandas(_folded, "ex_id long, side string, domain string, words string")
+    # folded once: everything below starts from the folded words
+    return checkpointed(rows.mapInPandas(_folded, "ex_id long, side string, domain string, words string"))
 
 
 def class_id(c: str = "words") -> Column:
