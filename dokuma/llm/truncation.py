@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,7 @@ BANDS, ROWS, SHINGLE, SIMILAR = 12, 3, 5, 0.8
 LEAST_TERMINAL = 0.5  # share of a word's occurrences that close a sentence
 LEAST_SEEN = 3  # occurrences from which a word speaks for itself
 RECURS = 3  # documents that close with a line before it counts as a closing line
+LOOK = 30  # words before an end that are compared to find it in a copy
 LONGER = 3  # times as frequent as a line must be the line that continues it
 
 _rng = np.random.default_rng(7)
@@ -84,12 +86,15 @@ def closing(text: str) -> tuple[str, str | None, str | None]:
     return "open", (ws[-1] if ws else None), line
 
 
-def bands(text: str) -> list[int] | None:
-    """Band keys of a text; texts under five words have none."""
-    w = windows(hashes(text)[0], SHINGLE)
+def shingles(text: str) -> np.ndarray:
+    return np.unique(windows(hashes(text)[0], SHINGLE))
+
+
+def bands(text: str, w: np.ndarray | None = None) -> list[int] | None:
+    """Band keys of a text (w: its shingles); texts under five words have none."""
+    w = shingles(text) if w is None else w
     if not len(w):
         return None
-    w = np.unique(w)
     low = np.full(len(_A), np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(w), 4096):
         part = w[i : i + 4096]
@@ -104,8 +109,9 @@ def bands(text: str) -> list[int] | None:
     return (key ^ np.arange(BANDS, dtype=np.uint64)).view(np.int64).tolist()
 
 
-_ROW = "doc_id long, source string, state string, word string, line string, length int, bands array<bigint>, closes long, total long"
-_COLUMNS = ["doc_id", "source", "state", "word", "line", "length", "bands", "closes", "total"]
+_ROW = "doc_id long, source string, state string, word string, line string, cls long, asks boolean, size int, bands array<bigint>, closes long, total long"
+_COLUMNS = ["doc_id", "source", "state", "word", "line", "cls", "asks", "size", "bands", "closes", "total"]
+_TYPES = {"doc_id": "Int64", "cls": "Int64", "asks": "boolean", "size": "Int32", "closes": "Int64", "total": "Int64"}
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,10 +119,10 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     closes: Counter = Counter()
 
     def counts() -> pd.DataFrame:
-        rows = [(None, None, None, w, None, None, None, closes[w], n) for w, n in total.items()]
+        rows = [(None, None, None, w, None, None, None, None, None, closes[w], n) for w, n in total.items()]
         total.clear()
         closes.clear()
-        return pd.DataFrame(rows, columns=_COLUMNS).astype({"doc_id": "Int64", "length": "Int32", "closes": "Int64", "total": "Int64"})
+        return pd.DataFrame(rows, columns=_COLUMNS).astype(_TYPES)
 
     for pdf in batches:
         rows = []
@@ -124,8 +130,13 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             marked = t.translate(_FOLD).split()
             total.update(marked[:-1])  # the closing word itself is what is asked about
             closes.update([a for a, b in zip(marked, marked[1:]) if b == "."])
-            rows.append((i, s, *closing(t), len(marked), bands(t), None, None))
-        yield pd.DataFrame(rows, columns=_COLUMNS).astype({"doc_id": "Int64", "length": "Int32", "closes": "Int64", "total": "Int64"})
+            state, word, line = closing(t)
+            ws = [w for w in marked if w != ","]
+            cls = xxhash.xxh64_intdigest(" ".join(ws)) - (1 << 63)  # one class for equal folded texts
+            asks = state != "cut" and ws[-1:] != ["."]  # no copy can show anything else to be cut
+            w = shingles(t)
+            rows.append((i, s, state, word, line, cls, asks, len(w), bands(t, w), None, None))
+        yield pd.DataFrame(rows, columns=_COLUMNS).astype(_TYPES)
         if len(total) > 200_000:
             yield counts()
     yield counts()
@@ -151,49 +162,53 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _after(a: str, b: str) -> tuple[bool, bool] | None:
-    """(b goes on inside the word or sentence that closes a, b ends there too) if a's end is found in b."""
+    """(b goes on inside the word or sentence that closes a, b ends there too) if a's end is found in b: of the places
+    that hold a's closing words, the one before which most words agree, whatever was put in or left out earlier."""
     x, y = a.rstrip().translate(_FOLD).split(), b.translate(_FOLD).split()
     x = [w for w in x if w != ","]
     y = [w for w in y if w != ","]
-    if len(x) < 4 or len(y) < len(x):
+    if len(x) < 4 or len(y) < 4:
+        return None
+    key, last, at = x[-4:-1], x[-1], len(x) - 4
+    places = [i for i in range(len(y) - 2) if y[i] == key[0] and y[i : i + 3] == key]
+    if not places:
         return None
-    key, last = x[-4:-1], x[-1]
-    for i in sorted(range(len(y) - 3), key=lambda i: abs(i - (len(x) - 4))):
-        if abs(i - (len(x) - 4)) > 12:
-            break
-        if y[i : i + 3] == key:
-            z = y[i + 3] if i + 3 < len(y) else ""
-            if z == last:
-                rest = y[i + 4 :]
-                return bool(rest) and last != "." and rest[0] != ".", not rest
-            if last != "." and z.startswith(last):
-                return True, False
-            return None
+    agree = lambda i: sum(u == v for u, v in zip(x[max(0, at - LOOK) : at][::-1], y[max(0, i - LOOK) : i][::-1]))
+    i = max(places, key=lambda i: (agree(i), -abs(i - at)))
+    z = y[i + 3] if i + 3 < len(y) else ""
+    if z == last:
+        rest = y[i + 4 :]
+        return bool(rest) and last != "." and rest[0] != ".", not rest
+    if last != "." and z.startswith(last):
+        return True, False
     return None
 
 
 def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
-        for i, a, b in zip(pdf["doc_id"], pdf["text"], pdf["longer_text"]):
-            x, y = (set(windows(hashes(t)[0], SHINGLE).tolist()) for t in (a, b))
-            if x and y and len(x & y) >= SIMILAR * len(x | y):
+        for c, a, b in zip(pdf["cls"], pdf["text"], pdf["other_text"]):
+            x, y = shingles(a), shingles(b)
+            n = len(np.intersect1d(x, y, assume_unique=True))
+            if n and n >= SIMILAR * (len(x) + len(y) - n):
                 r = _after(a, b)
                 if r and r[0]:
-                    out.append(i)
-        yield pd.DataFrame({"doc_id": pd.Series(out, dtype="int64")})
+                    out.append(c)
+        yield pd.DataFrame({"cls": pd.Series(out, dtype="int64")})
 
 
 def _cut_copies(documents: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id of documents that a longer near-copy continues. In each band bucket every document is compared with the
-    longest one only, so a bucket of any size costs as many pairs as it has documents."""
-    keys = docs.where("bands is not null").select("doc_id", "length", F.explode("bands").alias("band"))
-    longest = keys.groupBy("band").agg(F.max(F.struct("length", "doc_id")).alias("top"), F.count("*").alias("n")).where("n > 1")
-    longest = longest.select("band", F.col("top.length").alias("longer"), F.col("top.doc_id").alias("longer_id"))
-    pairs = keys.join(longest, "band").where("length < longer").select("doc_id", "longer_id").distinct()
+    """cls of the classes of equal texts that a near-copy continues. In each band bucket every class whose end is open
+    meets every other class, as far as their numbers of shingles allow the similarity; adaptive execution may split hot
+    buckets."""
+    reps = docs.where("bands is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("asks").alias("asks"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    a = reps.where("asks").select("cls", "doc_id", "size", F.explode("bands").alias("band"))
+    b = reps.select(F.col("doc_id").alias("other_id"), F.col("size").alias("other_size"), F.explode("bands").alias("band"))
+    near = (F.col("doc_id") != F.col("other_id")) & (F.least("size", "other_size") >= SIMILAR * F.greatest("size", "other_size"))
+    pairs = a.join(b, "band").where(near).select("cls", "doc_id", "other_id").distinct()
     text = documents.select("doc_id", "text")
-    pairs = pairs.join(text, "doc_id").join(text.withColumnsRenamed({"doc_id": "longer_id", "text": "longer_text"}), "longer_id")
-    return pairs.select("doc_id", "text", "longer_text").mapInPandas(_align, "doc_id long").distinct()
+    pairs = pairs.join(text, "doc_id").join(text.withColumnsRenamed({"doc_id": "other_id", "text": "other_text"}), "other_id")
+    return pairs.select("cls", "text", "other_text").mapInPandas(_align, "cls long").distinct()
 
 
 def judged(documents: DataFrame) -> DataFrame:
@@ -205,7 +220,7 @@ def judged(documents: DataFrame) -> DataFrame:
     # most documents are settled by their last sign and stay out of the joins; a missing word or line gets a key of its
     # own, as equal null keys would all meet in one task
     own = lambda c: F.coalesce(F.col(c), F.concat(F.lit("\u0001"), F.col("doc_id").cast("string")))
-    j = docs.where("state = 'open'").select("doc_id", "source", "state", "word", own("word").alias("_word"), own("line").alias("line"))
+    j = docs.where("state = 'open'").select("doc_id", "source", "state", "cls", "asks", "word", own("word").alias("_word"), own("line").alias("line"))
     j = j.withColumn("ending", F.substring("_word", -4, 4)).join(words.withColumnRenamed("word", "_word"), "_word", "left")
     j = j.join(endings, "ending", "left").join(_lines(docs), "line", "left")
     rate = F.col("closes") / F.col("total")
@@ -213,9 +228,12 @@ def judged(documents: DataFrame) -> DataFrame:
     known = F.coalesce(F.col("total"), F.lit(0)) >= LEAST_SEEN
     terminal = F.coalesce(F.when(known, rate >= LEAST_TERMINAL).otherwise(by_ending >= LEAST_TERMINAL), F.lit(False))
     open_reason = F.when(F.col("continues"), "line goes on").when(F.col("recurs") | F.col("word").isNull(), None).when(~terminal, "closing word")
-    j = j.select("doc_id", "source", "state", open_reason.alias("open_reason"))
-    closed = docs.where("state <> 'open'").select("doc_id", "source", "state", F.lit(None).cast("string").alias("open_reason"))
-    j = j.unionByName(closed).join(_cut_copies(documents, docs).withColumn("copied", F.lit(True)), "doc_id", "left")
+    # only documents whose end is open can be shown cut by a copy; the others stay out of that join, too
+    j = j.select("doc_id", "source", "state", "cls", "asks", open_reason.alias("open_reason"))
+    none = F.lit(None).cast("string")
+    closed = docs.where("state <> 'open'").select("doc_id", "source", "state", "cls", "asks", none.alias("open_reason"))
+    asking = j.unionByName(closed.where("asks")).join(_cut_copies(documents, docs).withColumn("copied", F.lit(True)), "cls", "left")
+    j = asking.drop("cls", "asks").unionByName(closed.where("not asks").drop("cls", "asks").withColumn("copied", F.lit(False)))
     reason = F.when(F.col("state") == "cut", "mark").when(F.col("copied"), "copy goes on").otherwise(F.col("open_reason"))
     return j.select("doc_id", "source", reason.isNotNull().alias("truncated"), reason.alias("reason"))
 

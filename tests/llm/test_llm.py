@@ -278,3 +278,18 @@ def test_bands_recall():
         v = w[: 190]  # shares 186 of 196 shingles
         hit += bool(set(truncation.bands(" ".join(w))) & set(truncation.bands(" ".join(v))))
     assert hit == 200 and truncation.bands("a b") is None
+
+
+def test_copies_in_a_shared_bucket(spark, monkeypatch):
+    # every text shares the buckets, the longest is unrelated, and the whole version has a long header of its own
+    monkeypatch.setattr(truncation, "bands", lambda text, w=None: [1, 2])
+    stem = " ".join(f"w{i}" for i in range(100))
+    head = " ".join(f"h{i}" for i in range(13))
+    other = " ".join(f"x{i}" for i in range(125)) + " gitti."
+    rows = [stem + " geldi", stem.upper() + " geldi", f"{head} {stem} geldiler. sonra gitti.", other]
+    rows += [" ".join(f"v{i}" for i in range(60)) + " yapıy", " ".join(f"v{i}" for i in range(60)) + " yapıyor :)"]  # as many words
+    tail = " ".join(f"u{i}" for i in range(100))
+    rows += [f"{head} {tail} yapıy", f"{tail} yapıyorlar."]  # the copy is longer than the whole version
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(rows)], "doc_id long, text string, source string")
+    r = {x["doc_id"]: x["reason"] for x in truncation.judged(df).where("truncated").collect()}
+    assert {i for i, v in r.items() if v == "copy goes on"} == {0, 1, 4, 6}
