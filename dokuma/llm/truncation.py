@@ -4,13 +4,14 @@ Method: near-copies are found by min-hash banding over five-word shingles (simil
 aligned; a copy whose alignment ends while the other goes on inside the same word or sentence is cut. Documents that no
 copy settles are scored by the terminality of their closing word: how often that word closes a sentence in the whole
 corpus (words never seen fall back to their endings). Closing lines, tags and links are no sentences: they are whole if
-the same line (numbers aside) recurs in the corpus and no much more frequent line continues it.
+the same line (numbers aside) recurs in different texts of the corpus and no more frequent lines continue it.
 
 One pass over the texts makes all of it: closing features, min-hash bands, and per-worker partial counts.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,9 +30,9 @@ from .leakage import hashes, windows
 BANDS, ROWS, SHINGLE, SIMILAR = 12, 3, 5, 0.8
 LEAST_TERMINAL = 0.5  # share of a word's occurrences that close a sentence
 LEAST_SEEN = 3  # occurrences from which a word speaks for itself
-RECURS = 3  # documents that close with a line before it counts as a closing line
+RECURS = 3  # different texts that close with a line before it counts as a closing line
 LOOK = 30  # words before an end that are compared to find it in a copy
-LONGER = 3  # times as frequent as a line must be the line that continues it
+LONGER = 3  # times as frequent as a line must be the lines that continue it with one next word
 
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -41,6 +42,7 @@ _URL = re.compile(r"(?:https?:|www\.|\w+://)\S*$|\S+@\S+$", re.I)
 _CLOSED = re.compile(r"[.!?…]+[\"”’'»)\]]*$")
 _ENTITY = re.compile(r"&#?\w{0,8}$")
 _NUMBER = re.compile(r"\d+")
+_NEXT = re.compile(r"\W*\w*")
 
 
 class _Fold(dict):
@@ -150,15 +152,59 @@ def _terminality(scan: DataFrame) -> tuple[DataFrame, DataFrame]:
     return counts, endings
 
 
+def _key(line: str) -> int:
+    """Spark's xxhash64 of a line."""
+    h = xxhash.xxh64_intdigest(line.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _continued(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """key, next, n: how often other lines of the sorted part continue a line. next is the word that follows it, or null
+    if its last word goes on. A part begins with all prefixes of its first line, as these may stand in an earlier part."""
+    stack: list[tuple[int, int, Counter]] = []  # (length, key, count) of the prefixes of the line at hand
+    last = None
+
+    def rows(shared: int) -> list[tuple[int, str | None, int]]:
+        out = []
+        while stack and stack[-1][0] > shared:
+            _, key, count = stack.pop()
+            out += [(key, w, n) for w, n in count.items()]
+        return out
+
+    frame = lambda r: pd.DataFrame(r, columns=["key", "next", "n"])
+    for pdf in batches:
+        out = []
+        for line, n in zip(pdf["line"], pdf["n"]):
+            if last is None:
+                h = xxhash.xxh64(seed=42)
+                for k, c in enumerate(line[:-1], 1):
+                    h.update(c.encode())
+                    x = h.intdigest()
+                    stack.append((k, x - (1 << 64) if x >> 63 else x, Counter()))
+            else:
+                out += rows(len(os.path.commonprefix([last, line])))
+            for k, _, count in stack:
+                count[None if line[k - 1].isalnum() and line[k].isalnum() else _NEXT.match(line, k)[0]] += n
+            stack.append((len(line), _key(line), Counter()))
+            last = line
+        yield frame(out)
+    yield frame(rows(0))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """line, whole: of every closing line, whether it recurs and no much more frequent one continues it."""
-    n = docs.where("line is not null").groupBy("line").agg(F.count("*").alias("n"))
-    recurring = n.where(f"n >= {RECURS} and length(line) <= 200")
-    prefixes = recurring.select(F.explode(F.expr("transform(sequence(1, length(line) - 1), i -> substring(line, 1, i))")).alias("line"), "n").where(F.length("line") > 0)
-    continued = prefixes.groupBy("line").agg(F.max("n").alias("continued"))
-    j = n.join(continued, "line", "left")
-    cut = F.coalesce(F.col("continued") >= LONGER * F.col("n"), F.lit(False))
-    return j.select("line", (~cut & (F.col("n") >= RECURS)).alias("recurs"), cut.alias("continues"))
+    """line, recurs, continues, of every closing line; equal texts count once. A line that breaks off inside a word is cut
+    if lines that go on there are as frequent, another one if those with one and the same next word are LONGER times as
+    frequent. It recurs only if fewer lines continue it, else its closing word decides."""
+    n = docs.where("line is not null").groupBy("line").agg(F.countDistinct("cls").alias("n"))
+    parts = n.repartitionByRange("line").sortWithinPartitions("line").mapInPandas(_continued, "key long, next string, n long")
+    longer = parts.groupBy("key", "next").agg(F.sum("n").alias("n")).groupBy("key").agg(
+        F.coalesce(F.max(F.expr("if(next is null, n, null)")), F.lit(0)).alias("inside"),
+        F.coalesce(F.max(F.expr("if(next is null, null, n)")), F.lit(0)).alias("after"),
+    )
+    j = n.withColumn("key", F.xxhash64("line")).join(longer, "key", "left").fillna(0, ["inside", "after"])
+    cut = ((F.col("inside") >= RECURS) & (F.col("inside") >= F.col("n"))) | ((F.col("after") >= RECURS) & (F.col("after") >= LONGER * F.col("n")))
+    whole = (F.col("n") >= RECURS) & (F.greatest("inside", "after") < F.col("n"))
+    return j.select("line", (~cut & whole).alias("recurs"), cut.alias("continues"))
 
 
 def _after(a: str, b: str) -> tuple[bool, bool] | None:

@@ -293,3 +293,43 @@ def test_copies_in_a_shared_bucket(spark, monkeypatch):
     df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(rows)], "doc_id long, text string, source string")
     r = {x["doc_id"]: x["reason"] for x in truncation.judged(df).where("truncated").collect()}
     assert {i for i, v in r.items() if v == "copy goes on"} == {0, 1, 4, 6}
+
+
+def test_closing_lines_count_different_texts(spark):
+    whole, _, _, _ = truncation_docs()
+    rng = random.Random(11)
+    body = lambda: " ".join("".join(rng.choice("bdkl") + rng.choice("aeı") for _ in range(3)) for _ in range(40)) + " geldi."
+    tail = lambda: "".join(rng.choice("abcdef") for _ in range(8))
+    rows = [*whole]
+    copies = [len(rows) + i for i in range(4)]
+    rows += [f"{body()}\nbadela kıbade"] * 4  # copies of one cut text don't vouch for each other
+    links = [len(rows) + i for i in range(9)]
+    rows += [f"{body()} https://www.kitap.te" for _ in range(9)]  # half of the links are cut, each whole one is another
+    rows += [f"{body()} https://www.kitap.test/{tail()}" for _ in range(10)]
+    rows += [f"{body()}\nHoşça kalın" for _ in range(4)] + [f"{body()}\nHoşça kalın {tail()}" for _ in range(13)]  # a whole line, whoever follows
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(rows)], "doc_id long, text string, source string").repartition(3)
+    r = {x["doc_id"]: x["reason"] for x in truncation.judged(df).where("truncated").collect()}
+    assert set(copies) | set(links) <= set(r) and {r[i] for i in links} == {"line goes on"}
+    lines = {x["line"]: (x["recurs"], x["continues"]) for x in truncation._lines(docs_of(df)).collect()}
+    assert lines["hoşça kalın"] == (True, False)
+    assert lines["https://www.kitap.te"] == (False, True)
+
+
+def docs_of(df):
+    return df.mapInPandas(truncation._scan, truncation._ROW).where("doc_id is not null")
+
+
+def test_continued_lines_against_brute_force(spark):
+    rng = random.Random(12)
+    lines = {"".join(rng.choice("ab ş") for _ in range(rng.randrange(1, 7))): rng.randrange(1, 5) for _ in range(300)}
+    df = spark.createDataFrame(list(lines.items()), "line string, n long").repartitionByRange(5, "line").sortWithinPartitions("line")
+    got = Counter()
+    for r in df.mapInPandas(truncation._continued, "key long, next string, n long").collect():
+        got[r["key"], r["next"]] += r["n"]
+    keys = {r["line"]: r["k"] for r in df.select("line", F.xxhash64("line").alias("k")).collect()}
+    want = Counter()
+    for a in lines:
+        for b, n in lines.items():
+            if b != a and b.startswith(a):
+                want[keys[a], None if a[-1].isalnum() and b[len(a)].isalnum() else truncation._NEXT.match(b, len(a))[0]] += n
+    assert {k: n for k, n in got.items() if k[0] in set(keys.values())} == want
