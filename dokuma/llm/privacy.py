@@ -6,6 +6,7 @@ the corpus counts each term's occurrences and its co-occurrences with protected
 or a form of address). A term is disclosing, and the span it stands in is replaced, if the slot explains most of its
 occurrences (pointwise mutual information above a threshold) and several different neighbours do (a term that follows
 one name only, as in a fixed phrase, tells nothing). Rare terms fall back to the statistics of their endings.
+Equal texts are counted once, and rarity is a number of different contexts, so copies change nothing.
 
 Spans refer to the stored text; nothing but the spans is changed.
 """
@@ -18,6 +19,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,7 @@ from .confusables import FIELDS, fields
 
 LEAST_SHARE = 0.5  # of a term's occurrences that the slot explains
 LEAST_BITS = 1.0  # pointwise mutual information with the slot
+RARE = 3  # different contexts of a term that its neighbour alone may disclose
 LEAST_CUES = 2  # different neighbours that show the term in the slot
 ENDING = 5
 PLACEHOLDERS = {"email": "<EMAIL>", "phone": "<PHONE>", "identity": "<IDENTITY>", "address": "<ADDRESS>", "name": "<NAME>"}
@@ -198,35 +201,43 @@ def spans(text: str, count: Counter | None = None) -> list[tuple[str, int, int,
     return [(k, offsets[s], offsets[e - 1] + 1, t, c) for k, s, e, t, c in out]
 
 
-_ROW = "ex_id long, field_name string, pii_type string, start int, stop int, term string, cue string, n long"
+def _context(text: str, start: int, stop: int, cue: str | None) -> int:
+    """Hash of what a span stands beside: the word before, its cue, the word after."""
+    before = _WORD.findall(text[max(0, start - 40) : start].translate(_VIEW))[-1:]
+    after = _WORD.findall(text[stop : stop + 40].translate(_VIEW))[:1]
+    return xxhash.xxh64_intdigest(f"{before}{cue}{after}") - (1 << 63)
+
+
+_ROW = "cls binary, pii_type string, start int, stop int, term string, cue string, context long, n long"
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Spans of every field, and the partition's term counts (rows without ex_id)."""
+    """Spans of every text, and the partition's term counts (rows without cls)."""
     count: Counter = Counter()
-    columns = ["ex_id", "field_name", "pii_type", "start", "stop", "term", "cue", "n"]
+    columns = ["cls", "pii_type", "start", "stop", "term", "cue", "context", "n"]
+    types = {"start": "Int32", "stop": "Int32", "context": "Int64"}
 
     def counted() -> pd.DataFrame:
-        rows = [(None, None, None, None, None, t, None, n) for t, n in count.items()]
+        rows = [(None, None, None, None, t, None, None, n) for t, n in count.items()]
         count.clear()
-        return pd.DataFrame(rows, columns=columns).astype({"ex_id": "Int64", "start": "Int32", "stop": "Int32"})
+        return pd.DataFrame(rows, columns=columns).astype(types)
 
     for pdf in batches:
         rows = []
-        for i, f, t in zip(pdf["ex_id"], pdf["field_name"], pdf["text"]):
-            rows += [(i, f, k, s, e, w, c, 1) for k, s, e, w, c in spans(t, count)]
-        yield pd.DataFrame(rows, columns=columns).astype({"ex_id": "Int64", "start": "Int32", "stop": "Int32"})
+        for i, t in zip(pdf["cls"], pdf["text"]):
+            rows += [(i, k, s, e, w, c, _context(t, s, e, c) if w else None, 1) for k, s, e, w, c in spans(t, count)]
+        yield pd.DataFrame(rows, columns=columns).astype(types)
         if len(count) > 200_000:
             yield counted()
     yield counted()
 
 
 def _disclosing(scan: DataFrame) -> DataFrame:
-    """Terms whose place in a name discloses a person: term and ending statistics over the whole corpus."""
-    seen = scan.where("ex_id is not null and pii_type = 'name' and term is not null")
+    """Terms whose place in a name discloses a person: term and ending statistics over all different texts of the corpus."""
+    seen = scan.where("cls is not null and pii_type = 'name' and term is not null")
     cue = F.when(F.col("cue") != "?", F.col("cue"))  # capitals alone are no neighbour
-    slots = seen.groupBy("term").agg(F.sum("n").alias("k"), F.countDistinct(cue).alias("cues"))
-    totals = scan.where("ex_id is null").groupBy("term").agg(F.sum("n").alias("n"))
+    slots = seen.groupBy("term").agg(F.sum("n").alias("k"), F.countDistinct(cue).alias("cues"), F.countDistinct("context").alias("contexts"))
+    totals = scan.where("cls is null").groupBy("term").agg(F.sum("n").alias("n"))
     ending = F.substring("term", -ENDING, ENDING).alias("ending")
     sums = totals.agg(F.sum("n").alias("words")).collect()[0]["words"] or 0
     held = slots.agg(F.sum("k").alias("k")).collect()[0]["k"] or 0
@@ -241,20 +252,22 @@ def _disclosing(scan: DataFrame) -> DataFrame:
     judged = terms.join(ends, "ending", "left")
     kept = judged.where(own | (shared & (F.col("k") / F.col("n") >= LEAST_SHARE))).select("term")
     # a rare term is disclosed by a neighbour that itself stands almost only beside disclosing terms
-    beside = seen.where("cue <> '?'").join(kept.withColumn("kept", F.lit(1)), "term", "left").groupBy("cue").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("kept")).alias("good"))
+    beside = seen.where("cue <> '?'").select("cue", "term", "context").distinct().join(kept.withColumn("kept", F.lit(1)), "term", "left").groupBy("cue").agg(F.count("*").alias("all"), F.sum("kept").alias("good"))
     reliable = beside.where("good >= 5 and good >= 0.6 * all").select("cue")
-    rare = judged.where("n <= 3 and k = n").select("term")
+    rare = judged.where(f"contexts <= {RARE} and k = n").select("term")
     by_cue = seen.join(rare, "term", "left_semi").join(reliable, "cue", "left_semi").select("term")
     return kept.unionByName(by_cue).distinct()
 
 
 def detected(examples: DataFrame) -> DataFrame:
     """ex_id, field_name, pii_type, start, stop of every accepted span. Null and empty fields hold none."""
-    scan = checkpointed(fields(examples, names=FIELDS).mapInPandas(_scan, _ROW))
-    found = scan.where("ex_id is not null")
-    sure = found.where("term is null")
-    names = found.where("term is not null").join(_disclosing(scan), "term")
-    return sure.select("ex_id", "field_name", "pii_type", "start", "stop").unionByName(names.select("ex_id", "field_name", "pii_type", "start", "stop"))
+    f = fields(examples, names=FIELDS)
+    cls = F.unhex(F.md5("text"))  # equal texts are read and counted once, however often they were loaded
+    scan = checkpointed(f.select("text").distinct().select(cls.alias("cls"), "text").mapInPandas(_scan, _ROW))
+    held = scan.where("cls is not null")
+    names = held.where("term is not null").join(_disclosing(scan), "term")
+    s = held.where("term is null").select("cls", "pii_type", "start", "stop").unionByName(names.select("cls", "pii_type", "start", "stop"))
+    return f.select("ex_id", "field_name", cls.alias("cls")).join(s, "cls").select("ex_id", "field_name", "pii_type", "start", "stop")
 
 
 def found(examples: DataFrame) -> DataFrame:

@@ -333,3 +333,14 @@ def test_continued_lines_against_brute_force(spark):
             if b != a and b.startswith(a):
                 want[keys[a], None if a[-1].isalnum() and b[len(a)].isalnum() else truncation._NEXT.match(b, len(a))[0]] += n
     assert {k: n for k, n in got.items() if k[0] in set(keys.values())} == want
+
+
+@pytest.mark.parametrize("copies, noise", [(1, ""), (2, ""), (9, ""), (3, "!")])
+def test_copies_of_a_rare_name(spark, copies, noise):
+    rows = [(i, t, None) for i, t in enumerate([*PEOPLE, *(f"{w} Elif Karasökmez geldi" for w in ("geldi", "gitti", "yazdı", "baktı", "sordu")), *OTHERS])]
+    rows += [(1000 + k, "dün Elif Zortunb yazdı" + noise * k, "Dün Elif Zortunb yazdı." + noise * k) for k in range(copies)]
+    e = spark.createDataFrame([(i, "train", "b", r, g, None, "x") for i, r, g in rows], EXAMPLES)
+    got = {(r["ex_id"], r["field_name"]) for r in privacy.found(e).where("pii_type = 'name' and ex_id >= 1000").collect()}
+    assert got == {(1000 + k, c) for k in range(copies) for c in ("raw_text", "gold_text")}
+    red = {r["text"] for r in privacy.redacted(e).where("ex_id >= 1000").collect()}
+    assert all("<NAME>" in t and "Zort" not in t for t in red)
