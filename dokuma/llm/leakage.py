@@ -118,8 +118,8 @@ class Item:
         self.k = min(WINDOW, self.n)
 
 
-def compare(item: Item, plain: np.ndarray, template: np.ndarray, hits: list[tuple[int, int]]) -> tuple[float, int, int, bool] | None:
-    """(coverage, stretch length, slots changed, consistent) of the best stretch, or None. hits: (document, item) positions."""
+def compare(item: Item, plain: np.ndarray, template: np.ndarray, hits: list[tuple[int, int]]) -> tuple[float, int, int, bool, bool] | None:
+    """(coverage, stretch length, slots changed, consistent) of the best stretch and whether any stretch is verbatim, or None. hits: (document, item) positions."""
     diagonals = sorted({d - i for d, i in hits})
     clusters = [[diagonals[0]]]
     for d in diagonals[1:]:
@@ -127,7 +127,7 @@ def compare(item: Item, plain: np.ndarray, template: np.ndarray, hits: list[tupl
             clusters[-1].append(d)
         else:
             clusters.append([d])
-    best = None
+    best, verbatim = None, False
     index = np.arange(item.n)
     for cluster in clusters:
         match = np.zeros(item.n, bool)
@@ -157,9 +157,11 @@ def compare(item: Item, plain: np.ndarray, template: np.ndarray, hits: list[tupl
         for x, y in changed:
             filled[x].add(y)
         row = (float(match[s:e].sum()) / item.n, int(e - s), len(changed), all(len(v) == 1 for v in filled.values()))
-        if e - s >= max(item.k, item.n * SHARE - 2) and (best is None or row[0] > best[0]):
-            best = row
-    return best
+        if e - s >= max(item.k, item.n * SHARE - 2):
+            verbatim |= row[2] <= EXCHANGED * row[1]
+            if best is None or row[0] > best[0]:
+                best = row
+    return best and (*best, verbatim)
 
 
 class Index:
@@ -175,24 +177,28 @@ class Index:
             pos = np.concatenate([np.arange(len(w)) for w, _ in ws])
             order = np.lexsort((pos, item, h))
             h, item, pos = h[order], item[order], pos[order]
-            # a window that an item repeats is looked up at its first place only: hits stay linear in the document
+            # a template window that an item repeats is looked up at its first place, and at the others by its plain words:
+            # windows of slots only, as in tables of numbers, would hit everywhere
             first = np.ones(len(h), bool)
             first[1:] = (h[1:] != h[:-1]) | (item[1:] != item[:-1])
-            self.by_k[k] = (h[first], item[first], pos[first])
+            plain = np.concatenate([windows(x.plain, k) for x in self.items if x.k == k])[order][~first]
+            again = np.argsort(plain, kind="stable")
+            self.by_k[k] = ((h[first], item[first], pos[first]), (plain[again], item[~first][again], pos[~first][again]))
 
     def matches(self, text: str) -> list[tuple[int, float, int, int, bool]]:
         plain, template = hashes(text)
         hits = defaultdict(list)
-        for k, (h, item, pos) in self.by_k.items():
-            w = windows(template, k)
-            if not len(w):
-                continue
-            at = np.searchsorted(h, w)
-            for d in np.flatnonzero(h[np.minimum(at, len(h) - 1)] == w):
-                i = at[d]
-                while i < len(h) and h[i] == w[d]:
-                    hits[item[i]].append((int(d), int(pos[i])))
-                    i += 1
+        for k, tables in self.by_k.items():
+            for words, (h, item, pos) in zip((template, plain), tables):
+                w = windows(words, k)
+                if not len(w) or not len(h):
+                    continue
+                at = np.searchsorted(h, w)
+                for d in np.flatnonzero(h[np.minimum(at, len(h) - 1)] == w):
+                    i = at[d]
+                    while i < len(h) and h[i] == w[d]:
+                        hits[item[i]].append((int(d), int(pos[i])))
+                        i += 1
         out = []
         for j, found in hits.items():
             r = compare(self.items[j], plain, template, found)
@@ -201,8 +207,8 @@ class Index:
         return out
 
 
-_SCHEMA = "doc_id long, item_id long, coverage double, words int, slots_changed int, consistent boolean"
-_NAMES = ["doc_id", "item_id", "coverage", "words", "slots_changed", "consistent"]
+_SCHEMA = "doc_id long, item_id long, coverage double, words int, slots_changed int, consistent boolean, verbatim boolean"
+_NAMES = ["doc_id", "item_id", "coverage", "words", "slots_changed", "consistent", "verbatim"]
 
 
 def matches(documents: DataFrame, items: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
@@ -257,8 +263,8 @@ def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def found(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """Pairs whose words agree in the stretch; pairs that agree only with their slots filled anew are left to the report."""
-    return matches(documents, items).where("slots_changed <= 0.1 * words").select("doc_id", "item_id").distinct()
+    """Pairs whose words agree in a stretch, even if a longer one has its slots filled anew; pairs that agree only with their slots filled anew are left to the report."""
+    return matches(documents, items).where("verbatim").select("doc_id", "item_id").distinct()
 
 
 def report(documents: DataFrame, items: DataFrame) -> DataFrame:

@@ -199,6 +199,20 @@ def leak_frames(spark):
     return d, t
 
 
+def test_repeated_windows_and_hidden_halves():
+    rng = random.Random(8)
+    table = [str(rng.randrange(1000, 10**6)) for _ in range(80)]
+    refrain = passage_words(rng, 10) * 4
+    found = lambda item, doc: [m[-1] for m in leakage.Index([(1, " ".join(item))]).matches(" ".join(doc))]
+    assert found(table, passage_words(rng, 9) + table[40:]) == [True]  # the second half of a table of numbers
+    assert found(passage_words(rng, 30) + table[:30], passage_words(rng, 9) + table[:30]) == [True]
+    assert found(table, [str(int(w) + 10**7) for w in table[40:]]) != [True]
+    assert found(passage_words(rng, 10) + refrain, passage_words(rng, 5) + refrain) == [True]
+    item = [f"{w}'da" if i % 5 == 0 else w for i, w in enumerate(passage_words(rng, 60))]
+    refilled = [f"{rng.randrange(9)}x'da" if "'" in w else w for w in item]
+    assert found(item, refilled + passage_words(rng, 300) + item[:32]) == [True]
+
+
 @pytest.mark.parametrize("most", [leakage.MAX_ITEMS, 2])
 def test_leakage(spark, most):
     d, t = leak_frames(spark)
