@@ -63,6 +63,7 @@ EMAIL = re.compile(
     rf"(?:mailto:)?(?<![a-z0-9._%+\-])[a-z0-9_][a-z0-9._%+\-]{{0,63}}(?:{_AT}[a-z0-9\-]{{1,63}}(?:{_DOT}[a-z0-9\-]{{2,63}})+"
     rf"| (?:at|kuyruklu a) [a-z0-9\-]{{2,63}}(?: (?:dot|nokta) [a-z]{{2,63}})+)"
 )
+MAY_MAIL = re.compile(r"@|at|[\[({]\s?et\s?[\])}]|kuyruklu a")  # every sign that EMAIL asks for
 NUMBER = re.compile(r"(?<![a-z0-9.])(?:[+(]{0,2}|[a-z](?=\d{7,9}(?!\.?\d)))\d(?:[ .\-/()]{0,2}\d){6,15}(?![0-9]|[a-z])")
 _STREET = r"(?:sokak|sokagi|sokagin|sok|sk|cadde|caddesi|cad|cd|bulvar|bulvari|blv|bulv|mahalle|mahallesi|mah|mh|mahallesinde|sokaginda|caddesinde)"
 _NUM = r"(?:no|numara|nu|kapi)?\W{0,3}\d{1,4}(?:\W?/\W?[0-9a-z]{1,3})?(?![0-9]|\.\d)"
@@ -144,7 +145,7 @@ def spans(text: str, count: Counter | None = None) -> list[tuple[str, int, int,
     view = text.translate(_VIEW)
     out: list[tuple[str, int, int, str | None, str | None]] = []
     masked = view
-    if "@" in view or "at" in view:
+    if MAY_MAIL.search(view):
         for m in EMAIL.finditer(view):
             out.append(("email", m.start(), m.end(), None, None))
             masked = masked[: m.start()] + "\x00" * (m.end() - m.start()) + masked[m.end() :]

@@ -358,3 +358,8 @@ def test_copies_of_a_rare_name(spark, copies, noise):
     assert got == {(1000 + k, c) for k in range(copies) for c in ("raw_text", "gold_text")}
     red = {r["text"] for r in privacy.redacted(e).where("ex_id >= 1000").collect()}
     assert all("<NAME>" in t and "Zort" not in t for t in red)
+
+
+@pytest.mark.parametrize("text", ["ali.veli (et) posta (nokta) com", "ali.veli[et]posta.com", "ali kuyruklu a posta nokta com"])
+def test_mail_without_the_letters_at(text):
+    assert kinds(text) == {"email"}
