@@ -153,6 +153,13 @@ def shrink_runs(spark, d):
     return rows.select("ex_id", chars.shrink_runs(c, 2, False).alias("shrunk"), chars.shrink_repetitions_to(c, 1).alias("single"))
 
 
+@query()
+def shrink_runs_all(spark, d):
+    c = F.col("raw_text")
+    rows = table(spark, d, "examples").where(c.isNotNull())
+    return rows.select("ex_id", chars.shrink_runs(c, 2, False).alias("shrunk"), chars.shrink_repetitions_to(c, 1).alias("single"))
+
+
 @query(
     r"""with c as (select unnest(string_split(raw_text, '')) as ch from examples where raw_text is not null)
     select category, count(*) as n from (select case when regexp_matches(ch, '^[\s\x0b\p{Z}]$') then 'WS' when regexp_matches(ch, '^\p{L}$') then 'L'
@@ -220,6 +227,14 @@ def edit_distances(spark, d):
     return p.select("a", "b", chars.edit_distance(a, b).alias("distance"), chars.within_edits(a, b, 1).alias("within_one"), chars.edit_estimate(a, b).alias("estimate"))
 
 
+@query()
+def edit_distances_all(spark, d):
+    p = table(spark, d, "noisy_pairs").where("raw is not null and gold is not null")
+    p = p.select(chars.strip_diacritics(F.col("raw")).alias("a"), chars.strip_diacritics(F.col("gold")).alias("b")).distinct()
+    a, b = F.col("a"), F.col("b")
+    return p.select("a", "b", chars.edit_distance(a, b).alias("distance"), chars.within_edits(a, b, 1).alias("within_one"), chars.edit_estimate(a, b).alias("estimate"))
+
+
 @query(
     """select source, least(64, cast(pow(2, length(regexp_replace(translate(source, 'I', 'i'), '[^cgosui]', '', 'g'))) as int)) as variants
     from (select distinct lower(source) as source from lexicon where source is not null)"""
@@ -328,6 +343,12 @@ def copula_split(spark, d):
     return t.select("token", F.array_join(tokenize.split_copula(F.col("token")), "+").alias("parts"))
 
 
+@query()
+def copula_split_all(spark, d):
+    t = table(spark, d, "examples").select(F.explode(tokenize.rule_tokens(F.col("raw_text"), copulas=False)).alias("token")).distinct()
+    return t.select("token", F.array_join(tokenize.split_copula(F.col("token")), "+").alias("parts"))
+
+
 _PARTS = lambda t: f"""case when regexp_matches(lower(translate({t}, 'İ', 'i')), '(acak|ecek)(tı|ti|tu|tü)$') then left({t}, length({t}) - 2) || '|' || right({t}, 2)
     when regexp_matches(lower(translate({t}, 'İ', 'i')), '(ymiş|yken)$') and length({t}) > 5 then left({t}, length({t}) - 4) || '|' || right({t}, 4) when regexp_matches(lower(translate({t}, 'İ', 'i')), 'ydi$') and length({t}) > 4 then left({t}, length({t}) - 3) || '|' || right({t}, 3)
     when regexp_matches(lower(translate({t}, 'İ', 'i')), 'bilirdik$') then left({t}, length({t}) - 3) || '|' || right({t}, 3) when regexp_matches(lower(translate({t}, 'İ', 'i')), '{tokenize.COPULA}') and not regexp_matches(lower(translate({t}, 'İ', 'i')), '{tokenize.VERB_ENDING}')
@@ -453,6 +474,13 @@ def dynamic_stop_filter(spark, d):
     return corpus.filter_by_table(t, stop).groupBy("token").agg(F.count("*").alias("freq"))
 
 
+@query()
+def dynamic_stop_filter_all(spark, d):
+    t = corpus.corpus_tokens(_conllu(spark, d))
+    stop = corpus.top_words(t.groupBy(F.col("token").alias("word")).agg(F.count("*").alias("freq")))
+    return corpus.filter_by_table(t, stop).groupBy("token").agg(F.count("*").alias("freq"))
+
+
 _IGNORE = lambda c: rf"""({c} = '' or length({c}) > 40 or {c} in ({', '.join("'" + s + "'" for s in corpus.SKIPPED)}) or regexp_matches({c}, '^\p{{P}}+$') or regexp_matches({c}, '(?i)^https?://\S+$')
     or regexp_matches({c}, '(?i)^[\w.\-+%]+@[\w.\-]+\.[A-Za-z]{{2,}}$') or regexp_matches({c}, '^\d+(?:[.,]\d+)?$'))"""
 _SURFACE = rf"""(select word, count(*) as freq from (select regexp_replace(t, '^\p{{P}}+|\p{{P}}+$', '', 'g') as word from (select unnest({_WST('gold_text')}) as t from examples where gold_text is not null
@@ -528,6 +556,26 @@ def lexicon_backfill(spark, d):
     return corpus.build_lexicon(_pure(spark, d), _surface(spark, d))
 
 
+@query()
+def pair_counts_all(spark, d):
+    return corpus.pair_counts(_noisy(spark, d))
+
+
+@query()
+def best_target_all(spark, d):
+    return corpus.best_targets(corpus.pair_counts(_noisy(spark, d)), surface_vocab_all(spark, d))
+
+
+@query()
+def canonical_case_all(spark, d):
+    return corpus.canonical_casing(surface_vocab_all(spark, d))
+
+
+@query()
+def lexicon_backfill_all(spark, d):
+    return corpus.build_lexicon(_noisy(spark, d), surface_vocab_all(spark, d))
+
+
 @query()
 def tweet_lexicon(spark, d):
     noisy = _noisy(spark, d).where("raw is not null").select(F.lower("raw").alias("noisy"))
@@ -608,6 +656,21 @@ def ed2_candidates(spark, d):
     return _near(spark, d, 2)
 
 
+def _near_all(spark: SparkSession, d: str, edits: int) -> DataFrame:
+    keys = _noisy_tokens(spark, d).select(chars.tr_lower(F.col("token")).alias("key")).distinct()
+    return normalize.near_hits(keys, _lexicon(spark, d), _prior(spark, d), edits).select("key", "target", "edits")
+
+
+@query()
+def ed1_candidates_all(spark, d):
+    return _near_all(spark, d, 1)
+
+
+@query()
+def ed2_candidates_all(spark, d):
+    return _near_all(spark, d, 2)
+
+
 @query()
 def normalized_tokens(spark, d):
     return normalize.normalize_tokens(_noisy_tokens(spark, d), _lexicon(spark, d), _prior(spark, d))
@@ -649,6 +712,11 @@ def title_counts(spark, d):
     return corpus.title_counts(t, least=2)
 
 
+@query()
+def title_counts_all(spark, d):
+    return corpus.title_counts(table(spark, d, "conllu_tokens").where("lemma is not null").select(F.col("lemma").alias("title")), least=2)
+
+
 @query(
     rf"""select word, count(*) as freq from (select unnest({_WST('gold_text')}) as word from examples where gold_text is not null) where regexp_matches(word, '^\p{{L}}[\p{{L}}''’\-]*$') and length(word) between 2 and 40
     and ((regexp_matches(word, '\p{{Lu}}') and not regexp_matches(word, '[\p{{Ll}}\p{{Lt}}\p{{Lm}}\p{{Lo}}]') and length(word) <= 8) or (regexp_matches(word, '^\P{{L}}*\p{{Lu}}') and regexp_matches(word, '[\p{{Ll}}\p{{Lt}}\p{{Lm}}\p{{Lo}}]')))
