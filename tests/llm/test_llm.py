@@ -20,7 +20,8 @@ def examples(spark, texts, split="train", gold=None):
 # 1
 
 
-SAMPLES = [("Hepiniz aptal sürüsüsünüz. Bugün hava güzel.", 1), ("Bugün hava güzel ve deniz sakin.", 0), ("Seni gebertirim haberin olsun. Akşam eve döndük.", 1), ("Akşam eve döndük ve yattık.", 0)]
+SAMPLES = [(f"{t} {x}.", 1) for x in ("Bugün hava güzel", "Akşam eve döndük", "Deniz sakindi") for t in ("Kem kumsuz gelmeyin dedim.", "Sana kumsuz diyorum.", "Bir kumsuz gördüm orada.")]
+SAMPLES += [(t, 0) for t in ("Bugün hava güzel ve deniz sakin.", "Akşam eve döndük ve yattık.", "Sözlükte kumsuz maddesi var.", "Sözlükte kumsuz maddesi yok.", "Deniz sakindi.")]
 
 
 def test_tokens_undo_disguises():
@@ -28,28 +29,56 @@ def test_tokens_undo_disguises():
     assert abuse.tokens("") == [] and abuse.tokens("12 - ?") == []
 
 
-def test_abuse_scores():
-    m = abuse.train(SAMPLES)
-    score = lambda t: m.score([m.resolve(w) for w in abuse.tokens(t)])
-    bad = ["sus artık b.u.d.a.l.a seni", "kapa ÇENENİ s@l4k", "yürüyüşten döndük. hepiniz dnglk sürüsüsünüz yarın görüşürüz", "bu gece seninle sevişmek istiyorum", "evini bulup döverim seni"]
-    good = ["sözlükte salak maddesi yeniden yazıldı", "mahkeme aptal sözünü hakaret saydı", "öküz tarlada dinleniyor", "bugün hava çok güzel", "meme kanseri taraması başladı", ""]
-    assert min(map(score, bad)) > abuse.THRESHOLD > max(map(score, good))
+def test_abuse_is_learned_from_the_samples():
+    m = abuse.train(SAMPLES, abuse.Counts(), 0)
+    shared = abuse.Counts([["hava", "kumsuz"]] + [["su", "ekmek", "hava"]] * 300)
+    m = abuse.train(SAMPLES, shared, 900)
+    bad = ["sana k.u.m.s.u.z diyorum", "dönerken gördüm. SANA kumsz diyorum işte", "sana KUM5UZ diyorum"]
+    good = ["sözlükte kumsuz maddesi eksik", "bugün hava güzel", "hava su ekmek", ""]
+    assert min(map(m.score, bad)) > abuse.THRESHOLD > max(map(m.score, good))
+    assert abuse.train([], shared, 900).score("sana kumsuz diyorum") == 0.0  # nothing is known without samples
 
 
 def test_abuse_frame(spark):
     s = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate([*SAMPLES, (None, 1)])], "sample_id long, text string, label int")
-    r = abuse.scored(examples(spark, ["kapa çeneni salak", "güzel ev", None, "", "güzel ev " * 20_000]), s)
-    assert [x["abusive"] for x in r.orderBy("ex_id").collect()][:2] == [True, False] and r.where("score is null").count() == 2
-    assert abuse.rates(r).collect()[0].asDict() == {"domain": "boun", "records": 5, "abusive": 1, "share": 0.2}
-    assert abuse.scored(examples(spark, []), s).count() == 0
+    r = abuse.scored(examples(spark, ["sana kumsuz diyorum", "güzel ev", None, "", "güzel ev " * 20_000, *["ekmek su hava"] * 300]), s)
+    assert [x["abusive"] for x in r.orderBy("ex_id").limit(2).collect()] == [True, False] and r.where("score is null").count() == 2
+    assert abuse.rates(r).collect()[0].asDict() == {"domain": "boun", "records": 305, "abusive": 1, "share": 1 / 305}
+    assert abuse.scored(examples(spark, []), s).count() == 0 and abuse.scored(examples(spark, ["a"]), s.limit(0)).where("abusive").count() == 0
+
+
+def test_corpus_counts(spark):
+    c, total = abuse.corpus_counts(examples(spark, ["Bir iki. bir iki üç", "üç bir", None, ""]), abuse.Counts([["bir", "iki"], ["dort"]]))
+    assert (dict(c.words), dict(c.pairs), total) == ({"bir": 3, "iki": 2}, {("bir", "iki"): 2}, 7)
 
 
 @pytest.mark.skipif(not os.path.exists(DATA), reason="no test data")
 def test_abuse_held_out(spark):
+    """Whole templates are held out: what their sentences share is in no row that the model is fitted on. Labelled
+    sentences only; recall on unseen templates is what the words of other templates give."""
     rows = [(r["text"], r["label"]) for r in spark.read.parquet(f"{DATA}/abuse_samples.parquet").orderBy("sample_id").collect()]
-    m = abuse.train([r for i, r in enumerate(rows) if i % 4])
-    right = [(m.score([m.resolve(w) for w in abuse.tokens(t)]) >= abuse.THRESHOLD) == bool(y) for i, (t, y) in enumerate(rows) if i % 4 == 0]
-    assert sum(right) / len(right) >= 0.97
+    corpus = spark.read.parquet(f"{DATA}/examples.parquet")
+    shared, total = abuse.corpus_counts(corpus, abuse.Counts(s for t, _ in rows for s in abuse.sentences(t)))
+    whole = abuse.train(rows, shared, total)
+    n = whole.cls[1].words
+
+    def template(text):
+        best = whole.known(max(abuse.sentences(text), key=lambda s: whole.best(whole.known(s))))
+        return max(best, key=lambda w: (n[w], w))
+
+    key = [template(t) if y else None for t, y in rows]
+    names = sorted({k for k in key if k})
+    random.Random(1).shuffle(names)
+    fold = [names.index(k) % 4 if k else i % 4 for i, k in enumerate(key)]
+    hits, alarms = [], []
+    for f in range(4):
+        m = abuse.train([r for r, g in zip(rows, fold) if g != f], shared, total)
+        for (t, y), g in zip(rows, fold):
+            if g == f:
+                (hits if y else alarms).append(m.score(t) >= abuse.THRESHOLD)
+    print(f"held-out templates: recall {sum(hits) / len(hits):.3f}, false alarms {sum(alarms) / len(alarms):.3f}")
+    assert sum(hits) / len(hits) >= 0.5 and sum(alarms) / len(alarms) <= 0.03
+    assert sum(whole.score(t) >= abuse.THRESHOLD for t, y in rows if y) == sum(y for _, y in rows)  # the fit itself
 
 
 # 2
