@@ -1,27 +1,27 @@
-"""Sentence splitting: a native form for plain text, and the exact rule automaton as an Arrow function."""
+"""Sentence splitting as column expressions."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import chars
 
 # Abbreviations that don't end a sentence.
 ABBREVIATIONS = frozenset(
-    "dr. sn. örn. alb. prof. bkz. mr. ms. vb. vs. doç. dzl. ed. ekon. ens. fak. fel. fiz. fizy. gn. geom. gr. haz. hek. jeol. "
-    "kim. koor. kr. krş. ltd. man. mat. mec. müz. no. rus. rum. sf. t.c. tar. tek. tel. telg. tic. tğm. tiy. tls. vd. vet. ünl. "
-    "yy. zool. zm. adr. alm. av. ecz. öğr. şti. a.ş. tıp. müh. u.s.a. hzn. ph.d. m.sc. st. ave.".split()
+    "dr. sn. örn. alb. prof. bkz. mr. ms. vb. vs. ar-ge doç. dzl. ed. ekon. ens. fak. fel. fiz. fizy. gn. geom. gr. haz. hek. huk is. "
+    "jeol. kim. koor. kr. krş. ltd. man. mat. mec. müz. no. ör. rus. rum. sf. sp. sos t.c. tar. tek. tel. telg. tic. tğm. tiy. tls. "
+    "vd. vet. ünl. yy. zool. zm. sa. adr. alm. av. ecz. öğr. şti. a.ş. tıp. müh. u.s.a. hzn. ph.d. m.sc. st. ave.".split()
 )
-_HELD = re.compile(r"https?://[^\s'\"()\[\]{},;:!?]+|www\.[^\s'\"()\[\]{},;:!?]+|[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}|\b\d+(?:\.\d+)+\b", re.I)
-_END = re.compile(r"\.{3}|…|[!?]{1,3}|(?<!\d)\.(?!\d)")
-_SHORT = re.compile(r"[A-Za-z]\.|(?:[A-Z]\.){2,}")
-# Runs of marks that split in the historical form.
-SPLITTING = {"!", "?", "!!", "???", "!?"}
+# Forms whose marks end nothing: web and mail addresses, dotted numbers, one letter, letters with dots.
+URL = r"(?i:https?://[^\s'\"()\[\]{},;:!?]+|www\.[^\s'\"()\[\]{},;:!?]+)"
+EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+DOTTED = r"\b\d+(?:\.\d+)+\b"
+INITIALS = r"(?:[A-Z]\.){2,}|[A-Za-z]\."
+QUOTES = "'\"“”‘’()"
+CLOSING = r"['\"“”‘’)\]]*"
+MARKS, HIDDEN, HELD = ".!?…", "\ue000\ue001\ue002\ue003", "\ue004"
+SPLIT, MAYBE, ELLIPSIS = "\ue005", "\ue006", "\ue007"
 
 
 def is_abbreviation(c: Column, known: frozenset[str] = ABBREVIATIONS) -> Column:
@@ -29,44 +29,45 @@ def is_abbreviation(c: Column, known: frozenset[str] = ABBREVIATIONS) -> Column:
     return chars.tr_lower(c, "plain").isin(*sorted(known)) | c.rlike(r"^(?:[A-Za-z]\.|(?:[A-Z]\.){2,})$")
 
 
-def split(text: str, known: frozenset[str] = ABBREVIATIONS, compat: bool = False) -> list[str]:
-    """Sentences of a text. Dots of abbreviations, numbers and addresses don't end one, an ellipsis does before a capital
-    outside quotes, and closing quotes stay with their sentence. compat splits only at the historical runs of marks."""
-    text = text.replace("\n", " ")
-    held = [m.span() for m in _HELD.finditer(text)]
-    out, start, h = [], 0, 0
-    for m in _END.finditer(text):
-        while h < len(held) and held[h][1] <= m.start():
-            h += 1
-        if h < len(held) and held[h][0] <= m.start():
-            continue
-        if m.start() < start:
-            continue
-        end, mark = m.end(), m[0]
-        part = text[start:end].strip(" \t")
-        if not part:
-            start = end
-            continue
-        last = part.split()[-1].strip("'\"“”‘’()")
-        if last.lower() in known or _SHORT.fullmatch(last):
-            continue
-        if mark in ("...", "…"):
-            after = text[end:].lstrip(" \t")[:1]
-            if (part.count('"') + part.count("'")) % 2 or (after and not after.isupper()):
-                continue
-        elif mark != "." and compat and mark not in SPLITTING:
-            continue
-        while end < len(text) and text[end] in "'\"“”‘’)]":
-            end += 1
-        out.append(text[start:end].strip(" \t"))
-        start = end
-    rest = text[start:].strip(" \t")
-    return [s for s in out if s] + ([rest] if rest else [])
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def rule_sentences(s: pd.Series) -> pd.Series:
-    return s.map(split, na_action="ignore")
+def _alternatives(known: frozenset[str]) -> str:
+    """A pattern for abbreviations, longest first; a dot is all that needs a backslash in them."""
+    return "|".join(w.replace(".", r"\.") for w in sorted(known, key=lambda w: (-len(w), w)) if w.endswith("."))
+
+
+def rule_sentences(c: Column, known: frozenset[str] = ABBREVIATIONS, every_run: bool = True) -> Column:
+    """Sentences of a text: they end at a dot that touches no digit, at ! and ? (up to three), and at an ellipsis before a
+    capital or the end while no quote is open. Dots of addresses, numbers and abbreviations end none; closing quotes and
+    brackets stay with their sentence. every_run=False ends none at !!!, ?? and ?!, as the historical rule did.
+
+    The steps are independent of each other: marks that end nothing are hidden, the others are followed by a sign, and the
+    text is cut at the signs. Null gives null, a blank text an empty array.
+    """
+    text = F.translate(c, "\n", " ")
+    short = rf"(?<=(?:^|\s)[{QUOTES}]{{0,3}})(?:" + (f"(?iu:{_alternatives(known)})|" if known else "") + f"{INITIALS})"
+    held = f"{URL}|{EMAIL}|{DOTTED}|{short}"
+    between = F.split(text, held, -1)
+    inside = F.transform(F.regexp_extract_all(text, F.lit(f"({held})"), F.lit(1)), lambda x: F.concat(F.translate(x, MARKS, HIDDEN), F.lit(HELD)))
+    text = F.array_join(F.transform(between, lambda x, i: F.concat(x, F.coalesce(F.get(inside, i), F.lit("")))), "")
+    run = r"[!?]{1,3}" if every_run else r"(?<![!?])(?:!!?|\?{3}|!\?|\?)(?![!?])"
+    text = F.regexp_replace(text, rf"(\.{{3}}|…)(?=[ \t]*(?:\p{{Lu}}|\z))", f"$1{MAYBE}")
+    text = F.replace(text, F.lit("..."), F.lit(ELLIPSIS))
+    text = F.regexp_replace(text, rf"((?:{run}|(?<!\d)\.{{1,2}}(?!\d)){CLOSING})", f"$1{SPLIT}")
+    pieces = F.flatten(F.transform(F.split(text, SPLIT), _unquoted))
+    plain = F.transform(pieces, lambda s: F.trim(F.replace(F.translate(s, HIDDEN + HELD, MARKS), F.lit(ELLIPSIS), F.lit("...")), F.lit(" \t")))
+    return F.filter(plain, lambda s: s != "")
+
+
+def _unquoted(piece: Column) -> Column:
+    """Parts of a piece between ellipses; a part goes on with the next one while a quote is open."""
+    even = lambda s: F.length(F.regexp_replace(s, "[^'\"]", "")) % 2 == 0
+    parts = F.split(piece, MAYBE)
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+    def step(acc: Column, part: Column) -> Column:
+        now = F.concat(acc["open"], part)
+        return F.when(even(now), F.struct(F.array_append(acc["done"], now).alias("done"), F.lit("").alias("open"))).otherwise(F.struct(acc["done"].alias("done"), now.alias("open")))
+
+    return F.when(~piece.contains(MAYBE), F.array(piece)).otherwise(F.aggregate(parts, start, step, lambda acc: F.array_append(acc["done"], acc["open"])))
 
 
 _ENDS = r"(?<!\d)(?<!(?:^|[\s(\"])[A-Za-z])\.(?!\d)|[!?]{1,3}"

@@ -388,10 +388,31 @@ def sentence_split(spark, d):
     return s.select("doc_id", F.size("s").cast("long").alias("sentences"), F.array_join("s", "|").alias("joined"))
 
 
-@query()
+def _rule_sentences_sql() -> str:
+    """Tokens hide the marks that end nothing, the rest is cut at its marks; parts join while a quote is open."""
+    hide = lambda u: f"translate({u}, '{sentences.MARKS}', chr(57344) || chr(57345) || chr(57346) || chr(57347)) || chr(57348)"
+    quotes = sentences.QUOTES.replace("'", "''")
+    url, short = sentences.URL.replace("'", "''"), "|".join(w.replace(".", r"\.") for w in sorted(sentences.ABBREVIATIONS, key=lambda w: (-len(w), w)) if w.endswith("."))
+    x = "x"
+    for pattern in (url, sentences.EMAIL, sentences.DOTTED):
+        x = f"list_reduce(list_concat([{x}], regexp_extract_all({x}, '{pattern}')), lambda a, u: replace(a, u, {hide('u')}))"
+    start = rf"'^[{quotes}]{{0,3}}((?i:{short})|{sentences.INITIALS})'"
+    x = f"list_transform([{x}], lambda y: case when regexp_matches(y, {start}) then replace(y, regexp_extract(y, {start}, 1), {hide(f'regexp_extract(y, {start}, 1)')}) else y end)[1]"
+    closing = sentences.CLOSING.replace("'", "''")
+    return rf"""with m as (select doc_id, array_to_string(list_transform(string_split(translate(text, chr(10), ' '), ' '), lambda x: {x}), ' ') as t from documents where text is not null),
+    e as (select doc_id, replace(regexp_replace(t, '(\.\.\.|…)([ \t]*)(\p{{Lu}}|$)', '\1' || chr(57350) || '\2\3', 'g'), '...', chr(57351)) as t from m),
+    d as (select doc_id, regexp_replace(regexp_replace(t, '(\d)\.', '\1' || chr(2), 'g'), '\.(\d)', chr(2) || '\1', 'g') as t from e),
+    p as (select doc_id, string_split(regexp_replace(t, '((?:[!?]{{1,3}}|\.{{1,2}}){closing})', '\1' || chr(57349), 'g'), chr(57349)) as p from d),
+    q as (select doc_id, list_transform(p, lambda x: string_split(x, chr(57350))) as q from p),
+    j as (select doc_id, flatten(list_transform(q, lambda x: string_split(list_reduce(x, lambda a, b: case when length(regexp_replace(a, '[^''"]', '', 'g')) % 2 = 0 then a || chr(57350) || b else a || b end), chr(57350)))) as j from q),
+    s as (select doc_id, list_filter(list_transform(j, lambda x: trim(replace(translate(x, chr(57344) || chr(57345) || chr(57346) || chr(57347) || chr(2) || chr(57348), '.!?….'), chr(57351), '...'), ' ' || chr(9))), lambda x: x <> '') as s from j)
+    select doc_id, len(s) as sentences, array_to_string(s, '|') as joined from s"""
+
+
+@query(_rule_sentences_sql())
 def rule_sentences(spark, d):
-    s = table(spark, d, "documents").where("text is not null").select("doc_id", sentences.rule_sentences("text").alias("s"))
-    return s.select("doc_id", F.size("s").alias("sentences"), F.array_join("s", "|").alias("joined"))
+    s = table(spark, d, "documents").where("text is not null").select("doc_id", sentences.rule_sentences(F.col("text")).alias("s"))
+    return s.select("doc_id", F.size("s").cast("long").alias("sentences"), F.array_join("s", "|").alias("joined"))
 
 
 @query(

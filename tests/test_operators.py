@@ -63,12 +63,20 @@ def test_merge_dependents(spark):
 # sentences
 
 
-def test_rule_sentences():
-    s = sentences.split("Dr. Ali geldi. Saat 3.5 oldu! \"Gel.\" dedi... Sonra gitti? bkz. www.a.com/b.c. T.C. kurumu")
-    assert s == ["Dr. Ali geldi.", "Saat 3.5 oldu!", '"Gel."', "dedi...", "Sonra gitti?", "bkz. www.a.com/b.c. T.C. kurumu"]
-    assert sentences.split("") == [] and sentences.split("Evet!!! Hayır?!") == ["Evet!!!", "Hayır?!"]
-    assert sentences.split("Evet?! Hayır", compat=True) == ["Evet?! Hayır"]
-    assert sentences.split("A gitti... ama döndü. Bitti") == ["A gitti... ama döndü.", "Bitti"]
+@pytest.mark.parametrize(
+    "text, want",
+    [("Dr. Ali geldi. Saat 3.5 oldu! \"Gel.\" dedi... Sonra gitti? bkz. www.a.com/b.c. T.C. kurumu", ["Dr. Ali geldi.", "Saat 3.5 oldu!", '"Gel."', "dedi...", "Sonra gitti?", "bkz. www.a.com/b.c. T.C. kurumu"]),
+     ("", []), ("  ", []), (None, None), ("Evet!!! Hayır?!", ["Evet!!!", "Hayır?!"]), ("A gitti... ama döndü. Bitti", ["A gitti... ama döndü.", "Bitti"]),
+     ("o '... Ali geldi' dedi... Veli sustu", ["o '... Ali geldi' dedi...", "Veli sustu"]), ("x@y.com. (Prof. Can) ör. sp. bitti.", ["x@y.com.", "(Prof. Can) ör. sp. bitti."]), ("fiyat 3.5. Sonra 12.", ["fiyat 3.5.", "Sonra 12."]),
+     ("Bitti.) Yeni\nsatır… Son", ["Bitti.)", "Yeni satır…", "Son"]), ("SN. VELİ geldi", ["SN. VELİ geldi"])],
+)
+def test_rule_sentences(spark, text, want):
+    assert one(spark, sentences.rule_sentences, text) == want
+
+
+def test_rule_sentences_historical_runs(spark):
+    assert one(spark, lambda c: sentences.rule_sentences(c, every_run=False), "Evet?! Hayır! Dur") == ["Evet?! Hayır!", "Dur"]
+    assert one(spark, lambda c: sentences.rule_sentences(c, known=frozenset()), "Dr. Ali geldi") == ["Dr.", "Ali geldi"]
 
 
 def test_simple_sentences(spark):
