@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chars, masks
-from ..session import checkpointed, spread
+from ..session import checkpointed
 
 MARKED = "[çğıöşüÇĞİÖŞÜ]"
 
@@ -56,8 +56,12 @@ def flip_hits(keys: DataFrame, lexicon: DataFrame) -> DataFrame:
     return hit.groupBy("key").agg(F.min_by("target", "n").alias("target"))
 
 
-def near_hits(keys: DataFrame, lexicon: DataFrame, frequencies: DataFrame, edits: int = 1) -> DataFrame:
-    """key, target, edits: the nearest lexicon key within ``edits``; ties by frequency, marks, length, key.
+def near_hits(
+    keys: DataFrame, lexicon: DataFrame, frequencies: DataFrame, edits: int = 1, least_freq: int | None = None, accepted: Callable[[DataFrame, str], DataFrame] | None = None
+) -> DataFrame:
+    """key, target, edits, freq: the nearest lexicon key within ``edits``; ties by frequency, marks, length, key.
+    least_freq and accepted (a validator) leave out candidates before the nearest is chosen, so a rare word at one edit
+    doesn't hide a frequent one at two; with them the key itself is no candidate.
 
     Candidates come from equal deletion neighbourhoods: both sides drop up to ``edits`` letters and meet on what is
     left, so nothing is compared that doesn't nearly match (no blocking by length alone).
@@ -69,6 +73,10 @@ def near_hits(keys: DataFrame, lexicon: DataFrame, frequencies: DataFrame, edits
     pairs = pairs.withColumn("edits", d).where("edits >= 0")
     j = pairs.join(lexicon.withColumnRenamed("key", "near"), "near")
     j = j.join(frequencies.withColumnRenamed("word", "_w"), chars.tr_lower(F.col("target")) == F.col("_w"), "left").drop("_w")
+    if least_freq is not None:
+        j = j.where((F.col("near") != F.col("key")) & (F.coalesce("freq", F.lit(0)) >= least_freq))
+    if accepted is not None:
+        j = accepted(j, "target").where("target_ok").drop("target_ok")
     order = F.struct("edits", F.negate(F.coalesce("freq", F.lit(0))), F.negate(F.regexp_count("target", F.lit(MARKED))), F.length("target"), "near")
     return j.groupBy("key").agg(F.min_by(F.struct("target", "edits", "freq"), order).alias("best")).select("key", "best.*")
 
@@ -128,6 +136,10 @@ def vocabulary_validator(vocabulary: DataFrame) -> Callable[[DataFrame, str], Da
     return check
 
 
+#: Changes of these kinds are accepted in soft mode whatever the validator says.
+LOW_RISK = ("lexicon", "diacritics", "proper")
+
+
 def cascade(
     tokens: DataFrame,
     lexicon: DataFrame,
@@ -139,55 +151,96 @@ def cascade(
     validator: Callable[[DataFrame, str], DataFrame] | None = None,
     diacritizer: Callable[[Column], Column] | None = None,
     vowel_restorer: Callable[[Column], Column] | None = None,
+    mode: str = "soft",
+    vowels: bool = True,
+    accents: bool = True,
 ) -> DataFrame:
-    """token, normalized of every distinct token by the full cascade: kept and safe words; the lexicon on the core between
-    punctuation (a frequent target or a noisy token); slang and signs; proper nouns; swapped letters; vowels and spoken
-    endings of elongated words; the base stages; two edits for noisy tokens. Hooks replace the built-in stages."""
-    base = normalize_tokens(tokens, lexicon, frequencies, safe, freq_ok)
-    t = base.withColumn("core", chars.split_core(F.col("token"))).withColumn("ckey", chars.tr_lower(F.col("core.core")))
-    t = t.join(lexicon.withColumnsRenamed({"key": "ckey", "target": "chit"}), "ckey", "left")
-    freq = frequencies.withColumnsRenamed({"word": "_w", "freq": "cfreq"})
-    t = t.join(freq, chars.tr_lower(F.col("chit")) == F.col("_w"), "left").drop("_w")
-    core_ok = (F.coalesce("cfreq", F.lit(0)) >= freq_ok) | looks_noisy(F.col("core.core"), F.col("chit"))
-    f0 = F.when(core_ok, F.concat("core.lead", "chit", "core.trail"))
-    token = F.col("token")
-    replaced = chars.apply_replacements(token) if slang else token
-    t = t.withColumn("x", replaced)
-    stages = [F.when(F.col("stage") == "kept", token), f0, F.when(F.col("x") != token, F.col("x"))]
+    """token, normalized of every distinct token by the full cascade.
+
+    Punctuation and safe words stay. The lexicon is asked for the core between punctuation (a frequent target or a noisy
+    token). Then, in this order, each on what the stage before has left: slang and signs, proper nouns, swapped letters,
+    vowels and spoken endings of noisy tokens, the base stages, two edits for noisy tokens. The first change that the
+    validator accepts is the result; a change it rejects is handed on to the later stages, and stands if none of them
+    changes it. Without a validator, or in mode ``off``, every change is accepted; in mode ``soft`` changes of ``LOW_RISK``
+    kinds are accepted anyway. Spoken endings must be frequent words as well. Hooks replace the built-in stages.
+    """
+    if mode not in ("soft", "off"):
+        raise ValueError(f"unknown mode {mode}")
+    t = tokens.select("token").where("token is not null").distinct().withColumn("kept", F.col("token").rlike(r"^\p{P}*$"))
+    if safe is not None:
+        t = vocabulary_validator(safe)(t, "token").withColumn("kept", F.col("kept") | F.col("token_ok")).drop("token_ok")
+    word = frequencies.withColumnsRenamed({"word": "_w", "freq": "_f"})
+    frequent = lambda df, c: df.join(word, chars.tr_lower(F.col(c)) == F.col("_w"), "left").withColumn("_f", F.coalesce("_f", F.lit(0)) >= freq_ok).drop("_w")
+    t = t.withColumn("core", chars.split_core(F.col("token"))).withColumn("_k", chars.tr_lower(F.col("core.core")))
+    t = frequent(t.join(lexicon.withColumnsRenamed({"key": "_k", "target": "_hit"}), "_k", "left"), "_hit")
+    core = F.when(F.col("_f") | looks_noisy(F.col("core.core"), F.col("_hit")), F.concat("core.lead", "_hit", "core.trail"))
+    t = t.select("token", F.when(F.col("kept"), F.col("token")).otherwise(core).alias("out"), F.col("token").alias("x"))
+    x, y = F.col("x"), F.col("y")
+    noisy = x.rlike(r"(?iu)(.)\1{2,}")
+
+    def stage(t: DataFrame, kind: str, extra: Column | None = None) -> DataFrame:
+        """The change of x to y (null for none) decided."""
+        ok = F.lit(True)
+        if validator is not None and mode == "soft" and kind not in LOW_RISK:
+            t = validator(t, "y")
+            ok = F.col("y_ok")
+        if extra is not None:
+            ok = ok & extra
+        new = F.coalesce("y", "x")
+        return t.select("token", F.coalesce("out", F.when((new != x) & ok, new)).alias("out"), new.alias("x"))
+
+    open_keys = lambda t: t.where("out is null").select(chars.tr_lower(x).alias("key")).distinct()
+    if slang:
+        t = stage(t.withColumn("y", chars.apply_replacements(x)), "replacement")
     if gazetteers is not None:
-        t = t.join(proper_nouns(t.select("token"), gazetteers), "token", "left")
-        stages.append(F.when(F.col("proper") != token, F.col("proper")))
+        proper = proper_nouns(t.where("out is null").select(x.alias("token")), gazetteers).withColumnsRenamed({"token": "x", "proper": "y"})
+        t = stage(t.join(proper, "x", "left"), "proper")
+    t = checkpointed(t)  # the stages below read the tokens several times
     if diacritizer is not None:
-        stages.append(F.when(diacritizer(token) != token, diacritizer(token)))
+        t = stage(t.withColumn("y", diacritizer(x)), "diacritics")
     else:
-        stages.append(F.when(F.col("stage") == "flip", F.col("normalized")))
-    noisy = token.rlike(r"(?iu)(.)\1{2,}")
-    restored = vowel_restorer(token) if vowel_restorer is not None else chars.restore_vowels(token)
-    t = t.withColumn("vowels", F.when(noisy & (restored != token), restored)).withColumn(
-        "spoken", F.when(noisy & chars.is_all_lower(token) & (chars.accent_normalize(token) != token), chars.accent_normalize(token))
-    )
-    for c in ("vowels", "spoken"):
-        if validator is not None:
-            t = validator(t, c)
-            stages.append(F.when(F.col(f"{c}_ok"), F.col(c)))
-    stages.append(F.when(F.col("normalized") != token, F.col("normalized")))
-    far = t.where(noisy & (F.col("normalized") == token)).select(chars.tr_lower(token).alias("key")).distinct()
-    two = near_hits(far, lexicon, frequencies, 2).where(F.coalesce("freq", F.lit(0)) >= freq_ok).select(F.col("key").alias("_k"), F.col("target").alias("two"))
-    t = t.join(two, (chars.tr_lower(token) == F.col("_k")) & noisy, "left")
-    return t.select("token", F.coalesce(*stages, F.col("two"), token).alias("normalized"))
-
-
-def texts(docs: DataFrame, normalizer: Callable[[DataFrame], DataFrame], key: str = "doc_id", column: str = "text") -> DataFrame:
+        t = stage(t.withColumn("key", chars.tr_lower(x)).join(flip_hits(open_keys(t), lexicon).withColumnRenamed("target", "y"), "key", "left"), "diacritics")
+    if vowels:
+        restored = vowel_restorer(x) if vowel_restorer is not None else chars.restore_vowels(x)
+        t = stage(t.withColumn("y", F.when(noisy, restored)), "vowels")
+    if accents:
+        t = frequent(t.withColumn("y", F.when(noisy & chars.is_all_lower(x), chars.accent_normalize(x))), "y")
+        t = stage(t, "accents", F.col("_f"))
+    t = checkpointed(t)
+    base = normalize_tokens(t.where("out is null").select(x.alias("token")), lexicon, frequencies, safe, freq_ok)
+    t = stage(t.join(base.select(F.col("token").alias("x"), F.col("normalized").alias("y")), "x", "left"), "lexicon")
+    t = checkpointed(t)
+    far = open_keys(t.where(noisy))
+    ask = validator if mode == "soft" else None
+    two = near_hits(far, lexicon, frequencies, 2, freq_ok, ask).select("key", F.col("target").alias("two"))
+    t = t.withColumn("key", chars.tr_lower(x)).join(two, "key", "left").withColumn("y", F.when(noisy, F.col("two")))
+    return t.select("token", F.coalesce("out", "y", "x").alias("normalized"))
+
+
+#: Bytes of changed tokens that may be broadcast, counted first; a larger table is joined by Spark as it sees fit.
+SMALL = 64 << 20
+
+
+def texts(
+    docs: DataFrame, normalizer: Callable[[DataFrame], DataFrame], key: str = "doc_id", column: str = "text", shrink: Callable[[Column], Column] = chars.shrink_runs
+) -> DataFrame:
     """key, normalized text and masks of every document: plain characters, reversible masks, runs shrunk, each token by
     ``normalizer`` (a function from distinct tokens to (token, normalized)), sentence casing and spacing. Null texts stay
-    null, empty ones empty."""
-    m = spread(docs.select(key, column)).select(key, masks.mask(chars.normalize_unicode(F.col(column))).alias("m"))
+    null, empty ones empty.
+
+    The documents are shuffled once, by their key; only changed tokens are joined to them, and what a document has of
+    those is gathered where the document lies.
+    """
+    m = docs.select(key, column).repartition(key).select(key, masks.mask(chars.normalize_unicode(F.col(column))).alias("m"))
     # read three times below, and masking is the dearest step: written once
-    rows = checkpointed(m.select(key, "m.masks", chars.ws_tokens(chars.shrink_runs(F.col("m.text"))).alias("raw")))
-    each = rows.select(key, F.posexplode("raw").alias("pos", "token"))
-    table = normalizer(each.select("token").distinct()).where("normalized <> token")
-    done = each.join(table, "token", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("normalized", "token").alias("t")))).alias("t"))
-    j = rows.join(done.select(key, F.transform("t", lambda x: x["t"]).alias("tokens")), key, "left")
-    s = chars.compact_ws(chars.fix_spacing(F.array_join(chars.sentence_casing(F.col("tokens"), F.col("raw")), " ")))
+    rows = checkpointed(m.select(key, "m.masks", chars.ws_tokens(shrink(F.col("m.text"))).alias("raw")))
+    each = rows.select(key, F.explode(F.array_distinct("raw")).alias("token"))
+    table = checkpointed(normalizer(each.select("token").distinct()).where("normalized <> token").select("token", "normalized"))
+    size = table.agg(F.sum(F.octet_length("token") + F.octet_length("normalized") + 64)).collect()[0][0] or 0
+    done = each.join(F.broadcast(table) if size <= SMALL else table, "token").groupBy(key)
+    done = done.agg(F.map_from_entries(F.collect_list(F.struct("token", "normalized"))).alias("new"))
+    j = rows.join(done, key, "left")
+    tokens = F.when(F.col("new").isNull(), F.col("raw")).otherwise(F.transform("raw", lambda t: F.coalesce(F.element_at("new", t), t)))
+    s = chars.compact_ws(chars.fix_spacing(F.array_join(chars.sentence_casing(tokens, F.col("raw")), " ")))
     empty = F.when(F.col("raw").isNotNull(), "")
     return j.select(key, F.coalesce(s, empty).alias("normalized"), "masks")

@@ -166,6 +166,31 @@ def test_cascade_and_texts(spark):
     assert out[1].startswith("Kardeşim değil <NUM") and "<URL1>" in out[1] and out[2] == "" and out[3] is None
 
 
+def test_two_edits_prefer_a_frequent_word(spark):
+    lex = spark.createDataFrame([("güzzzl", "nadir"), ("güzzel", "güzel")], "key string, target string")
+    freq = spark.createDataFrame([("güzel", 9)], "word string, freq long")
+    keys = spark.createDataFrame([("güzzz",)], "key string")
+    assert [r["target"] for r in normalize.near_hits(keys, lex, freq, 2).collect()] == ["nadir"]
+    assert [r["target"] for r in normalize.near_hits(keys, lex, freq, 2, 1).collect()] == ["güzel"]
+    reject = lambda df, c: df.withColumn(f"{c}_ok", F.lit(False))
+    assert normalize.near_hits(keys, lex, freq, 2, 1, reject).count() == 0
+
+
+def test_cascade_modes(spark):
+    lex = spark.createDataFrame([("güzel", "güzel")], "key string, target string")
+    freq = spark.createDataFrame([("güzel", 5), ("gidiyooorum", 1)], "word string, freq long")
+    t = spark.createDataFrame([(w,) for w in ("mrb", "guzel", "gidiyooom", "gitttim", "güzzzel", None, "")], "token string")
+    reject = lambda df, c: df.withColumn(f"{c}_ok", F.lit(False))
+    run = lambda **k: dict(normalize.cascade(t, lex, freq, slang=True, **k).collect())
+    free = run()
+    assert free["mrb"] == "merhaba" and free["guzel"] == "güzel" and free["güzzzel"] != "güzzzel" and free[""] == "" and None not in free
+    assert run(validator=reject, mode="off") == free  # nobody is asked
+    soft = run(validator=reject)
+    assert soft["guzel"] == "güzel" and soft["mrb"] == "merhaba"  # low risk; and a rejected change stands if nothing follows
+    with pytest.raises(ValueError):
+        run(mode="hard")
+
+
 # corpora
 
 
