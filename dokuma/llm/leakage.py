@@ -6,13 +6,16 @@ diagonals form a stretch; it counts if it covers half of the passage with at mos
 Words that differ only in a slot are checked for consistency (one word of the item always became the same word),
 which marks re-parameterised copies.
 
-The item windows go to the workers with the function only if the item table is small (counted first, ``MAX_ITEMS``);
-a larger item table is joined on the window hash by Spark, which chooses its own way.
+A window that consists of placeholders only says nothing of its item and is looked up by its plain words. A passage of
+fewer than nine words has windows as long as its half, which is the shortest stretch that counts.
+
+The item windows are broadcast only if the item table is small (rows and bytes counted first, ``MAX_ITEMS`` and
+``MAX_BYTES``); a larger item table is joined on the window hash by Spark, with the same rows.
 """
 
 from __future__ import annotations
 
-import re
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -22,18 +25,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from . import textfold
 
 WINDOW = 5
 SHARE = 0.5  # of the passage's words in one stretch
 EXCHANGED = 0.1  # of the stretch's words
 DRIFT = 3  # words by which neighbouring hits may be shifted
-WIDTH = 64  # diagonals of one stretch
-MAX_ITEMS = 20_000  # items whose windows may travel with the function
+WIDTH = 64  # least breadth of diagonals looked at together; a quarter of the item's length if that is more
+MAX_ITEMS, MAX_BYTES = 20_000, 16 << 20  # items whose windows may be broadcast
 
 # Units, folded.
 UNITS = frozenset("mm cm m km m2 m3 gr g kg ton ml lt l litre metre kilometre gram kilogram tl lira kurus dolar euro dk dakika saat sn saniye gun hafta ay yil derece c w kw v hz gb mb kb yuzde".split())
-_MASK = (1 << 64) - 1
+_SLOTS = np.array([xxhash.xxh64_intdigest(x) for x in ("#name", "#number", "#unit")], dtype=np.uint64)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WINDOW)], dtype=np.uint64)
 
 
@@ -80,6 +84,18 @@ def windows(tokens: np.ndarray, k: int = WINDOW) -> np.ndarray:
     return out
 
 
+def telling(plain: np.ndarray, template: np.ndarray, k: int) -> np.ndarray:
+    """Which windows of k tokens hold a word that is no placeholder."""
+    word = np.concatenate([[0], np.cumsum(~np.isin(template, _SLOTS))])
+    return word[k:] > word[:-k] if len(plain) >= k else np.empty(0, bool)
+
+
+def keys(plain: np.ndarray, template: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, whether it is a template key) of each window: the template, or the plain words of one that has no word."""
+    tells = telling(plain, template, k)
+    return np.where(tells, windows(template, k), windows(plain, k)), tells
+
+
 def passage(text: str) -> str:
     """The passage of an item: the text after an instruction line, else the text."""
     _, line, rest = text.strip().partition("\n")
@@ -115,18 +131,24 @@ class Item:
         self.id = item_id
         self.plain, self.template = hashes(passage(text))
         self.n = len(self.plain)
-        self.k = min(WINDOW, self.n)
+        self.least = math.ceil(self.n * SHARE)  # words of the shortest stretch that counts
+        self.k = min(WINDOW, self.least)
 
 
 def compare(item: Item, plain: np.ndarray, template: np.ndarray, hits: list[tuple[int, int]]) -> tuple[float, int, int, bool, bool] | None:
     """(coverage, stretch length, slots changed, consistent) of the best stretch and whether any stretch is verbatim, or None. hits: (document, item) positions."""
-    diagonals = sorted({d - i for d, i in hits})
-    clusters = [[diagonals[0]]]
-    for d in diagonals[1:]:
-        if d - clusters[-1][-1] <= DRIFT and len(clusters[-1]) < WIDTH:
-            clusters[-1].append(d)
-        else:
-            clusters.append([d])
+    diagonals = np.unique([d - i for d, i in hits])
+    groups = np.split(diagonals, np.flatnonzero(np.diff(diagonals) > DRIFT) + 1)
+    # exchanges shift a stretch by less than a quarter of its length, so it lies in one of the overlapping bands whole
+    width = max(WIDTH, item.n // 2)
+    clusters = []
+    for g in groups:
+        low = g[0]
+        while True:
+            clusters.append(g[(g >= low) & (g < low + width)])
+            low += width // 2
+            if low + width // 2 > g[-1]:
+                break
     best, verbatim = None, False
     index = np.arange(item.n)
     for cluster in clusters:
@@ -145,10 +167,10 @@ def compare(item: Item, plain: np.ndarray, template: np.ndarray, hits: list[tupl
             match |= slot | eq
             same |= eq
         s, e = longest(same)
-        if e - s < item.n * SHARE - 2:  # a stretch whose slots were filled anew is looked at as well
+        if e - s < item.least:  # a stretch whose slots were filled anew is looked at as well
             ts, te = longest(match)
             changed = [(int(item.plain[i]), int(plain[at[i]])) for i in range(ts, te) if match[i] and not same[i]]
-            if te - ts < item.n * SHARE - 2 or len(changed) > 0.34 * (te - ts):
+            if te - ts < item.least or len(changed) > 0.34 * (te - ts):
                 continue
             s, e = ts, te
         else:
@@ -157,33 +179,35 @@ def compare(item: Item, plain: np.ndarray, template: np.ndarray, hits: list[tupl
         for x, y in changed:
             filled[x].add(y)
         row = (float(match[s:e].sum()) / item.n, int(e - s), len(changed), all(len(v) == 1 for v in filled.values()))
-        if e - s >= max(item.k, item.n * SHARE - 2):
-            verbatim |= row[2] <= EXCHANGED * row[1]
-            if best is None or row[0] > best[0]:
-                best = row
+        verbatim |= row[2] <= EXCHANGED * row[1]
+        if best is None or row[0] > best[0]:
+            best = row
     return best and (*best, verbatim)
 
 
 class Index:
-    """Sorted template windows of the items, by window length (shorter than five only for shorter passages)."""
+    """Sorted windows of the items, by window length (shorter than five only for shorter passages)."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.items = [x for x in (Item(i, t) for i, t in rows if t) if x.n]
         self.by_k = {}
         for k in sorted({x.k for x in self.items}):
-            ws = [(windows(x.template, k), j) for j, x in enumerate(self.items) if x.k == k]
-            h = np.concatenate([w for w, _ in ws])
-            item = np.concatenate([np.full(len(w), j) for w, j in ws])
-            pos = np.concatenate([np.arange(len(w)) for w, _ in ws])
+            some = [(j, x) for j, x in enumerate(self.items) if x.k == k]
+            both = [keys(x.plain, x.template, k) for _, x in some]
+            h = np.concatenate([w for w, _ in both])
+            tells = np.concatenate([w for _, w in both])
+            plain = np.concatenate([windows(x.plain, k) for _, x in some])
+            item = np.concatenate([np.full(len(w), j) for (j, _), (w, _) in zip(some, both)])
+            pos = np.concatenate([np.arange(len(w)) for w, _ in both])
             order = np.lexsort((pos, item, h))
-            h, item, pos = h[order], item[order], pos[order]
-            # a template window that an item repeats is looked up at its first place, and at the others by its plain words:
-            # windows of slots only, as in tables of numbers, would hit everywhere
+            h, item, pos, tells, plain = h[order], item[order], pos[order], tells[order], plain[order]
+            # a template window that an item repeats is looked up at its first place, and at the others by its plain words,
+            # as are windows of slots only: else those of tables of numbers would hit everywhere
             first = np.ones(len(h), bool)
             first[1:] = (h[1:] != h[:-1]) | (item[1:] != item[:-1])
-            plain = np.concatenate([windows(x.plain, k) for x in self.items if x.k == k])[order][~first]
-            again = np.argsort(plain, kind="stable")
-            self.by_k[k] = ((h[first], item[first], pos[first]), (plain[again], item[~first][again], pos[~first][again]))
+            first &= tells
+            again = np.argsort(plain[~first], kind="stable")
+            self.by_k[k] = ((h[first], item[first], pos[first]), (plain[~first][again], item[~first][again], pos[~first][again]))
 
     def matches(self, text: str) -> list[tuple[int, float, int, int, bool]]:
         plain, template = hashes(text)
@@ -215,41 +239,45 @@ def matches(documents: DataFrame, items: DataFrame, max_items: int = MAX_ITEMS)
     """Every (document, item) whose passage the document holds, with its coverage. Null and empty texts hold none."""
     docs = documents.where("text is not null").select("doc_id", "text")
     items = items.where("text is not null").select("item_id", "text")
-    few = items.limit(max_items + 1).collect()
-    if len(few) <= max_items:
-        index = Index([(r[0], r[1]) for r in few])
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).collect()[0]
+    if n > max_items or size > MAX_BYTES:
+        return _joined(docs, items)
+    index = documents.sparkSession.sparkContext.broadcast(Index([(r[0], r[1]) for r in items.collect()]))
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                rows = [(i, *m) for i, t in zip(pdf["doc_id"], pdf["text"]) for m in index.matches(t)]
-                yield pd.DataFrame(rows, columns=_NAMES)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(i, *m) for i, t in zip(pdf["doc_id"], pdf["text"]) for m in index.value.matches(t)]
+            yield pd.DataFrame(rows, columns=_NAMES)
 
-        return docs.mapInPandas(run, _SCHEMA)
-    return _joined(docs, items)
+    return docs.mapInPandas(run, _SCHEMA)
 
 
 def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The same for an item table of any size: a join on window hashes, then a check of each candidate pair."""
 
-    def cut(of_item: bool):
+    def cut(sizes: list[int] | None):
+        """Window keys of documents for the window lengths that occur, or of items for their own (sizes None)."""
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                ids, keys = [], []
+                ids, out, ks = [], [], []
                 for i, t in zip(pdf.iloc[:, 0], pdf.iloc[:, 1]):
-                    template = hashes(passage(t) if of_item else t)[1]
-                    sizes = [min(WINDOW, len(template))] if of_item else range(1, WINDOW + 1)
-                    for k in sizes:
-                        if k:
-                            w = np.unique(windows(template, k)).view(np.int64)
-                            ids += [i] * len(w)
-                            keys += [(k << 58) ^ int(x) if k < WINDOW else int(x) for x in w]
-                yield pd.DataFrame({"id": ids, "key": keys})
+                    plain, template = hashes(passage(t) if sizes is None else t)
+                    for k in [min(WINDOW, math.ceil(len(plain) * SHARE))] if sizes is None else sizes:
+                        if 0 < k <= len(plain):
+                            w = np.unique(keys(plain, template, k)[0]).view(np.int64)
+                            ids.append(np.full(len(w), i))
+                            ks.append(np.full(len(w), k))
+                            out.append(w)
+                whole = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
+                yield pd.DataFrame({"id": whole(ids), "k": whole(ks), "key": whole(out)})
 
         return run
 
-    a = docs.mapInPandas(cut(False), "id long, key long").withColumnRenamed("id", "doc_id")
-    b = items.mapInPandas(cut(True), "id long, key long").withColumnRenamed("id", "item_id")
-    pairs = a.join(b, "key").select("doc_id", "item_id").distinct()
+    b = checkpointed(items.mapInPandas(cut(None), "id long, k int, key long").withColumnRenamed("id", "item_id"))
+    sizes = [r["k"] for r in b.select("k").distinct().collect()]  # at most WINDOW lengths
+    a = docs.mapInPandas(cut(sizes), "id long, k int, key long").withColumnRenamed("id", "doc_id")
+    pairs = a.join(b, ["k", "key"]).select("doc_id", "item_id").distinct()
     pairs = pairs.join(docs, "doc_id").join(items.withColumnRenamed("text", "item_text"), "item_id")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

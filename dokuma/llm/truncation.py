@@ -39,7 +39,8 @@ _A = _rng.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64)
 _FACE = re.compile(r"(?:[.!?…]*(?:[:;=8xX]['’]?-?[)(DPp3*/\\|oO]+|<3+|\^_*\^|[xX][dD]+|[←-⯿\U0001F000-\U0001FAFF️‍]+))+")
 _URL = re.compile(r"(?:https?:|www\.|\w+://)\S*$|\S+@\S+$", re.I)
-_CLOSED = re.compile(r"[.!?…]+[\"”’'»)\]]*$")
+_MARKS = (".", "!", "?", "…")
+_RULE = re.compile(r"[-–—=*_]{2,}")
 _ENTITY = re.compile(r"&#?\w{0,8}$")
 _NUMBER = re.compile(r"\d+")
 _NEXT = re.compile(r"\W*\w*")
@@ -60,32 +61,38 @@ def line_form(s: str) -> str:
     return _NUMBER.sub("9", " ".join(s.split())).lower()
 
 
+def _last_sentence(t: str) -> str:
+    """The text after the last end of a sentence or line, without emoticons."""
+    at = max(t.rfind(x) for x in (". ", "! ", "? ", "… ", "\n"))
+    return _FACE.sub(" ", t[at + 1 :])
+
+
 def closing(text: str) -> tuple[str, str | None, str | None]:
-    """(state, word, line): state is whole, cut, or open where the closing word and line decide."""
+    """(state, word, line): state is whole, cut, or open where the closing word and line decide. A text of one line has no
+    closing line, whatever its length, but for a link."""
     t = text.rstrip()
     if not t:
         return "whole", None, None
-    last_line = t[t.rfind("\n") + 1 :].strip()
-    last = t[-2000:].split()[-1]
+    last = t.rsplit(None, 1)[-1]
     if _FACE.fullmatch(last):
         return "whole", None, None  # an emoticon closes
     url = _URL.match(last.lstrip("(<[\"'"))
     if url:
         return "open", None, line_form(url[0])
-    if t[-1] == "�" or _ENTITY.search(t, len(t) - 12 if len(t) > 12 else 0):
+    if t[-1] == "�" or _ENTITY.search(last):
         return "cut", None, None
-    tail = t[-400:]
-    if t[-1] in ",;:-–—([{«“/&@#=+%*<" and not re.search(r"^\s*[-–—=*_]{2,}$", last_line):
+    last_line = t[t.rfind("\n") + 1 :].strip()
+    if t[-1] in ",;:-–—([{«“/&@#=+%*<" and not _RULE.fullmatch(last_line):
         return "cut", None, None
     if t[-1] in "\"'" and (t[-2:-1].isspace() or len(t) == 1):
         return "cut", None, None
-    if tail.rfind("(") > tail.rfind(")"):
+    sentence = _last_sentence(t)
+    if sentence.rfind("(") > sentence.rfind(")"):
         return "cut", None, None
-    if _CLOSED.search(t[-12:]) or t[-1] in ")]}»”":
+    if t.rstrip("\"”’'»)]")[-1:] in _MARKS or t[-1] in ")]}»”":
         return "whole", None, None
-    ws = textfold.words(t[-120:])
-    line = line_form(last_line) if "\n" in t or len(t) < 120 else None
-    return "open", (ws[-1] if ws else None), line
+    word = next((ws[-1] for w in reversed(t.split()) if (ws := textfold.words(w))), None)
+    return "open", word, line_form(last_line) if "\n" in t else None
 
 
 def shingles(text: str) -> np.ndarray:

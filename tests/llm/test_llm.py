@@ -242,6 +242,40 @@ def test_repeated_windows_and_hidden_halves():
     assert found(item, refilled + passage_words(rng, 300) + item[:32]) == [True]
 
 
+@pytest.mark.parametrize("n, share, want", [(20, 8, False), (20, 9, False), (20, 10, True), (40, 18, False), (40, 20, True), (8, 4, True), (8, 3, False), (27, 13, False), (27, 14, True), (3, 2, True), (1, 1, True)])
+def test_half_of_a_passage(n, share, want):
+    rng = random.Random(n * 100 + share)
+    for _ in range(20):
+        w = passage_words(rng, n)
+        at = rng.randrange(n - share + 1)
+        doc = passage_words(rng, 12) + w[at : at + share] + passage_words(rng, 12)
+        assert bool(leakage.Index([(1, " ".join(w))]).matches(" ".join(doc))) == want
+
+
+def test_long_drifting_stretch():
+    rng = random.Random(21)
+    w = passage_words(rng, 3000)
+    doc = []
+    for i, x in enumerate(w):
+        doc += [x] if i % 15 else [x, *passage_words(rng, 2)]  # shifts by 400 words in the end
+    (m,) = leakage.Index([(1, " ".join(w))]).matches(" ".join(doc))
+    assert m[2] >= 1500 and m[-1]
+
+
+def test_both_paths_give_equal_rows(spark):
+    rng = random.Random(22)
+    word = lambda: rng.choice(["ev", "su", "12", "kg", "dağ", "Ali'ye", *passage_words(rng, 1)])
+    items = [(i, " ".join(word() for _ in range(rng.choice([2, 5, 8, 30])))) for i in range(60)] + [(90, "1 2 3 4 5 6 7 8 9 10")]
+    docs = []
+    for i in range(120):
+        t = rng.choice(items)[1].split()
+        at = rng.randrange(len(t))
+        docs.append((i, " ".join([word() for _ in range(9)] + t[at // 2 :] + [word() for _ in range(5)])))
+    d, t = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda most: sorted(tuple(r) for r in leakage.matches(d, t, most).collect())
+    assert rows(leakage.MAX_ITEMS) == rows(1) and len(rows(1)) > 60
+
+
 @pytest.mark.parametrize("most", [leakage.MAX_ITEMS, 2])
 def test_leakage(spark, most):
     d, t = leak_frames(spark)
@@ -313,14 +347,26 @@ def test_copies_that_end_early(spark):
     assert r == {len(whole): "copy goes on"}
 
 
-def test_bands_recall():
+@pytest.mark.parametrize("similarity", [0.8, 0.85])
+def test_bands_recall(similarity):
     rng = random.Random(3)
     hit = 0
-    for _ in range(200):
-        w = [f"w{rng.randrange(10**6)}" for _ in range(200)]
-        v = w[: 190]  # shares 186 of 196 shingles
+    for _ in range(1500):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+        v = w[: 4 + round(200 * similarity)]  # of 200 shingles
         hit += bool(set(truncation.bands(" ".join(w))) & set(truncation.bands(" ".join(v))))
-    assert hit == 200 and truncation.bands("a b") is None
+    assert hit >= 0.998 * 1500 and truncation.bands("a b") is None
+
+
+def test_closing_does_not_depend_on_length():
+    for n in (1, 30, 3000):
+        fill = "kelime " * n
+        assert truncation.closing(fill + "Saygılarımla") == ("open", "saygilarimla", None)
+        assert truncation.closing(f"önce bitti. {fill}(bir {fill}yer")[0] == "cut"
+        assert truncation.closing(f"önce (bir {fill}yer. sonra geldi")[0] == "open" and truncation.closing(f"güldü :( {fill}geldi")[0] == "open"
+        assert truncation.closing("a\n" + fill + "son")[2] == fill + "son"
+        assert truncation.closing("a" * n + "ş" * 3000)[1] == "a" * n + "s" * 3000
+        assert truncation.closing(fill + "bitti." + "\"" * 20)[0] == "whole" and truncation.closing(fill + "&quo")[0] == "cut"
 
 
 def test_copies_in_a_shared_bucket(spark, monkeypatch):
