@@ -1,7 +1,8 @@
 """Problem 2: bring look-alike text to one consistent form.
 
 Method: confusables skeleton (decompose, replace every character by its prototype from the look-alike table,
-decompose again); originals with equal skeletons form one group.
+decompose again); originals with equal skeletons form one group. The consistent form is the composed skeleton, and a
+field is found if it isn't that already.
 
 Rows whose text has only usual characters never leave the JVM: the character class decides natively, and the Python
 worker gets null for them.
@@ -9,8 +10,6 @@ worker gets null for them.
 
 from __future__ import annotations
 
-import unicodedata
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +37,7 @@ def canonical(c: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def _skeleton(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: unicodedata.normalize("NFD", textfold.canonical(t)), na_action="ignore")
+    return s.map(textfold.skeleton, na_action="ignore")
 
 
 def fields(examples: DataFrame, *extra: str, names: tuple[str, ...] = FIELDS) -> DataFrame:

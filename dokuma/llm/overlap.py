@@ -8,13 +8,19 @@ first, and seeds are combinations of m minima. With r = n - ceil(0.8 n) + m for
 share four fifths of the longer one's words share at least m of their minima, hence a seed; nothing is lost. m is 3
 for short texts, 2 and 1 for longer ones (neighbouring ranges overlap, as lengths of a pair may differ by a fifth).
 
-Seed pairs are verified by aligning the records (longest common subsequence), which chains matching words in order
-and gives the coverage. Exact copies are collapsed to one class per folded text before anything is joined, and the
-pairs of classes are expanded only in the pair report that asks for every loaded copy.
+Candidate pairs first have to agree in a 64-bit sketch of their words (a word that one record lacks can take away one bit
+only, so no pair is lost). Then they are verified: winnowing fingerprints of both (minima of rolling two-word hashes in
+windows of ``WINNOW``) that occur once in each are chained where they are collinear, the chained seeds are extended by
+equal words, and the gaps between them are aligned. Where that chain falls short of the share, the whole records are
+aligned (longest common subsequence, bit-parallel), so the decision is exact. Coverage is that of the better way.
+
+Exact copies are collapsed to one class per folded text before anything is joined, and the pairs of classes are expanded
+only in the pair report that asks for every loaded copy.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -28,6 +34,7 @@ from . import textfold
 from .abuse import domain_key
 
 LEAST_WORDS = 5
+WINNOW = 4  # rolling hashes of which one is selected
 SHARE = (4, 5)  # four fifths of the words of the longer record
 #: (from, to, m): records of so many words get seeds of m minima; the ranges overlap by more than the share allows.
 SEEDS = ((LEAST_WORDS, 40, 3), (32, 150, 2), (120, 1 << 30, 1))
@@ -60,30 +67,78 @@ def seeds(ws: list[str]) -> list[int]:
     return list(out)
 
 
-def aligned(a: list[str], b: list[str]) -> int:
-    """Words that both records share in the same order."""
-    i, m = 0, min(len(a), len(b))
-    while i < m and a[i] == b[i]:
-        i += 1
-    return i + _lcs(a[i:], b[i:])
-
-
-def _lcs(a: list[str], b: list[str]) -> int:
-    j = 0
-    while j < len(a) and j < len(b) and a[-1 - j] == b[-1 - j]:
-        j += 1
-    if j:
-        a, b = a[: len(a) - j], b[: len(b) - j]
+def lcs(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, one bit for each word of a."""
     if not a or not b:
-        return j
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diag = 0
-        for k, y in enumerate(b, 1):
-            up = row[k]
-            row[k] = diag + 1 if x == y else (up if up >= row[k - 1] else row[k - 1])
-            diag = up
-    return j + row[-1]
+        return 0
+    at: dict[str, int] = {}
+    for i, w in enumerate(a):
+        at[w] = at.get(w, 0) | 1 << i
+    whole = (1 << len(a)) - 1
+    v = whole
+    for w in b:
+        m = at.get(w)
+        if m:
+            u = v & m
+            v = (v + u | v - u) & whole
+    return len(a) - v.bit_count()
+
+
+def fingerprints(ws: list[str]) -> dict[int, int]:
+    """Winnowing: hash to place of the selected rolling hashes that are selected once in the record."""
+    h = [xxhash.xxh64_intdigest(f"{x} {y}") for x, y in zip(ws, ws[1:])]
+    chosen = {min(range(i, min(i + WINNOW, len(h))), key=lambda k: (h[k], -k)) for i in range(max(1, len(h) - WINNOW + 1))} if h else ()
+    out: dict[int, int] = {}
+    again = set()
+    for k in sorted(chosen):
+        if h[k] in out:
+            again.add(h[k])
+        out[h[k]] = k
+    return {x: k for x, k in out.items() if x not in again}
+
+
+def chained(a: list[str], b: list[str]) -> int:
+    """Words that agree along the longest collinear chain of common fingerprints, extended, with the gaps aligned."""
+    fa, fb = fingerprints(a), fingerprints(b)
+    seeds = sorted((i, fb[h]) for h, i in fa.items() if h in fb)
+    tails: list[int] = []  # patience: last place in b of the best chain of each length
+    last: list[int] = []
+    back = [-1] * len(seeds)
+    for n, (_, j) in enumerate(seeds):
+        k = bisect_left(tails, j)
+        back[n] = last[k - 1] if k else -1
+        tails[k : k + 1], last[k : k + 1] = [j], [n]
+    chain = []
+    n = last[-1] if last else -1
+    while n >= 0:
+        chain.append(seeds[n])
+        n = back[n]
+    total = i = j = 0
+    for p, q in chain[::-1]:
+        if p < i or q < j:
+            continue  # swallowed by the seed before
+        x, y = p, q
+        while p > i and q > j and a[p - 1] == b[q - 1]:
+            p, q = p - 1, q - 1
+        while x < len(a) and y < len(b) and a[x] == b[y]:
+            x, y = x + 1, y + 1
+        total += lcs(a[i:p], b[j:q]) + x - p
+        i, j = x, y
+    return total + lcs(a[i:], b[j:])
+
+
+def aligned(a: list[str], b: list[str]) -> int:
+    """Words that both records share in the same order: along the chain, or exactly if that isn't enough."""
+    n = chained(a, b)
+    return n if n >= _needed(max(len(a), len(b))) else max(n, lcs(a, b))
+
+
+def sketch(ws: list[str]) -> int:
+    """64 bits, one for each kind of word."""
+    x = 0
+    for w in ws:
+        x |= 1 << (xxhash.xxh64_intdigest(w, 1) & 63)
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,7 +152,7 @@ def _with_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         ws = [t.split(" ") for t in pdf["words"]]
         yield pd.DataFrame(
-            {"cls": pdf["cls"], "train": pdf["train"], "held": pdf["held"], "n": [len(w) for w in ws], "seeds": [seeds(w) for w in ws]}
+            {"rep": pdf["rep"], "train": pdf["train"], "held": pdf["held"], "n": [len(w) for w in ws], "sketch": [sketch(w) for w in ws], "seeds": [seeds(w) for w in ws]}
         )
 
 
@@ -132,19 +187,26 @@ def class_id(c: str = "words") -> Column:
 def class_pairs(m: DataFrame) -> DataFrame:
     """(cls_a of train, cls_b of dev or test, coverage): every pair of classes that covers enough, equal ones included."""
     train = F.col("side") == "train"
-    classes = m.groupBy("words").agg(F.max(train).alias("train"), F.max(~train).alias("held")).withColumn("cls", class_id())
-    rows = classes.mapInPandas(_with_seeds, "cls binary, train boolean, held boolean, n int, seeds array<bigint>")
-    rows = rows.select("cls", "train", "held", "n", F.explode("seeds").alias("seed"))
-    a, b = rows.where("train").alias("a"), rows.where("held").alias("b")
+    classes = m.groupBy("words").agg(F.min("ex_id").alias("rep"), F.max(train).alias("train"), F.max(~train).alias("held"))
+    rows = classes.mapInPandas(_with_seeds, "rep long, train boolean, held boolean, n int, sketch long, seeds array<bigint>")
+    rows = rows.select("rep", "train", "held", "n", "sketch", F.explode("seeds").alias("seed"))
+    side = lambda c: rows.where(c).select("seed", "rep", "n", "sketch").alias(c[0])
+    a, b = side("train"), side("held")
+    longer = F.greatest("t.n", "h.n")
+    needed = F.expr(f"({SHARE[0]} * greatest(t.n, h.n) + {SHARE[1] - 1}) div {SHARE[1]}")
+    lacks = lambda x, y: F.bit_count(F.col(f"{x}.sketch").bitwiseAND(F.bitwise_not(f"{y}.sketch"))) <= F.col(f"{x}.n") - needed
     near = (
-        (F.col("a.seed") == F.col("b.seed"))
-        & (F.col("a.cls") != F.col("b.cls"))
-        & (SHARE[1] * F.least("a.n", "b.n") >= SHARE[0] * F.greatest("a.n", "b.n"))
+        (F.col("t.seed") == F.col("h.seed"))
+        & (F.col("t.rep") != F.col("h.rep"))
+        & (SHARE[1] * F.least("t.n", "h.n") >= SHARE[0] * longer)
+        & lacks("t", "h")
+        & lacks("h", "t")
     )
-    pairs = a.join(b, near).select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b")).distinct()
-    text = classes.select("cls", "words")
-    pairs = pairs.join(text.withColumnsRenamed({"cls": "cls_a", "words": "words_a"}), "cls_a")
-    pairs = pairs.join(text.withColumnsRenamed({"cls": "cls_b", "words": "words_b"}), "cls_b")
+    pairs = a.join(b, near).select(F.col("t.rep").alias("rep_a"), F.col("h.rep").alias("rep_b")).distinct()
+    classes = classes.withColumn("cls", class_id())
+    text = classes.select("rep", "cls", "words")
+    pairs = pairs.join(text.withColumnsRenamed({"rep": "rep_a", "cls": "cls_a", "words": "words_a"}), "rep_a")
+    pairs = pairs.join(text.withColumnsRenamed({"rep": "rep_b", "cls": "cls_b", "words": "words_b"}), "rep_b")
     close = pairs.mapInPandas(_verify, "cls_a binary, cls_b binary, coverage double")
     same = classes.where("train and held").select(F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b"), F.lit(1.0).alias("coverage"))
     return close.unionByName(same)

@@ -6,6 +6,8 @@ the corpus counts each term's occurrences and its co-occurrences with protected
 or a form of address). A term is disclosing, and the span it stands in is replaced, if the slot explains most of its
 occurrences (pointwise mutual information above a threshold) and several different neighbours do (a term that follows
 one name only, as in a fixed phrase, tells nothing). Rare terms fall back to the statistics of their endings.
+The listed first names are only where this begins: a word outside the list becomes a first name if the corpus mostly has it
+in front of terms found disclosing, and of several different ones, and such pairs are found as well.
 Equal texts are counted once, and rarity is a number of different contexts, so copies change nothing.
 
 Spans refer to the stored text; nothing but the spans is changed.
@@ -260,14 +262,55 @@ def _disclosing(scan: DataFrame) -> DataFrame:
     return kept.unionByName(by_cue).distinct()
 
 
+_TURKISH, _ASCII = "İIıÇçĞğÖöŞşÜüÂâÎîÛû", "iiiccggoossuuaaiiuu"
+
+
+def _neighbours(texts: DataFrame) -> DataFrame:
+    """cls, first, last of all pairs of words with blanks between them, folded natively."""
+    view = F.lower(F.translate("text", _TURKISH, _ASCII))
+    pairs = F.regexp_extract_all(view, F.lit("(?<![a-z])(?=([a-z]{3,} {1,3}[a-z]{4,})(?![a-z]))"), F.lit(1))
+    p = texts.select("cls", F.explode(F.array_distinct(pairs)).alias("p"))
+    return p.select("cls", F.substring_index("p", " ", 1).alias("first"), F.substring_index("p", " ", -1).alias("last"))
+
+
+def _locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Places of the given pairs in their texts."""
+    for pdf in batches:
+        rows = []
+        for c, t, first, last in zip(pdf["cls"], pdf["text"], pdf["first"], pdf["last"]):
+            view, offsets = t.translate(_VIEW), _offsets(t)
+            for m in re.finditer(rf"(?<![a-z]){first} +{last}(?![a-z])", view):
+                rows.append((c, "name", offsets[m.start()], offsets[m.end() - 1] + 1))
+        yield pd.DataFrame(rows, columns=["cls", "pii_type", "start", "stop"])
+
+
+def _learned(texts: DataFrame, scan: DataFrame, terms: DataFrame) -> DataFrame:
+    """cls, pii_type, start, stop of names whose first name is in no list: a word that mostly stands before disclosing
+    terms (LEAST_SHARE, LEAST_BITS), and before several different ones (LEAST_CUES)."""
+    p = _neighbours(texts).where(~F.col("first").isin(*sorted(FIRST_NAMES | BEFORE | AFTER)) & ~F.col("last").isin(*sorted(AFTER)))
+    p = p.join(terms.withColumnRenamed("term", "last"), "last")
+    g = p.groupBy("first").agg(F.count("*").alias("k"), F.countDistinct("last").alias("lasts")).where(F.col("lasts") >= LEAST_CUES)
+    totals = scan.where("cls is null").groupBy(F.col("term").alias("first")).agg(F.sum("n").alias("n"))
+    words = totals.agg(F.sum("n")).collect()[0][0] or 0
+    held = g.agg(F.sum("k")).collect()[0][0] or 0
+    j = g.join(totals, "first")
+    bits = F.log2((F.col("k") / F.col("n")) / F.lit(max(held, 1) / max(words, 1)))
+    names = j.where((F.col("k") / F.col("n") >= LEAST_SHARE) & (bits >= LEAST_BITS)).select("first")
+    hits = p.join(names, "first").select("cls", "first", "last").distinct()
+    return hits.join(texts, "cls").select("cls", "text", "first", "last").mapInPandas(_locate, "cls binary, pii_type string, start int, stop int")
+
+
 def detected(examples: DataFrame) -> DataFrame:
     """ex_id, field_name, pii_type, start, stop of every accepted span. Null and empty fields hold none."""
     f = fields(examples, names=FIELDS)
     cls = F.unhex(F.md5("text"))  # equal texts are read and counted once, however often they were loaded
-    scan = checkpointed(f.select("text").distinct().select(cls.alias("cls"), "text").mapInPandas(_scan, _ROW))
+    texts = f.select("text").distinct().select(cls.alias("cls"), "text")
+    scan = checkpointed(texts.mapInPandas(_scan, _ROW))
     held = scan.where("cls is not null")
-    names = held.where("term is not null").join(_disclosing(scan), "term")
-    s = held.where("term is null").select("cls", "pii_type", "start", "stop").unionByName(names.select("cls", "pii_type", "start", "stop"))
+    terms = checkpointed(_disclosing(scan))
+    columns = ["cls", "pii_type", "start", "stop"]
+    s = held.where("term is null").select(*columns).unionByName(held.where("term is not null").join(terms, "term").select(*columns))
+    s = s.unionByName(_learned(texts, scan, terms)).distinct()
     return f.select("ex_id", "field_name", cls.alias("cls")).join(s, "cls").select("ex_id", "field_name", "pii_type", "start", "stop")
 
 

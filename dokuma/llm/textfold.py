@@ -55,18 +55,25 @@ def _script(ch: str) -> str:
     return unicodedata.name(ch, "?").split(" ", 1)[0]
 
 
-def _compat(ch: str) -> str:
-    """The plain form of a compatibility character that only looks alike, else the character itself."""
+def _plain(ch: str) -> str:
+    """The decomposed prototype of a character that only looks alike, else the character itself.
+
+    Letters of the Latin script come apart into letter and marks. Signs that are another spelling of one (Kelvin, Angstrom,
+    the Greek question mark) become it; compatibility forms (wide, styled, joined letters, Roman numerals) become plain.
+    """
+    apart = unicodedata.normalize("NFD", ch)
+    if apart != ch:
+        return apart if apart[0].isascii() or _script(apart[0]) == "LATIN" else ch
     kind = unicodedata.decomposition(ch).split(" ", 1)[0]
     if not kind.startswith("<") or kind in DIFFERENT_LOOK:
         return ch
     plain = unicodedata.normalize("NFKC", ch)
-    if kind == "<compat>":  # ligatures of letters and wide spaces only; not the ellipsis, signs or long s forms
-        if not (plain.isalpha() and _script(ch) == "LATIN"):
+    if kind == "<compat>":  # letters and wide spaces only; not the ellipsis or signs
+        if not (plain.isalpha() and _script(ch) in ("LATIN", "ROMAN", "SMALL")):
             return ch
     if kind == "<font>" and _script(plain[:1]) == "GREEK":
         return ch
-    return plain
+    return unicodedata.normalize("NFD", plain)
 
 
 def _compose(m: re.Match) -> str:
@@ -100,14 +107,16 @@ def _word_letters(m: re.Match) -> str:
     return "".join(LOOKALIKES.get(c, c) for c in w)
 
 
-def canonical(text: str) -> str:
-    """The usual typing of a text: composed, plain spaces, no invisible characters, no look-alikes.
+def _apart(s: str) -> str:
+    return s if s.isascii() else "".join(c if c.isascii() else _plain(c) for c in s)
+
+
+def skeleton(text: str) -> str:
+    """The text decomposed, every character replaced by its prototype, and decomposed again.
 
-    Unchanged stay words wholly in another script, joiners and selectors inside emoji, raised digits, fractions,
-    typographic quotes and dashes, circumflex letters, tabs and line breaks. The result is a fixed point.
+    Texts that look alike have the same skeleton. Unchanged stay words wholly in another script, joiners and selectors
+    inside emoji, raised digits, fractions, typographic quotes and dashes, circumflex letters, tabs and line breaks.
     """
-    if not _SUSPECT.search(text):
-        return text
     keep = {m.start() + i for m in _EMOJI_GLUE.finditer(text) for i in range(len(m[0]))} if re.search("[\u200d\ufe0e\ufe0f\U000E0020]", text) else ()
     out = []
     for i, c in enumerate(text):
@@ -120,23 +129,21 @@ def canonical(text: str) -> str:
         if cat == "Zs" or c in "\u2028\u2029\x85":
             out.append(" ")
             continue
-        out.append(_compat(c))
+        out.append(_plain(c))
     s = "".join(out)
-    s = _MARKS.sub(_compose, s)
-    s = _WORD.sub(_word_letters, s)
-    s = _MARKS.sub(_compose, s)
-    return s if s == text or not _SUSPECT.search(s) or s == "".join(out) else _settle(s)
-
-
-def _settle(s: str) -> str:
-    for _ in range(3):
-        t = _MARKS.sub(_compose, _WORD.sub(_word_letters, s))
+    for _ in range(4):  # a replaced letter may take another mark
+        t = _apart(_WORD.sub(_word_letters, _MARKS.sub(_compose, s)))
         if t == s:
             break
         s = t
     return s
 
 
+def canonical(text: str) -> str:
+    """The usual typing of a text: its skeleton, composed. The result is a fixed point."""
+    return _MARKS.sub(_compose, skeleton(text)) if _SUSPECT.search(text) else text
+
+
 def needs_change(text: str) -> bool:
     return canonical(text) != text
 

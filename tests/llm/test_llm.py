@@ -87,12 +87,17 @@ def test_abuse_held_out(spark):
 @pytest.mark.parametrize(
     "text, want",
     [("ｋｕｍａş", "kumaş"), ("ag\u0306ac\u0327", "ağaç"), ("daǧıtmıș", "dağıtmış"), ("kı​sa ben", "kısa ben"), ("müdürе sıcаk", "müdüre sıcak"), ("üstlei̇k", "üstleik"), ("resmî", "resmî"),
-     ("«снег» kar", "«снег» kar"), ("λόγος τ ve π", "λόγος τ ve π"), ("12 m² ½ 3×4 “a” – b…", "12 m² ½ 3×4 “a” – b…"), ("👨‍👩‍👦 ❤️", "👨‍👩‍👦 ❤️"), ("a\tb\nc", "a\tb\nc"), ("d‍a", "da"), ("", "")],
+     ("«снег» kar", "«снег» kar"), ("λόγος τ ve π", "λόγος τ ve π"), ("12 m² ½ 3×4 “a” – b…", "12 m² ½ 3×4 “a” – b…"), ("👨‍👩‍👦 ❤️", "👨‍👩‍👦 ❤️"), ("a\tb\nc", "a\tb\nc"), ("d‍a", "da"), ("\u212aitap \u212b;\u037e Ⅳ ﬁl", "Kitap Å;; IV fil"), ("ἄνθρωπος \u1f71 нет", "ἄνθρωπος \u1f71 нет"), ("ņ é İ ñ", "ņ é İ ñ"), ("", "")],
 )
 def test_canonical(text, want):
     assert textfold.canonical(text) == want == textfold.canonical(want)
 
 
+def test_skeleton_is_shared_by_look_alikes():
+    assert len({textfold.skeleton(x) for x in ("ağaç", "ag\u0306ac\u0327", "аğаç", "ａǧaç", "a\u200bğaç")}) == 1
+    assert textfold.skeleton("ağ") == "ag\u0306" and textfold.skeleton("") == ""
+
+
 def test_confusables_frames(spark):
     e = examples(spark, ["ev", "еv bir", None, "", "х" * 5, "ben\u00a0a" * 10_000], gold="ağ")
     assert sorted((r[0], r[1]) for r in confusables.found(e).collect() if r[1] == "raw_text") == [(1, "raw_text"), (5, "raw_text")]
@@ -115,6 +120,21 @@ def brute_lcs(a, b):
     return p[-1]
 
 
+def test_alignment_against_brute_force():
+    rng = random.Random(14)
+    for _ in range(400):
+        a = [rng.choice("abcdefgh") for _ in range(rng.randrange(0, 40))]
+        b = [w for w in a if rng.random() < 0.9] + [rng.choice("abcxyz") for _ in range(rng.randrange(3))]
+        n = brute_lcs(a, b)
+        assert overlap.lcs(a, b) == n and overlap.chained(a, b) <= n
+        need = overlap._needed(max(len(a), len(b)))
+        assert (overlap.aligned(a, b) >= need) == (n >= need)
+    a = [f"w{i}" for i in range(5000)]
+    b = a[:2000] + ["x"] * 300 + a[2500:]
+    assert overlap.chained(a, b) == overlap.lcs(a, b) == 4500 and overlap.chained([], a) == 0
+    assert set(overlap.fingerprints(a).values()) and len(overlap.fingerprints(a)) < len(a)
+
+
 def test_overlap_against_brute_force(spark):
     rng = random.Random(4)
     vocabulary = ["".join(rng.choice("abcdeğş") for _ in range(rng.randrange(1, 9))) for _ in range(80)]
@@ -176,6 +196,17 @@ def test_names_and_redaction(spark):
     assert privacy.found(e.limit(0)).count() == 0
 
 
+def test_first_names_of_no_list(spark):
+    known = [f"{w} {n} geldi" for n in ("Elif Karasökmez", "Hakan Karasökmez", "Zehra Günsoyar", "tolga günsoyar") for w in ("dün", "bugün")]
+    new = ["mükremin karasökmez aradı", "sonra Mükremin  Günsoyar gitti", "dün nurettin günsoyar ile", "NURETTİN KARASÖKMEZ YAZDI"]
+    none = ["akşam karasökmez aradı", "akşam günsoyar aradı", "mükremin dedi", *[f"akşam {w} geldi" for w in ("oldu", "yağmur", "herkes", "kimse")]]
+    texts = [*known, *new, *none, *OTHERS]
+    got = {r["ex_id"] for r in privacy.found(examples(spark, texts)).where("pii_type = 'name'").collect()}
+    assert got == set(range(len(known) + len(new)))
+    red = {r["ex_id"]: r["text"] for r in privacy.redacted(examples(spark, texts)).where("field_name = 'raw_text'").collect()}
+    assert red[len(known)] == "<NAME> aradı" and red[len(known) + 1] == "sonra <NAME> gitti"
+
+
 def test_offsets_are_of_the_stored_text():
     t = "x​ ağ ​Elif Hanım geldi"
     (_, s, e, _, _), = privacy.spans(t)
