@@ -52,33 +52,42 @@ def test_corpus_counts(spark):
     assert (dict(c.words), dict(c.pairs), total) == ({"bir": 3, "iki": 2}, {("bir", "iki"): 2}, 7)
 
 
+def test_certain_counts(spark):
+    m = abuse.train(SAMPLES, abuse.Counts([["su", "ekmek", "hava", "kumsuz"]] * 20), 900)
+    e = examples(spark, ["evde oldu. Sana kumsuz diyorum. bitti"] * 3 + ["su ekmek", None, ""])
+    c = abuse.certain_counts(e, m)
+    assert dict(c.words) == {"sana": 3, "kumsuz": 3, "diyorum": 3} and c.pairs["sana", "kumsuz"] == 3 and c.starts == {"sana"}
+    assert not abuse.certain_counts(e, m, support=2).words  # none of them makes up half
+
+
 @pytest.mark.skipif(not os.path.exists(DATA), reason="no test data")
 def test_abuse_held_out(spark):
     """Whole templates are held out: what their sentences share is in no row that the model is fitted on. Labelled
-    sentences only; recall on unseen templates is what the words of other templates give."""
+    sentences only; recall on unseen templates is what the words of other templates, and the corpus, give."""
     rows = [(r["text"], r["label"]) for r in spark.read.parquet(f"{DATA}/abuse_samples.parquet").orderBy("sample_id").collect()]
     corpus = spark.read.parquet(f"{DATA}/examples.parquet")
-    shared, total = abuse.corpus_counts(corpus, abuse.Counts(s for t, _ in rows for s in abuse.sentences(t)))
-    whole = abuse.train(rows, shared, total)
+    whole = abuse.train(rows, *abuse.corpus_counts(corpus, abuse.Counts(s for t, _ in rows for s in abuse.sentences(t))))
     n = whole.cls[1].words
 
-    def template(text):
-        best = whole.known(max(abuse.sentences(text), key=lambda s: whole.best(whole.known(s))))
-        return max(best, key=lambda w: (n[w], w))
+    def template(text, y):
+        if y:
+            return max(whole.known(max(abuse.sentences(text), key=lambda s: whole.best(whole.known(s)))), key=lambda w: (n[w], w))
+        short = [s for s in abuse.sentences(text) if len(s) <= 6]
+        return short[-1][-1] if short else None
 
-    key = [template(t) if y else None for t, y in rows]
+    key = [template(*r) for r in rows]
     names = sorted({k for k in key if k})
     random.Random(1).shuffle(names)
     fold = [names.index(k) % 4 if k else i % 4 for i, k in enumerate(key)]
     hits, alarms = [], []
     for f in range(4):
-        m = abuse.train([r for r, g in zip(rows, fold) if g != f], shared, total)
+        some = spark.createDataFrame([(i, *r) for i, (r, g) in enumerate(zip(rows, fold)) if g != f], "sample_id long, text string, label int")
+        m = abuse.fit(some, corpus)
         for (t, y), g in zip(rows, fold):
             if g == f:
                 (hits if y else alarms).append(m.score(t) >= abuse.THRESHOLD)
     print(f"held-out templates: recall {sum(hits) / len(hits):.3f}, false alarms {sum(alarms) / len(alarms):.3f}")
-    assert sum(hits) / len(hits) >= 0.5 and sum(alarms) / len(alarms) <= 0.02
-    assert sum(whole.score(t) >= abuse.THRESHOLD for t, y in rows if y) == sum(y for _, y in rows)  # the fit itself
+    assert sum(hits) / len(hits) >= 0.5 and sum(alarms) / len(alarms) <= 0.03
 
 
 # 2
