@@ -6,6 +6,7 @@ engines' primitives differ; those are tested against brute force in tests/.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,6 +61,23 @@ def _upper_first(x: str) -> str:
     return rf"case when regexp_matches({x}, '\p{{L}}') then {g(1)} || upper(translate({g(2)}, 'iı', 'İI')) || {g(3)} else {x} end"
 
 
+def _compatibility() -> str:
+    """Map literal of the characters whose compatibility form is another one; composition is left to nfc_normalize."""
+    pairs = [(chr(i), n) for i in (*range(0xA0, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F252)) if (n := unicodedata.normalize("NFKC", chr(i))) != chr(i)]
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    return f"map([{', '.join(text(a) for a, _ in pairs)}], [{', '.join(text(b) for _, b in pairs)}])"
+
+
+_FORMS = f"(select {_compatibility()} as m)"
+
+
+def _nfkc(rows: str, *columns: str) -> str:
+    """The rows with columns in NFKC; texts of usual characters pass."""
+    each = lambda c: f"case when regexp_matches({c}, '[^\\x00-\\x7FçğıöşüÇĞİÖŞÜ]') then nfc_normalize(array_to_string(list_transform(string_split({c}, ''), lambda c: coalesce(m[c], c)), '')) else {c} end as {c}"
+    return f"(select * exclude (m) replace ({', '.join(map(each, columns))}) from {rows}, {_FORMS})"
+
+
+_LOWJ = lambda x: f"lower(replace({x}, 'İ', 'i' || chr(775)))"
 _WS = r"[\s\x0b\x{85}\p{Z}]+"
 _WST = lambda x: f"list_filter(regexp_split_to_array({x}, '{_WS}'), lambda t: t <> '')"
 _SAN = lambda x: f"replace(translate({x}, chr(8217)||chr(8216)||chr(8220)||chr(8221)||chr(8211)||chr(8212)||chr(160)||chr(8203)||chr(8204)||chr(8205)||chr(65279), chr(39)||chr(39)||'\"\"-- '), chr(8230), '...')"
@@ -143,18 +161,11 @@ def fix_spacing(spark, d):
 
 
 @query(
-    """select ex_id, list_reduce(list_concat([''], string_split(raw_text, '')), lambda a, x: case when right(a, 2) = x || x then a else a || x end) as shrunk,
-    list_reduce(list_concat([''], string_split(raw_text, '')), lambda a, x: case when right(a, 1) = x then a else a || x end) as single
-    from examples where raw_text is not null and not contains(raw_text, chr(10))"""
+    """select ex_id, list_reduce(list_concat([''], string_split(raw_text, '')), lambda a, x: case when right(a, 2) = x || x and x not in (chr(10), chr(13), chr(133), chr(8232), chr(8233)) then a else a || x end) as shrunk,
+    list_reduce(list_concat([''], string_split(raw_text, '')), lambda a, x: case when right(a, 1) = x and x not in (chr(10), chr(13), chr(133), chr(8232), chr(8233)) then a else a || x end) as single
+    from examples where raw_text is not null"""
 )
 def shrink_runs(spark, d):
-    c = F.col("raw_text")
-    rows = table(spark, d, "examples").where(c.isNotNull() & ~c.contains("\n"))
-    return rows.select("ex_id", chars.shrink_runs(c, 2, False).alias("shrunk"), chars.shrink_repetitions_to(c, 1).alias("single"))
-
-
-@query()
-def shrink_runs_all(spark, d):
     c = F.col("raw_text")
     rows = table(spark, d, "examples").where(c.isNotNull())
     return rows.select("ex_id", chars.shrink_runs(c, 2, False).alias("shrunk"), chars.shrink_repetitions_to(c, 1).alias("single"))
@@ -215,20 +226,17 @@ def split_core(spark, d):
     return t.select("token", chars.split_core(F.col("token")).alias("c"), chars.edge_strip(F.col("token")).alias("stripped")).select("token", "c.*", "stripped")
 
 
+# duckdb counts bytes in levenshtein: every letter becomes one byte first
+_BYTES = lambda x: f"regexp_replace(translate({x}, 'çğıöşüâîû’‘“”–…', chr(2) || chr(3) || chr(4) || chr(5) || chr(6) || chr(7) || chr(8) || chr(14) || chr(15) || chr(16) || chr(17) || chr(18) || chr(19) || chr(20) || chr(21)), '[^\\x00-\\x7F]', chr(1), 'g')"
+_FOLDED = lambda x: f"replace(lower(translate({x}, 'İ', 'i')), 'ß', 'ss')"
+
+
 @query(
-    rf"""with p as (select distinct {_plain('raw')} as a, {_plain('gold')} as b from noisy_pairs where raw is not null and gold is not null),
-    x as (select a, b, levenshtein(lower(a), lower(b)) as d from p where not regexp_matches(a || b, '[^\x00-\x7F]'))
-    select a, b, cast(d as int) as distance, levenshtein(a, b) <= 1 as within_one, cast(case when levenshtein(a, b) <= 2 then levenshtein(a, b) else 3 end as int) as estimate from x"""
+    f"""with p as (select distinct {_plain('raw')} as a, {_plain('gold')} as b from noisy_pairs where raw is not null and gold is not null),
+    x as (select a, b, levenshtein({_BYTES(_FOLDED('a'))}, {_BYTES(_FOLDED('b'))}) as d, levenshtein({_BYTES('a')}, {_BYTES('b')}) as e from p)
+    select a, b, cast(d as int) as distance, e <= 1 as within_one, cast(least(e, 3) as int) as estimate from x"""
 )
 def edit_distances(spark, d):
-    p = table(spark, d, "noisy_pairs").where("raw is not null and gold is not null")
-    p = p.select(chars.strip_diacritics(F.col("raw")).alias("a"), chars.strip_diacritics(F.col("gold")).alias("b")).distinct().where(~F.concat("a", "b").rlike(r"[^\x00-\x7F]"))
-    a, b = F.col("a"), F.col("b")
-    return p.select("a", "b", chars.edit_distance(a, b).alias("distance"), chars.within_edits(a, b, 1).alias("within_one"), chars.edit_estimate(a, b).alias("estimate"))
-
-
-@query()
-def edit_distances_all(spark, d):
     p = table(spark, d, "noisy_pairs").where("raw is not null and gold is not null")
     p = p.select(chars.strip_diacritics(F.col("raw")).alias("a"), chars.strip_diacritics(F.col("gold")).alias("b")).distinct()
     a, b = F.col("a"), F.col("b")
@@ -251,7 +259,9 @@ def spoken_forms(spark, d):
     return t.select("token", chars.apply_replacements(c).alias("replaced"), chars.accent_normalize(c).alias("accent"), chars.restore_vowels(c).alias("vowels"))
 
 
-@query()
+@query(
+    f"""select ex_id, case when regexp_matches(raw_text, '[^\\x00-\\x7FçğıöşüÇĞİÖŞÜ]') then nfc_normalize({_SAN('raw_text')}) else raw_text end as unicode, trim(regexp_replace(raw_text, '{_WS}', ' ', 'g')) as clean from {_nfkc('(select ex_id, raw_text from examples)', 'raw_text')}"""
+)
 def nfkc_text(spark, d):
     c = F.col("raw_text")
     return table(spark, d, "examples").select("ex_id", chars.normalize_unicode(c).alias("unicode"), chars.clean(c).alias("clean"))
@@ -326,11 +336,11 @@ def plain_tokens(spark, d):
     return e.select("ex_id", F.array_join(tokenize.rule_tokens(F.col("raw_text"), copulas=False), "|").alias("tokens"))
 
 
-_LOW = "lower(translate(token, 'İ', 'i'))"
+_LOW = _LOWJ("token")
 
 
 @query(
-    f"""with t as (select token, {_LOW} as low, length(token) as n from (select distinct unnest({_WST(_SPACED)}) as token from examples where raw_text is not null) where not contains(token, 'İ'))
+    f"""with t as (select token, {_LOW} as low, length(token) as n from (select distinct unnest({_WST(_SPACED)}) as token from examples where raw_text is not null))
     select token, case when regexp_matches(low, '(acak|ecek)(tı|ti|tu|tü)$') then left(token, n - 2) || '+' || right(token, 2)
     when regexp_matches(low, '(ymiş|yken)$') and n > 5 then left(token, n - 4) || '+' || right(token, 4)
     when regexp_matches(low, 'ydi$') and n > 4 then left(token, n - 3) || '+' || right(token, 3)
@@ -339,12 +349,6 @@ _LOW = "lower(translate(token, 'İ', 'i'))"
     else token end as parts from t"""
 )
 def copula_split(spark, d):
-    t = table(spark, d, "examples").select(F.explode(tokenize.rule_tokens(F.col("raw_text"), copulas=False)).alias("token")).distinct().where(~F.col("token").contains("İ"))
-    return t.select("token", F.array_join(tokenize.split_copula(F.col("token")), "+").alias("parts"))
-
-
-@query()
-def copula_split_all(spark, d):
     t = table(spark, d, "examples").select(F.explode(tokenize.rule_tokens(F.col("raw_text"), copulas=False)).alias("token")).distinct()
     return t.select("token", F.array_join(tokenize.split_copula(F.col("token")), "+").alias("parts"))
 
@@ -481,8 +485,8 @@ def static_stop_filter(spark, d):
     return e.select("ex_id", F.array_join(corpus.filter_stopwords(F.col("gold_tokens")), "|").alias("kept"))
 
 
-_CORPUS = rf"""(select ex_id, id, lower(form) as token from {_CONLLU} where not regexp_matches(form, '^\s*[+-]?\d+\s*$') and coalesce(upos, '') <> 'AUX'
-    and not regexp_matches(form, '^(?:[!-/:-@\[-`{{-~]|\.\.\.|\."?)$') and not contains(form, 'İ'))"""
+_CORPUS = rf"""(select ex_id, id, {_LOWJ('form')} as token from {_CONLLU} where not regexp_matches(form, '^\s*[+-]?\d+\s*$') and coalesce(upos, '') <> 'AUX'
+    and not regexp_matches(form, '^(?:[!-/:-@\[-`{{-~]|\.\.\.|\."?)$'))"""
 
 
 @query(
@@ -490,13 +494,6 @@ _CORPUS = rf"""(select ex_id, id, lower(form) as token from {_CONLLU} where not
     select token, count(*) as freq from t where token not in (select token from s) group by token"""
 )
 def dynamic_stop_filter(spark, d):
-    t = corpus.corpus_tokens(_conllu(spark, d).where(~F.col("form").contains("İ")))
-    stop = corpus.top_words(t.groupBy(F.col("token").alias("word")).agg(F.count("*").alias("freq")))
-    return corpus.filter_by_table(t, stop).groupBy("token").agg(F.count("*").alias("freq"))
-
-
-@query()
-def dynamic_stop_filter_all(spark, d):
     t = corpus.corpus_tokens(_conllu(spark, d))
     stop = corpus.top_words(t.groupBy(F.col("token").alias("word")).agg(F.count("*").alias("freq")))
     return corpus.filter_by_table(t, stop).groupBy("token").agg(F.count("*").alias("freq"))
@@ -504,17 +501,10 @@ def dynamic_stop_filter_all(spark, d):
 
 _IGNORE = lambda c: rf"""({c} = '' or length({c}) > 40 or {c} in ({', '.join("'" + s + "'" for s in corpus.SKIPPED)}) or regexp_matches({c}, '^\p{{P}}+$') or regexp_matches({c}, '(?i)^https?://\S+$')
     or regexp_matches({c}, '(?i)^[\w.\-+%]+@[\w.\-]+\.[A-Za-z]{{2,}}$') or regexp_matches({c}, '^\d+(?:[.,]\d+)?$'))"""
-_SURFACE = rf"""(select word, count(*) as freq from (select regexp_replace(t, '^\p{{P}}+|\p{{P}}+$', '', 'g') as word from (select unnest({_WST('gold_text')}) as t from examples where gold_text is not null
-    and not regexp_matches(gold_text, '[^\x00-\x7FçğıöşüÇĞİÖŞÜ]'))) where not {_IGNORE('word')} group by word)"""
+_SURFACE = rf"""(select word, count(*) as freq from (select regexp_replace(t, '^\p{{P}}+|\p{{P}}+$', '', 'g') as word from (select unnest({_WST('gold_text')}) as t from {_nfkc('(select gold_text from examples where gold_text is not null)', 'gold_text')})) where not {_IGNORE('word')} group by word)"""
 
 
 def _surface(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "examples").where(~F.col("gold_text").rlike(r"[^\x00-\x7FçğıöşüÇĞİÖŞÜ]"))
-    return corpus.surface_vocabulary(e, "gold_text")
-
-
-@query()
-def surface_vocab_all(spark, d):
     return corpus.surface_vocabulary(table(spark, d, "examples"), "gold_text")
 
 
@@ -537,22 +527,17 @@ def clean_wordlist(spark, d):
 
 # lexicons ---------------------------------------------------------------------------------------------------------
 
-_PURE = r"not regexp_matches(raw || gold, '[^\x00-\x7FçğıöşüÇĞİÖŞÜ]')"
 _PAIRS = rf"""(select {_ii('r')} as key, g as target, count(*) as freq from (select trim(regexp_replace(raw, '{_WS}', ' ', 'g')) as r, trim(regexp_replace(gold, '{_WS}', ' ', 'g')) as g
-    from (select distinct * from noisy_pairs) where raw is not null and gold is not null and {_PURE}) where r <> g and not {_IGNORE('r')} and not {_IGNORE('g')} group by 1, 2)"""
+    from {_nfkc('(select distinct * from noisy_pairs where raw is not null and gold is not null)', 'raw', 'gold')}) where r <> g and not {_IGNORE('r')} and not {_IGNORE('g')} group by 1, 2)"""
 
 
 def _noisy(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "noisy_pairs").distinct()
 
 
-def _pure(spark: SparkSession, d: str) -> DataFrame:
-    return _noisy(spark, d).where(~F.concat("raw", "gold").rlike(r"[^\x00-\x7FçğıöşüÇĞİÖŞÜ]"))
-
-
 @query(f"select key, target, freq from {_PAIRS}")
 def pair_counts(spark, d):
-    return corpus.pair_counts(_pure(spark, d))
+    return corpus.pair_counts(_noisy(spark, d))
 
 
 _BEST = f"""(select key, target from (select p.key, p.target, row_number() over (partition by p.key order by p.freq + case when s.word is null then 0 else 1 end desc, p.target) as r
@@ -561,7 +546,7 @@ _BEST = f"""(select key, target from (select p.key, p.target, row_number() over
 
 @query(f"select key, target from {_BEST}")
 def best_target(spark, d):
-    return corpus.best_targets(corpus.pair_counts(_pure(spark, d)), _surface(spark, d))
+    return corpus.best_targets(corpus.pair_counts(_noisy(spark, d)), _surface(spark, d))
 
 
 _CANON = f"(select key, word as target from (select {_ii('word')} as key, word, row_number() over (partition by {_ii('word')} order by freq desc, word) as r from {_SURFACE}) where r = 1)"
@@ -574,27 +559,7 @@ def canonical_case(spark, d):
 
 @query(f"select key, target, 'pairs' as origin from {_BEST} union all select key, target, 'corpus' from {_CANON} where key not in (select key from {_BEST})")
 def lexicon_backfill(spark, d):
-    return corpus.build_lexicon(_pure(spark, d), _surface(spark, d))
-
-
-@query()
-def pair_counts_all(spark, d):
-    return corpus.pair_counts(_noisy(spark, d))
-
-
-@query()
-def best_target_all(spark, d):
-    return corpus.best_targets(corpus.pair_counts(_noisy(spark, d)), surface_vocab_all(spark, d))
-
-
-@query()
-def canonical_case_all(spark, d):
-    return corpus.canonical_casing(surface_vocab_all(spark, d))
-
-
-@query()
-def lexicon_backfill_all(spark, d):
-    return corpus.build_lexicon(_noisy(spark, d), surface_vocab_all(spark, d))
+    return corpus.build_lexicon(_noisy(spark, d), _surface(spark, d))
 
 
 @query()
@@ -655,53 +620,115 @@ def flip_candidates(spark, d):
     return normalize.flip_hits(keys, _lexicon(spark, d))
 
 
-_NEAR = f"""with k as (select distinct lower(token) as key from {_NOISY} where regexp_matches(token, '^[a-z]+$')), l as (select * from {_LEX} where regexp_matches(key, '^[a-z]+$')),
-    c as (select k.key, l.key as near, l.target, levenshtein(k.key, l.key) as edits, coalesce(freq, 0) as freq, length(regexp_replace(l.target, '[^çğıöşüÇĞİÖŞÜ]', '', 'g')) as marks
-      from k join l on abs(length(k.key) - length(l.key)) <= %d left join {_PRIOR} p on p.word = {_trl('l.target')} where levenshtein(k.key, l.key) <= %d)
-    select key, target, cast(edits as int) as edits from (select *, row_number() over (partition by key order by edits, freq desc, marks desc, length(target), near) as r from c) where r = 1"""
+def _near_sql(keys: str, edits: int, extra: str = "true") -> str:
+    """key, target, edits, freq of the nearest lexicon key."""
+    return f"""(select key, target, edits, freq from (select *, row_number() over (partition by key order by edits, freq desc, marks desc, length(target), near) as r from (
+      select k.key, l.key as near, l.target, cast(levenshtein({_BYTES('k.key')}, {_BYTES('l.key')}) as int) as edits, coalesce(freq, 0) as freq, length(regexp_replace(l.target, '[^çğıöşüÇĞİÖŞÜ]', '', 'g')) as marks
+      from {keys} k join {_LEX} l on abs(length(k.key) - length(l.key)) <= {edits} left join {_PRIOR} p on p.word = {_trl('l.target')}) where edits <= {edits} and {extra}) where r = 1)"""
 
 
-def _near(spark: SparkSession, d: str, edits: int) -> DataFrame:
-    keys = _noisy_tokens(spark, d).where(F.col("token").rlike("^[a-z]+$")).select(F.col("token").alias("key"))
-    lex = _lexicon(spark, d).where(F.col("key").rlike("^[a-z]+$"))
-    return normalize.near_hits(keys, lex, _prior(spark, d), edits).select("key", "target", "edits")
+def _flip_sql(keys: str) -> str:
+    """key, target of the first lexicon hit with swapped letters."""
+    return f"""(select key, target from (select key, target, row_number() over (partition by key order by len(pos), pos) as r from (
+      select k.key, l.target, list_filter(range(1, length(k.key) + 1), lambda i: substr(k.key, i, 1) <> substr(l.key, i, 1)) as pos from {keys} k join {_LEX} l
+      on length(k.key) = length(l.key) and {_plain('k.key')} = {_plain('l.key')} and k.key <> l.key) where len(pos) <= case when length(key) <= 6 then 2 else 1 end) where r = 1)"""
+
 
+_KEYS = f"(select distinct {_trl('token')} as key from {_NOISY})"
 
-@query(_NEAR % (1, 1))
+
+@query(f"select key, target, edits from {_near_sql(_KEYS, 1)}")
 def ed1_candidates(spark, d):
     return _near(spark, d, 1)
 
 
-@query(_NEAR % (2, 2))
+@query(f"select key, target, edits from {_near_sql(_KEYS, 2)}")
 def ed2_candidates(spark, d):
     return _near(spark, d, 2)
 
 
-def _near_all(spark: SparkSession, d: str, edits: int) -> DataFrame:
+@query(f"select key, target, edits from {_near_sql(_KEYS, 2, 'freq >= 1 and near <> key')}")
+def ed2_frequent(spark, d):
+    keys = _noisy_tokens(spark, d).select(chars.tr_lower(F.col("token")).alias("key")).distinct()
+    return normalize.near_hits(keys, _lexicon(spark, d), _prior(spark, d), 2, 1).select("key", "target", "edits")
+
+
+def _near(spark: SparkSession, d: str, edits: int) -> DataFrame:
     keys = _noisy_tokens(spark, d).select(chars.tr_lower(F.col("token")).alias("key")).distinct()
     return normalize.near_hits(keys, _lexicon(spark, d), _prior(spark, d), edits).select("key", "target", "edits")
 
 
-@query()
-def ed1_candidates_all(spark, d):
-    return _near_all(spark, d, 1)
+_CASED = lambda x: f"translate({x}, 'İ', chr(1))"
+_RUN3 = lambda x: f"len(list_filter(range(1, length({x}) - 1), lambda i: {_ONE(x, 'i')} = {_ONE(x, 'i + 1')} and {_ONE(x, 'i')} = {_ONE(x, 'i + 2')})) > 0"
+_ONE = lambda x, i: f"lower(upper(translate(substr({x}, {i}, 1), 'İ', 'i')))"
+_LOOKS_NOISY = lambda a, b: f"({_RUN3(a)} or (lower({_plain(a)}) = lower({_plain(b)}) and lower({_CASED(a)}) <> lower({_CASED(b)})))"
 
 
-@query()
-def ed2_candidates_all(spark, d):
-    return _near_all(spark, d, 2)
+def _base_sql(tokens: str) -> str:
+    """token, normalized, stage of the base normaliser without a safe vocabulary."""
+    keys = f"(select distinct {_trl('token')} as key from {tokens} where not regexp_full_match(token, '\\p{{P}}*'))"
+    left = f"(select key from {keys} where key not in (select key from {_LEX}))"
+    last = f"(select key from {left} where key not in (select key from {_flip_sql(left)}))"
+    return f"""(select token, case when kept then token else coalesce(exact, flip, near, token) end as normalized,
+      case when kept then 'kept' when exact is not null then 'exact' when flip is not null then 'flip' when near is not null then 'near' else 'none' end as stage from (
+      select t.token, regexp_full_match(t.token, '\\p{{P}}*') as kept, l.target as exact, f.target as flip, case when n.target = t.token or n.freq >= 1 or {_LOOKS_NOISY('t.token', 'n.target')} then n.target end as near
+      from {tokens} t left join {_LEX} l on l.key = {_trl('t.token')} left join {_flip_sql(left)} f on f.key = {_trl('t.token')} left join {_near_sql(last, 1)} n on n.key = {_trl('t.token')}))"""
 
 
-@query()
+@query(f"select * from {_base_sql(_NOISY)}")
 def normalized_tokens(spark, d):
     return normalize.normalize_tokens(_noisy_tokens(spark, d), _lexicon(spark, d), _prior(spark, d))
 
 
-@query()
-def cascade_tokens(spark, d):
+_SLANG = lambda x: "case lower(" + _TRL1(x) + ") " + " ".join(f"when '{k}' then '{v}'" for k, v in chars.SLANG.items()) + f" else {_SIGNS(x)} end"
+_TRL1 = lambda x: _trl(_SIGNS(x))
+
+
+def _SIGNS(x: str) -> str:
+    for sign, letter in (("\\$", "s"), ("@", "a")):
+        for _ in range(2):  # matches may share a letter
+            x = f"regexp_replace({x}, '(\\p{{L}}){sign}(\\p{{L}})', '\\1{letter}\\2', 'g')"
+    return x
+
+
+_VALID = lambda x: f"{_trl(x)} in (select {_trl('word')} from word_freq where word is not null)"
+_CORE = r"'^(\p{P}+)?([\p{L}\p{N}]+)(\p{P}+)?$'"
+_CASCADE = f"""with a as (select token, case when regexp_matches(token, {_CORE}) then regexp_extract(token, {_CORE}, 2) else token end as core,
+      case when regexp_matches(token, {_CORE}) then regexp_extract(token, {_CORE}, 1) else '' end as lead, case when regexp_matches(token, {_CORE}) then regexp_extract(token, {_CORE}, 3) else '' end as trail from {_NOISY}),
+    b as (select a.token, case when regexp_full_match(a.token, '\\p{{P}}*') then a.token when freq >= 1 or {_LOOKS_NOISY('core', 'l.target')} then lead || l.target || trail end as out, {_SLANG('a.token')} as x
+      from a left join {_LEX} l on l.key = {_trl('core')} left join {_PRIOR} p on p.word = {_trl('l.target')}),
+    c as materialized (select token, coalesce(out, case when x <> token and {_VALID('x')} then x end) as out, x from b),
+    g as (select distinct {_trl('lemma')} as key from conllu_tokens where upos = 'PROPN' and lemma is not null),
+    e as materialized (select token, coalesce(out, case when y <> x then y end) as out, y as x from (select *, case when out is null and {_trl('x')} in (select key from g) then {_upper_first('x')} else x end as y from c)),
+    ek as (select distinct {_trl('x')} as key from e where out is null),
+    f as materialized (select token, coalesce(out, case when f.target <> x then f.target end) as out, coalesce(f.target, x) as x from e left join {_flip_sql('ek')} f on f.key = {_trl('x')} and out is null),
+    ft as (select distinct x as token from f where out is null),
+    h as materialized (select f.token, coalesce(out, case when n.normalized <> x then n.normalized end) as out, coalesce(n.normalized, x) as x from f left join {_base_sql('ft')} n on n.token = f.x and out is null),
+    hk as (select distinct {_trl('x')} as key from h where out is null and {_RUN3('x')})
+    select token, coalesce(out, case when {_RUN3('x')} then two.target end, x) as normalized from h left join {_near_sql('hk', 2, f"freq >= 1 and near <> key and {_VALID('target')}")} two on two.key = {_trl('x')}"""
+
+
+def _cascade(spark: SparkSession, d: str, **stages: bool) -> DataFrame:
     names = table(spark, d, "conllu_tokens").where("upos = 'PROPN' and lemma is not null").select(F.lit("treebank").alias("gazetteer"), F.col("lemma").alias("word")).distinct()
     check = normalize.vocabulary_validator(table(spark, d, "word_freq").where("word is not null"))
-    return normalize.cascade(_noisy_tokens(spark, d), _lexicon(spark, d), _prior(spark, d), gazetteers=names, slang=True, validator=check)
+    return normalize.cascade(_noisy_tokens(spark, d), _lexicon(spark, d), _prior(spark, d), gazetteers=names, slang=True, validator=check, **stages)
+
+
+@query()
+def cascade_tokens(spark, d):
+    return _cascade(spark, d)
+
+
+@query(_CASCADE)
+def cascade_lexical(spark, d):
+    return _cascade(spark, d, vowels=False, accents=False)
+
+
+@query()
+def cascade_text(spark, d):
+    lex, prior = _lexicon(spark, d), _prior(spark, d)
+    n = normalize.texts(table(spark, d, "examples"), lambda t: normalize.cascade(t, lex, prior, slang=True), "ex_id", "raw_text", lambda c: chars.shrink_repetitions_to(c, 2))
+    return n.select("ex_id", "normalized", F.size("masks").alias("masks"))
 
 
 @query()
@@ -724,20 +751,15 @@ def proper_nouns(spark, d):
 # gazetteers, titles, pages -----------------------------------------------------------------------------------------
 
 _LEMMAS = "(select lemma as title from conllu_tokens where lemma is not null)"
-_TITLES = rf"(select title, count(*) as freq from (select trim(translate(title, '_', ' ')) as title from {_LEMMAS} where not regexp_matches(title, '[^\x00-\x7FçğıöşüÇĞİÖŞÜ]')) where regexp_matches(title, '\p{{L}}') and length(title) <= 200 group by title having count(*) >= 2)"
+_TITLES = rf"(select title, count(*) as freq from (select trim(nfc_normalize({_SAN('title')})) as title from {_nfkc(f"(select translate(title, '_', ' ') as title from {_LEMMAS})", 'title')}) where regexp_matches(title, '\p{{L}}') and length(title) <= 200 group by title having count(*) >= 2)"
 
 
 @query(f"select title, freq from {_TITLES}")
 def title_counts(spark, d):
-    t = table(spark, d, "conllu_tokens").where("lemma is not null").select(F.col("lemma").alias("title")).where(~F.col("title").rlike(r"[^\x00-\x7FçğıöşüÇĞİÖŞÜ]"))
+    t = table(spark, d, "conllu_tokens").where("lemma is not null").select(F.col("lemma").alias("title"))
     return corpus.title_counts(t, least=2)
 
 
-@query()
-def title_counts_all(spark, d):
-    return corpus.title_counts(table(spark, d, "conllu_tokens").where("lemma is not null").select(F.col("lemma").alias("title")), least=2)
-
-
 @query(
     rf"""select word, count(*) as freq from (select unnest({_WST('gold_text')}) as word from examples where gold_text is not null) where regexp_matches(word, '^\p{{L}}[\p{{L}}''’\-]*$') and length(word) between 2 and 40
     and ((regexp_matches(word, '\p{{Lu}}') and not regexp_matches(word, '[\p{{Ll}}\p{{Lt}}\p{{Lm}}\p{{Lo}}]') and length(word) <= 8) or (regexp_matches(word, '^\P{{L}}*\p{{Lu}}') and regexp_matches(word, '[\p{{Ll}}\p{{Lt}}\p{{Lm}}\p{{Lo}}]')))

