@@ -2,24 +2,34 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
 
 
-def closure(edges: DataFrame, roots: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, depth of everything reachable over (src, dst) edges from the (node) roots, the roots at depth 0; cycles end."""
-    edges = edges.where("src is not null and dst is not null").select("src", "dst").distinct()
-    seen = checkpointed(roots.where("node is not null").select("node").distinct().withColumn("depth", F.lit(0)))
-    frontier = seen
-    for depth in range(1, rounds + 1):
+def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, depth of everything reachable over (src, dst) edges from the (node) roots, the roots at depth 0; cycles end.
+
+    It ends when nothing new is found, however deep that is. Each round writes its frontier only; what was seen is the
+    union of the frontiers, which are merged into one table now and then so that the plan stays short.
+    """
+    edges = checkpointed(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
+    frontier = checkpointed(roots.where("node is not null").select("node").distinct().withColumn("depth", F.lit(0)))
+    parts, depth = [frontier], 0
+    while True:
+        depth += 1
         step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = checkpointed(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        for seen in parts:
+            step = step.join(seen.select("node"), "node", "left_anti")
+        frontier = checkpointed(step.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
-            break
-        seen = checkpointed(seen.unionByName(frontier))
-    return seen
+            return reduce(DataFrame.unionByName, parts)
+        parts.append(frontier)
+        if len(parts) > 8:
+            parts = [checkpointed(reduce(DataFrame.unionByName, parts))]
 
 
 def members(edges: DataFrame, roots: DataFrame, pages: DataFrame, most: int | None = None) -> DataFrame:

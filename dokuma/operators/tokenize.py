@@ -98,15 +98,24 @@ def merge_dependents(tokens: DataFrame, sentence: tuple[str, ...] = ("ex_id",))
     """Tokens of multi-word expressions (relations flat, fixed, mwe, compound with a head) joined where their head stands,
     chains included. Input: one row per token with id, form, head, deprel; output: sentence keys and the tokens in order.
 
-    A sentence is short, so the chains are followed inside the row: each token takes its head's group until none changes.
+    A sentence is short, so the chains are followed inside the row, once for each of its tokens, which no chain outlasts.
+    A head that is no token of the sentence joins nothing; the tokens of a ring of heads gather at its smallest.
     """
     rows = tokens.where("id is not null and form is not null").dropDuplicates([*sentence, "id"])
     s = rows.groupBy(*sentence).agg(F.array_sort(F.collect_list(F.struct("id", "form", F.coalesce("head", F.lit(0)).alias("head"), "deprel"))).alias("t"))
-    part = lambda x: x["deprel"].isin("flat", "fixed", "mwe", "compound") & (x["head"] != 0)
-    groups = F.transform("t", lambda x: F.struct(x["id"].alias("id"), F.when(part(x), x["head"]).otherwise(x["id"]).alias("group")))
-    s = s.withColumn("g", groups)
-    for _ in range(4):  # doubling: chains of up to 16 links
-        s = s.withColumn("g", F.transform("g", lambda x: F.struct(x["id"].alias("id"), F.coalesce(F.get(F.filter("g", lambda y: y["id"] == x["group"]), F.lit(0))["group"], x["group"]).alias("group"))))
+    part = lambda x: F.coalesce(x["deprel"].isin("flat", "fixed", "mwe", "compound") & (x["head"] != 0) & F.array_contains(F.transform("t", lambda y: y["id"]), x["head"]), F.lit(False))
+    s = s.withColumn("up", F.map_from_entries(F.filter(F.transform("t", lambda x: F.struct(x["id"].alias("id"), F.when(part(x), x["head"]).alias("head"))), lambda x: x["head"].isNotNull())))
+    steps = F.sequence(F.lit(1), F.greatest(F.size("up"), F.lit(1)))
+
+    def top(x: Column) -> Column:
+        """The last head over x; in a ring, where there is none, its smallest."""
+        up = lambda i: F.coalesce(F.element_at("up", i), i)
+        last = F.aggregate(steps, x, lambda at, _: up(at))
+        ring = F.aggregate(steps, F.struct(last.alias("at"), last.alias("low")), lambda a, _: F.struct(up(a["at"]).alias("at"), F.least(a["low"], up(a["at"])).alias("low")), lambda a: a["low"])
+        return F.when(F.element_at("up", last).isNull(), last).otherwise(ring)
+
+    plain = F.transform("t", lambda x: F.struct(x["id"].alias("id"), x["id"].alias("group")))
+    s = s.withColumn("g", F.when(F.size("up") == 0, plain).otherwise(F.transform("t", lambda x: F.struct(x["id"].alias("id"), top(x["id"]).alias("group")))))
     members = lambda i: F.filter("t", lambda y: F.exists("g", lambda z: (z["id"] == y["id"]) & (z["group"] == i)))
     joined = F.transform(
         F.filter("t", lambda x: F.exists("g", lambda z: (z["id"] == x["id"]) & (z["group"] == x["id"]))),

@@ -243,13 +243,14 @@ def edit_distances(spark, d):
     return p.select("a", "b", chars.edit_distance(a, b).alias("distance"), chars.within_edits(a, b, 1).alias("within_one"), chars.edit_estimate(a, b).alias("estimate"))
 
 
-@query(
-    """select source, least(64, cast(pow(2, length(regexp_replace(translate(source, 'I', 'i'), '[^cgosui]', '', 'g'))) as int)) as variants
-    from (select distinct lower(source) as source from lexicon where source is not null)"""
-)
+_OPTIONS = "case x " + " ".join(f"when '{a}' then ['{a}', '{b}']" for a, b in zip("cgosui", "çğöşüı")) + " else [x] end"
+_VARIANTS = lambda w: f"list_reduce(list_concat([['']], list_transform(string_split({w}, ''), lambda x: {_OPTIONS})), lambda acc, o: list_slice(flatten(list_transform(acc, lambda a: list_transform(o, lambda y: a || y))), 1, 64))"
+
+
+@query(f"select source, array_to_string({_VARIANTS(_FOLDED('source'))}, '|') as variants from (select distinct {_LOWJ('source')} as source from lexicon where source <> '')")
 def diacritic_variants(spark, d):
-    s = table(spark, d, "lexicon").where("source is not null").select(F.lower("source").alias("source")).distinct()
-    return s.select("source", F.size(chars.diacritic_variants(F.col("source"))).alias("variants"))
+    s = table(spark, d, "lexicon").where("source <> ''").select(F.lower("source").alias("source")).distinct()
+    return s.select("source", F.array_join(chars.diacritic_variants(F.col("source")), "|").alias("variants"))
 
 
 @query()
@@ -277,7 +278,13 @@ def join_tokens(spark, d):
     return table(spark, d, "examples").where("gold_tokens is not null").select("ex_id", chars.join_simple(F.col("gold_tokens")).alias("joined"))
 
 
-@query()
+_IN = lambda x, signs: f"{x} in (" + ", ".join(f"'{c}'" for c in signs) + ")"
+
+
+@query(
+    f"""with t as (select ex_id, list_filter(gold_tokens, lambda t: t is not null) as t from examples where gold_tokens is not null)
+    select ex_id, array_to_string(list_transform(range(1, len(t) + 1), lambda i: case when i = 1 or array_to_string(t[1:i - 1], '') = '' or {_IN('t[i]', chars.NO_BLANK_BEFORE)} or regexp_matches(t[i], '^[''’]') or {_IN('t[i - 1]', chars.NO_BLANK_AFTER)} then '' else ' ' end || t[i]), '') as text from t"""
+)
 def detokenized(spark, d):
     return table(spark, d, "examples").where("gold_tokens is not null").select("ex_id", chars.detok(F.col("gold_tokens")).alias("text"))
 
@@ -295,13 +302,19 @@ def inline_diff(spark, d):
 # masks ------------------------------------------------------------------------------------------------------------
 
 
+_URL, _MAIL = r"(?i)\bhttps?://\S+", r"(?i)\b[\w.\-+%]+@[\w.\-]+\.[A-Za-z]{2,}\b"
+_FACE = r"(?::-?\)|:-?D|:-?\(|:''\(|;-?\)|:-?P|:-?/|:-?\\|:-?\*|:-?\||:-?O|<3|xD|XD|=\)|=\(|:3)"
+
+
 @query(
-    r"""select ex_id, len(regexp_extract_all(raw_text, '(?i)\bhttps?://\S+')) as url, len(regexp_extract_all(raw_text, '(?i)\b[\w.\-+%]+@[\w.\-]+\.[A-Za-z]{2,}\b')) as email
-    from examples where raw_text is not null"""
+    rf"""select ex_id, len(regexp_extract_all(raw_text, '{_URL}')) as url, len(regexp_extract_all(raw_text, '{_MAIL}')) as email,
+    len(regexp_extract_all(raw_text, '(^|[^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}])@[\p{{L}}\p{{N}}_]{{2,32}}')) as user, len(regexp_extract_all(raw_text, '(^|[^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}])#[\p{{L}}\p{{N}}_]{{2,64}}')) as hashtag,
+    len(regexp_extract_all(raw_text, '[\x{{1F000}}-\x{{1FAFF}}\x{{2600}}-\x{{27BF}}\x{{2B00}}-\x{{2BFF}}\x{{2190}}-\x{{21FF}}\x{{2300}}-\x{{23FF}}©®]')) as emoji,
+    len(list_filter(regexp_split_to_array(raw_text, '[ \t\n\r\f\x0b]+'), lambda t: regexp_full_match(t, '{_FACE}'))) as emoticon from examples where raw_text is not null"""
 )
 def mask_counts(spark, d):
     e = table(spark, d, "examples").where("raw_text is not null").select("ex_id", masks.counts(F.col("raw_text")).alias("m"))
-    return e.select("ex_id", F.col("m.url").cast("long").alias("url"), F.col("m.email").cast("long").alias("email"))
+    return e.select("ex_id", *(F.col(f"m.{c}").cast("long").alias(c) for c in ("url", "email", "user", "hashtag", "emoji", "emoticon")))
 
 
 @query()
@@ -310,10 +323,15 @@ def masked_text(spark, d):
     return e.select("ex_id", "m.text", F.size("m.masks").alias("masks"))
 
 
-@query("select ex_id, true as restored from examples where raw_text is not null")
+@query(
+    f"""select ex_id, raw_text as restored, len(regexp_extract_all(raw_text, '{_URL}')) as urls, len(regexp_extract_all(regexp_replace(raw_text, '{_URL}', '<>', 'g'), '{_MAIL}')) as emails, false as left_over
+    from examples where raw_text is not null"""
+)
 def mask_roundtrip(spark, d):
     e = table(spark, d, "examples").where("raw_text is not null").select("ex_id", "raw_text", masks.mask(F.col("raw_text")).alias("m"))
-    return e.select("ex_id", (masks.unmask(F.col("m.text"), F.col("m.masks")) == F.col("raw_text")).alias("restored"))
+    of = lambda tag: F.size(F.filter("m.masks", lambda x: x["key"].startswith(f"<{tag}"))).cast("long")
+    open_ = F.col("m.text").rlike(masks.URL) | F.col("m.text").rlike(masks.EMAIL)
+    return e.select("ex_id", masks.unmask(F.col("m.text"), F.col("m.masks")).alias("restored"), of("URL").alias("urls"), of("EMAIL").alias("emails"), open_.alias("left_over"))
 
 
 # tokens and sentences ---------------------------------------------------------------------------------------------
@@ -367,7 +385,14 @@ def rule_tokens(spark, d):
     return e.select("ex_id", F.array_join(tokenize.rule_tokens(F.col("raw_text")), "|").alias("boun"), F.array_join(tokenize.rule_tokens(F.col("raw_text"), "iwt"), "|").alias("iwt"))
 
 
-@query()
+@query(
+    """with e as (select ex_id as doc_id, list_filter(gold_tokens, lambda t: t is not null) as t from examples where gold_tokens is not null),
+    p as (select list(p) as p from (select unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) as p from e) where false or p is not null and p in (select p from (select unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) as p from e) group by p having count(*) >= 5)),
+    q as (select list_distinct(coalesce(p, [])) as p from p),
+    m as (select doc_id, list_reduce(list_concat([{'d': cast([] as varchar[]), 'o': cast(null as varchar)}], list_transform(t, lambda x: {'d': cast([] as varchar[]), 'o': x})), lambda a, x: case when a.o is not null and list_contains(p, a.o || ' ' || x.o)
+      then {'d': list_append(a.d, a.o || ' ' || x.o), 'o': cast(null as varchar)} else {'d': case when a.o is null then a.d else list_append(a.d, a.o) end, 'o': x.o} end) as m from e, q)
+    select doc_id, array_to_string(case when m.o is null then m.d else list_append(m.d, m.o) end, '|') as tokens from m"""
+)
 def mwe_merge(spark, d):
     e = table(spark, d, "examples").where("gold_tokens is not null").select(F.col("ex_id").alias("doc_id"), F.filter("gold_tokens", lambda t: t.isNotNull()).alias("tokens"))
     pair = F.transform(F.sequence(F.lit(1), F.greatest(F.size("tokens") - 1, F.lit(1))), lambda i: F.array_join(F.slice("tokens", i, 2), " "))
@@ -375,7 +400,14 @@ def mwe_merge(spark, d):
     return tokenize.merge_phrases(e, phrases).select("doc_id", F.array_join("tokens", "|").alias("tokens"))
 
 
-@query()
+@query(
+    """with recursive t as (select ex_id, id, any_value(form) as form, any_value(coalesce(head, 0)) as head, any_value(deprel) as deprel from (select distinct ex_id, id, form, head, deprel from conllu_tokens where id is not null and form is not null) group by ex_id, id),
+    p as (select *, deprel in ('flat', 'fixed', 'mwe', 'compound') and head <> 0 and (ex_id, head) in (select (ex_id, id) from t) as part from t),
+    w(ex_id, id, top) as (select ex_id, id, case when part then head else id end from p union select w.ex_id, w.id, p.head from w join p on p.ex_id = w.ex_id and p.id = w.top and p.part),
+    g as (select w.ex_id, w.id, w.top from w join p on p.ex_id = w.ex_id and p.id = w.top where not coalesce(p.part, false)),
+    j as (select g.ex_id, g.top, string_agg(form, ' ' order by t.id) as form from g join t on t.ex_id = g.ex_id and t.id = g.id group by g.ex_id, g.top)
+    select ex_id, string_agg(form, '|' order by top) as tokens from j group by ex_id"""
+)
 def dependency_mwe(spark, d):
     t = tokenize.merge_dependents(_conllu(spark, d))
     return t.select("ex_id", F.array_join("tokens", "|").alias("tokens"))
@@ -562,7 +594,19 @@ def lexicon_backfill(spark, d):
     return corpus.build_lexicon(_noisy(spark, d), _surface(spark, d))
 
 
-@query()
+_REWRITTEN = ", ".join(f"replace(base, '{a}', '{b}')" for a, b in corpus.REWRITES)
+_SUMMED = f"(select word, cast(sum(freq) as bigint) as freq from (select {_FOLDED('word')} as word, coalesce(frequency, 0) as freq from word_freq where word is not null) group by word)"
+
+
+@query(
+    f"""with n as (select {_LOWJ('raw')} as noisy, count(*) as noisy_count from (select distinct * from noisy_pairs) where raw is not null group by 1),
+    b as (select *, list_reduce(list_concat([''], string_split(noisy, '')), lambda a, x: case when right(a, 2) = x || x then a else a || x end) as base from n),
+    c as (select distinct noisy, noisy_count, unnest(list_concat([base], {_VARIANTS(_FOLDED('base'))}, [{_REWRITTEN}])) as candidate from b),
+    r as (select *, freq - 2.0 * dist as score from (select noisy, noisy_count, candidate, freq, levenshtein({_BYTES(_FOLDED('noisy'))}, {_BYTES(_FOLDED('candidate'))}) as dist from c join {_SUMMED} on word = candidate)),
+    k as (select *, row_number() over (partition by noisy order by score desc, candidate desc) as rank from r)
+    select noisy as noisy_form, any_value(candidate) filter (where rank = 1) as best_candidate, string_agg(candidate, ';' order by rank) as candidates, any_value(noisy_count) as noisy_count,
+    any_value(freq) filter (where rank = 1) as best_freq, cast(any_value(dist) filter (where rank = 1) as int) as edit_distance, cast(round(any_value(score) filter (where rank = 1), 2) as double) as score from k where rank <= 6 group by noisy"""
+)
 def tweet_lexicon(spark, d):
     noisy = _noisy(spark, d).where("raw is not null").select(F.lower("raw").alias("noisy"))
     return corpus.ranked_candidates(noisy, corpus.summed_frequencies(table(spark, d, "word_freq")))
@@ -920,7 +964,12 @@ def hybrid_scores(spark, d):
     return h.select("system", "rows", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
-@query()
+@query(
+    """with i as (select inst_id, text, list_filter(gold_tokens, lambda t: t is not null and t <> '') as t from (select distinct * from token_instances) where text is not null and gold_tokens is not null),
+    e as (select inst_id, list_reduce(list_concat([{'t': '', 'e': [0]}], list_transform(t, lambda x: {'t': x, 'e': cast([] as int[])})), lambda a, x: {'t': x.t, 'e': case when a.e[-1] < 0 then a.e when strpos(substr(text, a.e[-1] + 1), x.t) = 0 then list_append(a.e, -1)
+      else list_append(a.e, cast(a.e[-1] + strpos(substr(text, a.e[-1] + 1), x.t) - 1 + length(x.t) as int)) end}).e as e from i)
+    select inst_id, case when e[-1] >= 0 or len(e) = 1 then array_to_string(e[2:], ',') end as ends from e"""
+)
 def aligned_spans(spark, d):
     i = _instances(spark, d).where("text is not null and gold_tokens is not null")
     return i.select("inst_id", F.array_join(evaluate.boundaries(F.col("text"), F.col("gold_tokens")), ",").alias("ends"))
@@ -934,14 +983,16 @@ _DOMAIN = "coalesce(nullif(lower(trim(domain)), ''), 'unknown')"
     z as (select domain, p = g as exact, len(g) as ng, list_filter(list_zip(r, p, g), lambda x: x[1] is not null and x[2] is not null and x[3] is not null) as z from t),
     s as (select domain, exact, ng, len(list_filter(z, lambda x: x[2] = x[3])) as same, len(list_filter(z, lambda x: x[1] <> x[3] and x[2] = x[3])) as tp, len(list_filter(z, lambda x: x[1] = x[3] and x[2] <> x[1])) as fp,
       len(list_filter(z, lambda x: x[1] <> x[3] and x[2] <> x[3])) as fn from z)
-    select domain, count(*) as sentences, cast(sum(exact::int) as bigint) as exact, cast(sum(same) as bigint) as same, cast(sum(ng) as bigint) as tokens, cast(sum(tp) as bigint) as tp, cast(sum(fp) as bigint) as fp, cast(sum(fn) as bigint) as fn from s group by domain"""
+    select domain, count(*) as sentences, cast(sum(exact::int) as bigint) as exact, cast(sum(same) as bigint) as same, cast(sum(ng) as bigint) as tokens, cast(sum(tp) as bigint) as tp, cast(sum(fp) as bigint) as fp, cast(sum(fn) as bigint) as fn,
+    round(case when sum(tp + fp) > 0 then sum(tp) / sum(tp + fp) else 0 end, 9) as precision, round(case when sum(fn) = 0 then 1 else sum(tp) / sum(tp + fn) end, 9) as recall, round(2 * sum(tp) / (2 * sum(tp) + sum(fp + fn)), 9) as f1 from s group by domain"""
 )
 def edit_scores(spark, d):
     e = table(spark, d, "examples").where("raw_text is not null and gold_text is not null")
     dom = F.coalesce(F.nullif(F.lower(F.trim("domain")), F.lit("")), F.lit("unknown"))
     raw = F.col("raw_text")
     rows = e.select(dom.alias("domain"), chars.ws_tokens(raw).alias("raw"), chars.ws_tokens(chars.tr_lower(raw)).alias("pred"), chars.ws_tokens(F.col("gold_text")).alias("gold"))
-    return evaluate.score_texts(rows, ["domain"]).drop("precision", "recall", "f1")
+    r = evaluate.score_texts(rows, ["domain"])
+    return r.withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1")})
 
 
 @query(

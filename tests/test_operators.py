@@ -60,6 +60,12 @@ def test_merge_dependents(spark):
     assert dict(t.collect()) == {1: ["Ahmet Hamdi Tanpınar", "geldi"], 2: ["ya da", "x"]}
 
 
+def test_long_chains_and_rings(spark):
+    rows = [(1, i, f"w{i}", i - 1, "flat") for i in range(2, 41)] + [(1, 1, "w1", 0, "root"), (2, 1, "a", 2, "flat"), (2, 2, "b", 1, "flat"), (2, 3, "c", 2, "fixed"), (2, 4, "d", 9, "flat"), (2, 5, "e", 0, None)]
+    t = dict(tokenize.merge_dependents(spark.createDataFrame(rows, "ex_id int, id int, form string, head int, deprel string")).collect())
+    assert t == {1: [" ".join(f"w{i}" for i in range(1, 41))], 2: ["a b c", "d", "e"]}
+
+
 # sentences
 
 
