@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import chars, masks
+from ..functions import chars
 
 # Placeholders that are no words.
 SKIPPED = ("<URL>", "<EMAIL>", "<NUM>", "<PCT>", "<MONEY>", "<DATE>", "<TIME>", "<PHONE>")
@@ -48,6 +50,13 @@ def top_words(counts: DataFrame, k: int = 100) -> DataFrame:
     return counts.orderBy(F.desc("freq"), "word").limit(k)
 
 
+def accepted_words(counts: DataFrame, validator: Callable[[DataFrame, str], DataFrame] | None = None, most: int = 200_000) -> DataFrame:
+    """Of the ``most`` frequent words (a limit of the feature) those that the validator accepts; without one, all words."""
+    if validator is None:
+        return counts
+    return validator(top_words(counts, most), "word").where("word_ok").drop("word_ok")
+
+
 def pair_counts(pairs: DataFrame, raw: str = "raw", gold: str = "gold") -> DataFrame:
     """key, target, freq of noisy/gold token pairs that differ and are words."""
     r, g = chars.clean(F.col(raw)), chars.clean(F.col(gold))
@@ -171,6 +180,20 @@ def title_tokens(titles: DataFrame, least: int = 2) -> DataFrame:
     return w.groupBy("word").agg(F.count("*").alias("freq")).where(F.col("freq") >= least)
 
 
+def is_plain_title(c: Column) -> Column:
+    """Letters and a few signs only, without blanks."""
+    return c.rlike(r"^[A-Za-zÇĞİÖŞÜçğıöşü’'().,-]+$")
+
+
+def build_gazetteers(*sources: DataFrame, least: int = 1, shortest: int = 2, longest: int = 40, acronym: int = 8) -> tuple[DataFrame, DataFrame]:
+    """((title), (word)) of several (title) tables: plain titles that occur often enough, and their name-like tokens."""
+    titles = title_counts(*sources, least=least).where(is_plain_title(F.col("title"))).select("title")
+    w = F.col("word")
+    words = titles.select(F.explode(chars.ws_tokens(F.col("title"))).alias("word")).where(w.rlike(r"^[A-Za-zÇĞİÖŞÜçğıöşü’']+$") & F.length(w).between(shortest, longest))
+    words = words.where(chars.is_proper_case(w) | chars.is_acronym(w, acronym)).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return titles, words.select("word")
+
+
 def looks_disambiguation(title: Column, categories: Column) -> Column:
     """By the title's parenthesis or a category."""
     by_category = F.exists(categories, lambda c: F.lower(c).rlike("anlam ayrımı|disambiguation pages"))
@@ -187,7 +210,3 @@ def page_categories(pages: DataFrame, links: DataFrame) -> DataFrame:
 def missing_pages(wanted: DataFrame, stored: DataFrame) -> DataFrame:
     """Wanted titles that aren't stored yet and aren't blank."""
     return wanted.where(F.trim("title") != "").join(stored.select("title"), "title", "left_anti").distinct()
-
-
-def masked(c: Column) -> Column:
-    return masks.mask_plain(c)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tokenize import rule_tokens
+
 
 def prf(tp: Column, fp: Column, fn: Column) -> Column:
     """struct(precision, recall, f1); recall is 1 where nothing is missed, precision 0 where nothing was predicted."""
@@ -35,9 +37,18 @@ def ends(tokens: Column) -> Column:
     return acc
 
 
-def sentence_ends(sentences: Column) -> Column:
-    """End offsets of sentences joined by one blank, counted on over the whole text."""
-    return ends(sentences)
+def sentence_token_ends(sentences: Column) -> Column:
+    """End offsets of the tokens of an array of sentences, counted anew in every sentence; the set of all of them."""
+    return F.array_distinct(F.flatten(F.transform(sentences, ends)))
+
+
+def sentence_scores(gold: Column, pred: Column, per_sentence: bool = True) -> Column:
+    """struct(precision, recall, f1) of a sentence division. per_sentence compares the token ends of (token array) sentences,
+    each sentence counted from 0; otherwise the ends of (string) sentences, counted on over the whole text."""
+    of = sentence_token_ends if per_sentence else ends
+    g, p = of(gold), of(pred)
+    tp = F.size(F.array_intersect(g, p))
+    return prf(tp, F.size(F.array_except(p, g)), F.size(F.array_except(g, p)))
 
 
 def spans(text: Column, tokens: Column) -> Column:
@@ -58,6 +69,27 @@ def boundaries(text: Column, tokens: Column) -> Column:
     return F.transform(spans(text, tokens), lambda s: s["stop"])
 
 
+def found_spans(text: Column, tokens: Column) -> Column:
+    """array<struct(start, stop)> of tokens looked up one after another, blanks around them cut; those not found are skipped."""
+    seed = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("spans"))
+
+    def step(a: Column, t: Column) -> Column:
+        at = F.call_function("locate", t, text, a["at"] + 1)
+        stop = at - 1 + F.length(t)
+        return F.when(at > 0, F.struct(stop.alias("at"), F.array_append(a["spans"], F.struct((at - 1).alias("start"), stop.alias("stop"))).alias("spans"))).otherwise(a)
+
+    trimmed = F.filter(F.transform(tokens, lambda t: F.trim(t)), lambda t: t.isNotNull() & (t != ""))
+    return F.aggregate(trimmed, seed, step, lambda a: a["spans"])
+
+
+def span_scores(text: Column, gold: Column, pred: Column, smooth: float = 1e-12) -> Column:
+    """struct(precision, recall, f1) of two token arrays by the spans that they take in the text; missed spans count."""
+    g, p = F.array_distinct(found_spans(text, gold)), F.array_distinct(found_spans(text, pred))
+    tp = F.size(F.array_intersect(g, p))
+    precision, recall = tp / (F.size(p) + F.lit(smooth)), tp / (F.size(g) + F.lit(smooth))
+    return F.struct(precision.alias("precision"), recall.alias("recall"), (2 * precision * recall / (precision + recall + F.lit(smooth))).alias("f1"))
+
+
 def edit_counts(raw: Column, pred: Column, gold: Column) -> Column:
     """struct(tp, fp, fn) of changes position by position, up to the shortest of the three."""
     n = F.least(F.size(raw), F.size(pred), F.size(gold))
@@ -91,6 +123,17 @@ def hybrid_scores(rows: DataFrame, gold: str, a: str, b: str) -> DataFrame:
     return e.groupBy("system").agg(F.count("*").alias("rows"), *(F.avg(c).alias(c) for c in ("precision", "recall", "f1")))
 
 
+def hybrid_tokenizers(instances: DataFrame, predictions: DataFrame, key: str = "inst_id") -> DataFrame:
+    """Scores of the Naive Bayes tokeniser (``predictions``: key, tokens), of the rule tokeniser, and of the union and the
+    intersection of their boundaries, against the boundaries of the instances, each row with its domain's rules."""
+    rows = instances.where(F.col("text").isNotNull() & F.col("boundaries").isNotNull())
+    rules = F.when(F.lower(F.trim("domain")) == "iwt", rule_tokens(F.col("text"), "iwt")).otherwise(rule_tokens(F.col("text")))
+    stops = lambda tokens: F.transform(found_spans(F.col("text"), tokens), lambda s: s["stop"])
+    j = rows.join(predictions.withColumnRenamed("tokens", "_nb"), key, "left")
+    j = j.select(F.filter("boundaries", lambda x: x.isNotNull()).alias("gold"), stops(F.coalesce("_nb", F.array().cast("array<string>"))).alias("bayes"), stops(rules).alias("rules"))
+    return hybrid_scores(j, "gold", "bayes", "rules")
+
+
 def split_train_dev(rows: DataFrame, key: str, ratio: float = 0.1) -> DataFrame:
     """The rows with ``part``: the last ``ratio`` of them by a unique key are dev, the others train. Only the key at the
     border is looked up; no task numbers all rows."""

@@ -65,17 +65,30 @@ ENDINGS = (
 )
 _CONTEXT = ("around_apostrophe_after_capital", "quote_before_capital", *(n for _, n in ENDINGS))
 SIGNATURE = ["prev", "next", "flags"]
+PIECE = 256  # characters after which a text is cut at the next token, to look up neighbours
 
 
 def signatures(rows: DataFrame, keep: list[str]) -> DataFrame:
     """(keep, pos, prev, next, flags) of every offset of ``text``: all that the features of an offset depend on. flags is
     a bit set over the context features."""
     rows = spread(rows, keep[0])  # each row becomes hundreds
-    cut = rows.select(*keep, flat(F.col("text")).alias("text"), F.filter(F.split("text", ""), lambda x: x != "").alias("_c"))
-    at = lambda i, edge: F.coalesce(F.get("_c", i), F.lit(edge))
-    spots = F.transform(F.sequence(F.lit(0), F.size("_c")), lambda i: F.struct(i.alias("pos"), at(i - 1, "<BOS>").alias("prev"), at(i, "<EOS>").alias("next")))
+    # Neighbouring tokens are looked up inside pieces that end behind a token, with the last token before and the first
+    # one after, so a text costs its length times that of a piece.
+    found = F.filter(F.regexp_extract_all(flat(F.col("text")), F.lit(rf".{{0,{PIECE}}}[^ ]* *"), F.lit(0)), lambda x: x != "")
+    cut = rows.select(*keep, F.when(F.size(found) == 0, F.array(F.lit(""))).otherwise(found).alias("_p"))
+    starts = lambda k: F.aggregate(F.slice("_p", 1, k), F.lit(0), lambda n, x: n + F.length(x))
+    pieces = F.transform("_p", lambda x, k: F.struct(starts(k).alias("at"), x.alias("piece"), F.get("_p", k - 1).alias("before"), F.get("_p", k + 1).alias("after")))
+    cut = cut.select(*keep, F.explode(pieces).alias("p")).select(*keep, "p.*", F.filter(F.split("p.piece", ""), lambda x: x != "").alias("_c"))
+    head = F.coalesce(F.concat(F.substring_index(F.rtrim("before"), " ", -1), F.lit(" ")), F.lit(""))
+    cut = cut.withColumn("_h", F.length(head)).withColumn("text", F.concat(head, "piece", F.coalesce(F.substring_index("after", " ", 1), F.lit(""))))
+    char = lambda i, other, edge: F.coalesce(F.get("_c", i), other, F.lit(edge))
+    last = F.size("_c") - F.when(F.col("after").isNull(), 0).otherwise(1)
+    spots = F.transform(
+        F.sequence(F.lit(0), last),
+        lambda i: F.struct((F.col("at") + i).alias("pos"), (F.col("_h") + i).alias("_i"), char(i - 1, F.right("before", F.lit(1)), "<BOS>").alias("prev"), char(i, F.left("after", F.lit(1)), "<EOS>").alias("next")),
+    )
     e = cut.select(*keep, "text", F.explode(spots).alias("s")).select(*keep, "text", "s.*")
-    e = e.select(*keep, "pos", "prev", "next", left_token(F.col("text"), F.col("pos")).alias("left"), right_token(F.col("text"), F.col("pos")).alias("right"))
+    e = e.select(*keep, "pos", "prev", "next", left_token(F.col("text"), F.col("_i")).alias("left"), right_token(F.col("text"), F.col("_i")).alias("right"))
     prev, nxt, left, right = (F.col(c) for c in ("prev", "next", "left", "right"))
     low = F.lower(F.right(left, F.lit(3)))
     tests = [(prev.isin("'", "’") | nxt.isin("'", "’")) & left.rlike(r"^\p{Lu}") & (right != ""), prev.isin('"', "“", "”") & right.rlike(r"^\p{Lu}")]
@@ -147,11 +160,18 @@ def nb_tokens(texts: DataFrame, predictions: DataFrame, key: str = "inst_id") ->
 FLAGS = ("punct", "abbrev", "next_cap", "prev_not_cap", "nxt_punct", "prev_punct")
 
 
-class Constant:
+class Linear:
+    """Coefficients of the six flags and an intercept."""
+
+    def __init__(self, coefficients: list[float], intercept: float):
+        self.coefficients, self.intercept = coefficients, intercept
+
+
+class Constant(Linear):
     """The model of rows of one class, or of none: that class always, no boundary without rows."""
 
     def __init__(self, ends: bool):
-        self.coefficients, self.intercept = [0.0] * len(FLAGS), 1.0 if ends else -1.0
+        super().__init__([0.0] * len(FLAGS), 1.0 if ends else -1.0)
 
 
 def lr_fit(features: DataFrame, iterations: int = 500):
@@ -176,3 +196,18 @@ def lr_predict(features: DataFrame, model) -> DataFrame:
     for c, x in zip(FLAGS, w):
         z = z + F.col(c).cast("double") * x
     return features.withColumn("ends", z > 0)
+
+
+def lr_ends(tokens: Column, model: Linear, abbreviations: frozenset[str] = ABBREVIATIONS) -> Column:
+    """array<boolean>: whether a sentence ends behind each token of a row, by the same flags, taken inside the row."""
+    no = lambda c: F.coalesce(c, F.lit(False))
+
+    def flag(t: Column, i: Column) -> Column:
+        nxt, prev = F.get(tokens, i + 1), F.get(tokens, i - 1)
+        values = (
+            t.isin(*END_MARKS), chars.tr_lower(t, "ii").isin(*sorted(abbreviations)), no(nxt.rlike(r"^\p{Lu}")), no(prev.rlike(r"^\p{Ll}")),
+            no(nxt.isin(*END_MARKS)), no(prev.isin(*END_MARKS)),
+        )
+        return reduce(Column.__add__, (v.cast("double") * float(w) for v, w in zip(values, model.coefficients)), F.lit(float(model.intercept))) > 0
+
+    return F.transform(tokens, flag)

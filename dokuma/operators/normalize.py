@@ -221,6 +221,15 @@ def cascade(
 SMALL = 64 << 20
 
 
+def gathered(rows: DataFrame, key: str, tokens: str, table: DataFrame, old: str = "token", new: str = "normalized") -> DataFrame:
+    """(key, new): for every row a map of those of its tokens that the (old, new) table knows. Rows divided by their key
+    stay where they are; the table is broadcast if it is small."""
+    each = rows.select(key, F.explode(F.array_distinct(tokens)).alias(old))
+    size = table.agg(F.sum(F.octet_length(old) + F.octet_length(new) + 64)).collect()[0][0] or 0
+    done = each.join(F.broadcast(table) if size <= SMALL else table, old).groupBy(key)
+    return done.agg(F.map_from_entries(F.collect_list(F.struct(old, new))).alias("new"))
+
+
 def texts(
     docs: DataFrame, normalizer: Callable[[DataFrame], DataFrame], key: str = "doc_id", column: str = "text", shrink: Callable[[Column], Column] = chars.shrink_runs
 ) -> DataFrame:
@@ -234,12 +243,9 @@ def texts(
     m = docs.select(key, column).repartition(key).select(key, masks.mask(chars.normalize_unicode(F.col(column))).alias("m"))
     # read three times below, and masking is the dearest step: written once
     rows = checkpointed(m.select(key, "m.masks", chars.ws_tokens(shrink(F.col("m.text"))).alias("raw")))
-    each = rows.select(key, F.explode(F.array_distinct("raw")).alias("token"))
-    table = checkpointed(normalizer(each.select("token").distinct()).where("normalized <> token").select("token", "normalized"))
-    size = table.agg(F.sum(F.octet_length("token") + F.octet_length("normalized") + 64)).collect()[0][0] or 0
-    done = each.join(F.broadcast(table) if size <= SMALL else table, "token").groupBy(key)
-    done = done.agg(F.map_from_entries(F.collect_list(F.struct("token", "normalized"))).alias("new"))
-    j = rows.join(done, key, "left")
+    words = rows.select(F.explode(F.array_distinct("raw")).alias("token")).distinct()
+    table = checkpointed(normalizer(words).where("normalized <> token").select("token", "normalized"))
+    j = rows.join(gathered(rows, key, "raw", table), key, "left")
     tokens = F.when(F.col("new").isNull(), F.col("raw")).otherwise(F.transform("raw", lambda t: F.coalesce(F.element_at("new", t), t)))
     s = chars.compact_ws(chars.fix_spacing(F.array_join(chars.sentence_casing(tokens, F.col("raw")), " ")))
     empty = F.when(F.col("raw").isNotNull(), "")

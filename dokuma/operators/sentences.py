@@ -79,6 +79,19 @@ def simple_sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(marked, "\u0001"), lambda s: F.trim(s)), lambda s: s != "")
 
 
+def by_flags(tokens: Column, flags: Column) -> Column:
+    """array<array<string>>: the tokens of a row cut behind each true flag."""
+    start = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("open"))
+
+    def step(acc: Column, x: Column) -> Column:
+        now = F.array_append(acc["open"], x["token"])
+        closed = F.struct(F.array_append(acc["done"], now).alias("done"), F.array().cast("array<string>").alias("open"))
+        return F.when(F.coalesce(x["flag"], F.lit(False)), closed).otherwise(F.struct(acc["done"].alias("done"), now.alias("open")))
+
+    pairs = F.transform(tokens, lambda t, i: F.struct(t.alias("token"), F.get(flags, i).alias("flag")))
+    return F.aggregate(pairs, start, step, lambda a: F.when(F.size(a["open"]) > 0, F.array_append(a["done"], a["open"])).otherwise(a["done"]))
+
+
 def by_predictions(tokens: DataFrame, key: str, flag: str = "ends") -> DataFrame:
     """Sentences of token rows (key, pos, token, flag): a sentence ends after each true flag; null flags don't end one."""
     w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)

@@ -56,6 +56,13 @@ def rule_tokens(c: Column, domain: str = "boun", copulas: bool = True) -> Column
     return F.flatten(F.transform(tokens, split_copula)) if copulas else tokens
 
 
+def sentence_words(sentences: DataFrame, key: str = "ex_id", column: str = "text") -> DataFrame:
+    """(key, sentence, pos, token): the words and signs of sentence texts, as the boundary features take them. Rows of one
+    key are its sentences, in the order of ``sentence`` where the table has that column, else one sentence each."""
+    number = F.col("sentence") if "sentence" in sentences.columns else F.lit(0)
+    return sentences.select(key, number.alias("sentence"), F.posexplode(chars.ws_tokens(add_spaces(F.col(column)))).alias("pos", "token"))
+
+
 def _grams(tokens: str, n: int) -> Column:
     """array<struct(start, n, phrase)> of the windows of n tokens."""
     starts = F.sequence(F.lit(0), F.greatest(F.size(tokens) - n, F.lit(0)))

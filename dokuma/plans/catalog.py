@@ -354,6 +354,13 @@ def plain_tokens(spark, d):
     return e.select("ex_id", F.array_join(tokenize.rule_tokens(F.col("raw_text"), copulas=False), "|").alias("tokens"))
 
 
+@query(
+    f"""with t as (select ex_id, {_WST(_SPACED)} as t from examples where raw_text is not null) select ex_id, 0 as sentence, cast(i - 1 as int) as pos, t[i] as token from (select ex_id, t, unnest(range(1, len(t) + 1)) as i from t)"""
+)
+def sentence_words(spark, d):
+    return tokenize.sentence_words(table(spark, d, "examples").where("raw_text is not null"), "ex_id", "raw_text")
+
+
 _LOW = _LOWJ("token")
 
 
@@ -975,6 +982,31 @@ def aligned_spans(spark, d):
     return i.select("inst_id", F.array_join(evaluate.boundaries(F.col("text"), F.col("gold_tokens")), ",").alias("ends"))
 
 
+@query()
+def hybrid_tokenizers(spark, d):
+    i = _instances(spark, d)
+    tokens = features.nb_tokens(i, features.nb_predict(i, features.nb_fit(i)))
+    h = evaluate.hybrid_tokenizers(i, tokens)
+    return h.select("system", "rows", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
+
+
+_FOUND_SPANS = lambda t: f"""list_reduce(list_concat([{{'t': '', 'at': 0, 'e': cast([] as varchar[])}}], list_transform(list_filter({t}, lambda x: x is not null and trim(x) <> ''), lambda x: {{'t': trim(x), 'at': 0, 'e': cast([] as varchar[])}})),
+    lambda a, x: case when strpos(substr(text, a.at + 1), x.t) = 0 then a else {{'t': x.t, 'at': cast(a.at + strpos(substr(text, a.at + 1), x.t) - 1 + length(x.t) as int),
+    'e': list_append(a.e, (a.at + strpos(substr(text, a.at + 1), x.t) - 1) || '-' || (a.at + strpos(substr(text, a.at + 1), x.t) - 1 + length(x.t)))}} end).e"""
+
+
+@query(
+    f"""with i as (select inst_id, text, gold_tokens, {_WST(_SPACED.replace('raw_text', 'text'))} as p from (select distinct * from token_instances) where text is not null and gold_tokens is not null),
+    s as (select inst_id, list_distinct({_FOUND_SPANS('gold_tokens')}) as g, list_distinct({_FOUND_SPANS('p')}) as p from i),
+    q as (select inst_id, len(list_intersect(g, p)) / (len(p) + 1e-12) as pr, len(list_intersect(g, p)) / (len(g) + 1e-12) as re from s)
+    select inst_id, round(pr, 6) as precision, round(re, 6) as recall, round(2 * pr * re / (pr + re + 1e-12), 6) as f1 from q"""
+)
+def span_scores(spark, d):
+    i = _instances(spark, d).where("text is not null and gold_tokens is not null")
+    s = i.select("inst_id", evaluate.span_scores(F.col("text"), F.col("gold_tokens"), tokenize.rule_tokens(F.col("text"), copulas=False)).alias("s"))
+    return s.select("inst_id", *(F.round(f"s.{c}", 6).alias(c) for c in ("precision", "recall", "f1")))
+
+
 _DOMAIN = "coalesce(nullif(lower(trim(domain)), ''), 'unknown')"
 
 
@@ -1020,6 +1052,22 @@ def conllu_text(spark, d):
     return s.select("ex_id", readers.surface(F.col("t")).alias("text"))
 
 
+_SENTENCE_ENDS = lambda c: f"list_distinct(flatten(list_transform({c}, lambda s: list_transform(range(1, len(s) + 1), lambda i: list_sum(list_transform(s[1:i], lambda x: length(x))) + i - 1))))"
+
+
+@query(
+    f"""with e as (select ex_id, [{_WST('raw_text')}, {_WST('gold_text')}] as g, [{_WST('gold_text')}] as p from examples where raw_text is not null and gold_text is not null),
+    s as (select ex_id, {_SENTENCE_ENDS('g')} as g, {_SENTENCE_ENDS('p')} as p from e), q as (select ex_id, len(list_intersect(g, p)) as tp, len(g) as ng, len(p) as np from s)
+    select ex_id, round(case when np > 0 then tp / np else 0 end, 9) as precision, round(case when ng = tp then 1 else tp / ng end, 9) as recall from q"""
+)
+def sentence_scores(spark, d):
+    """Token ends of two sentences against those of one."""
+    e = table(spark, d, "examples").where("raw_text is not null and gold_text is not null")
+    raw, gold = chars.ws_tokens(F.col("raw_text")), chars.ws_tokens(F.col("gold_text"))
+    s = e.select("ex_id", evaluate.sentence_scores(F.array(raw, gold), F.array(gold)).alias("s"))
+    return s.select("ex_id", F.round("s.precision", 9).alias("precision"), F.round("s.recall", 9).alias("recall"))
+
+
 @query(
     """with p as (select file_key, line_no, any_value(is_begin) as is_begin, any_value(raw) as raw, any_value(gold) as gold from noisy_pairs group by file_key, line_no),
     s as (select *, sum(coalesce(is_begin, false)::int) over (partition by file_key order by line_no) as sentence from p)
@@ -1040,14 +1088,37 @@ def tokenization_source(spark, d):
 
 
 def _flat(p: DataFrame) -> DataFrame:
-    return p.select("ex_id", "normalized", *(F.array_join(c, "|").alias(c) for c in ("tokens", "sentences", "stems", "content")))
+    nested = lambda c: F.array_join(F.transform(c, lambda x: F.array_join(x, " ")), "|").alias(c)
+    return p.select("ex_id", "normalized", F.array_join("tokens", "|").alias("tokens"), nested("sentences"), nested("stems"), F.array_join("content", "|").alias("content"))
 
 
 @query()
 def _pipeline(spark, d):
-    return _flat(pipeline.process(table(spark, d, "examples"), _lexicon(spark, d), _prior(spark, d)))
+    suffixes = stem.suffix_pairs(table(spark, d, "conllu_tokens"))
+    return _flat(pipeline.process(table(spark, d, "examples"), _lexicon(spark, d), _prior(spark, d), suffixes=suffixes))
 
 
 @query()
+def pipeline_models(spark, d):
+    f = features.boundary_features(_sentences(spark, d).withColumn("sentence", F.col("ex_id")).withColumn("ex_id", F.floor(F.col("ex_id") / 16)))
+    bayes, regression = features.nb_fit(_instances(spark, d)), features.lr_fit(f)
+    return _flat(pipeline.process(table(spark, d, "examples"), _lexicon(spark, d), _prior(spark, d), suffixes=stem.suffix_pairs(table(spark, d, "conllu_tokens")), tokenizer=bayes, splitter=regression))
+
+
+_RUNS = lambda x: f"list_reduce(list_transform(string_split({x}, ''), lambda c: [c]), lambda a, c: case when {_ONE('a[len(a)]', 1)} = {_ONE('c[1]', 1)} and c[1] not in (chr(10), chr(13), chr(133), chr(8232), chr(8233)) then list_concat(a[1:len(a) - 1], [a[len(a)] || c[1]]) else list_concat(a, c) end)"
+_SHRUNK = lambda x: f"case when {x} = '' then '' else array_to_string(list_transform({_RUNS(x)}, lambda r: case when length(r) > 2 then substr(r, 1, 1) || substr(r, 1, 1) else r end), '') end"
+_CUT = lambda w: f"case when length({w}) > 3 and regexp_matches({w}, '(?s)^.{{2,}}?({'|'.join(stem.SUFFIXES)})$') then regexp_extract({w}, '(?s)^(.{{2,}}?)(?:{'|'.join(stem.SUFFIXES)})$', 1) else {w} end"
+_STEM = lambda w: f"case when contains({w}, '''') then split_part({w}, '''', 1) else {_ii(f"left({_CUT(w)}, length({_CUT(w)}) - 1) || translate(right({_CUT(w)}, 1), 'bcdgğ', 'pçtkk')")} end"
+_SIMPLE = r"""regexp_replace(regexp_replace(regexp_replace(replace({x}, chr(10), ' '), '(\d)\.', '\1' || chr(2), 'g'), '\.(\d)', chr(2) || '\1', 'g'), '(^|[\s("])([A-Za-z])\.', '\1\2' || chr(2), 'g')"""
+
+
+@query(
+    f"""with n as (select ex_id, trim(regexp_replace(s, '{_WS}', ' ', 'g')) as normalized from (select ex_id, {_SHRUNK('s')} as s from (select ex_id, {_SAN('raw_text')} as s from examples where raw_text is not null))),
+    t as (select *, flatten(list_transform({_WST(_SPACED.replace('raw_text', 'normalized'))}, lambda x: string_split({_PARTS('x')}, '|'))) as t,
+      list_filter(list_transform(string_split(replace(regexp_replace({_SIMPLE.format(x='normalized')}, '(\\.|[!?]{{1,3}})', '\\1' || chr(1), 'g'), chr(2), '.'), chr(1)), lambda x: trim(x)), lambda x: x <> '') as s from n)
+    select ex_id, normalized, array_to_string(t, '|') as tokens, array_to_string(s, '|') as sentences, array_to_string(list_transform(t, lambda w: {_STEM('w')}), '|') as stems,
+    array_to_string(list_filter(t, lambda w: not list_contains({_STOP}, {_LOWJ('w')})), '|') as content from t"""
+)
 def pipeline_light(spark, d):
-    return _flat(pipeline.process_light(table(spark, d, "examples")))
+    p = pipeline.process_light(table(spark, d, "examples").where("raw_text is not null"))
+    return p.select("ex_id", "normalized", *(F.array_join(c, "|").alias(c) for c in ("tokens", "sentences", "stems", "content")))

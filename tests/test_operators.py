@@ -288,10 +288,47 @@ def test_evaluation(spark):
     assert evaluate.split_train_dev(spark.range(5).toDF("k"), "k").where("part = 'dev'").count() == 0
 
 
+def test_sentence_and_span_scores(spark):
+    one_row = lambda c, **k: spark.range(1).select(c).collect()[0][0]
+    arr = lambda xs: F.array(*(F.array(*map(F.lit, x)) for x in xs))
+    s = one_row(evaluate.sentence_scores(arr([["a", "b"], ["cc"]]), arr([["a", "b", "cc"]])))
+    assert tuple(s) == pytest.approx((2 / 3, 2 / 3, 2 / 3))  # ends {1, 3, 2} against {1, 3, 6}
+    s = one_row(evaluate.sentence_scores(F.array(F.lit("ab."), F.lit("c.")), F.array(F.lit("ab. c.")), False))
+    assert tuple(s) == (1.0, 0.5, pytest.approx(2 / 3))
+    text = F.lit("Ev 159, ev")
+    s = one_row(evaluate.span_scores(text, F.array(*map(F.lit, ["Ev", "159", ",", "ev"])), F.array(*map(F.lit, ["Ev", "159,", " ev ", "yok", ""]))))
+    assert tuple(s) == pytest.approx((2 / 3, 2 / 4, 4 / 7))
+    assert tuple(one_row(evaluate.span_scores(text, F.array().cast("array<string>"), F.array().cast("array<string>")))) == (0.0, 0.0, 0.0)
+
+
+def test_hybrid_tokenizers(spark):
+    i = spark.createDataFrame([(1, "Ev, su", [2, 3, 6], "boun"), (2, "@a[x y]", [7], " IWT"), (3, None, None, None)], "inst_id int, text string, boundaries array<int>, domain string")
+    p = spark.createDataFrame([(1, ["Ev,", "su"]), (2, ["@a[x", "y]"])], "inst_id int, tokens array<string>")
+    r = {x["system"]: (x["rows"], x["precision"], x["recall"]) for x in evaluate.hybrid_tokenizers(i, p).collect()}
+    assert r["bayes"] == (2, pytest.approx((1 + 0.5) / 2), pytest.approx((2 / 3 + 1) / 2)) and r["rules"][0] == 2 and set(r) == {"bayes", "rules", "either", "both"}
+
+
+def test_words_of_sentences(spark):
+    df = spark.createDataFrame([(1, 0, "Ev, su."), (1, 1, ""), (2, 0, None)], "ex_id int, sentence int, text string")
+    assert [tuple(r) for r in tokenize.sentence_words(df).orderBy("pos").collect()] == [(1, 0, 0, "Ev"), (1, 0, 1, ","), (1, 0, 2, "su"), (1, 0, 3, ".")]
+    f = one(spark, lambda c: sentences.by_flags(c, features.lr_ends(c, features.Linear([1.0, 0, 0, 0, 0, 0], -0.5))), ["a", ".", "b"], "array<string>")
+    assert f == [["a", "."], ["b"]] and one(spark, lambda c: sentences.by_flags(c, F.transform(c, lambda t: F.lit(None).cast("boolean"))), [], "array<string>") == []
+
+
+def test_long_texts_cost_their_length(spark):
+    t = "Ankara'da ev yor " * 300
+    df = spark.createDataFrame([(1, t, [3])], "inst_id int, text string, boundaries array<int>")
+    rows = {r["pos"]: r for r in features.signatures(df, ["inst_id"]).collect()}
+    want = Counter((int(i == 3), f) for i in range(len(t) + 1) for f in brute_features(t, i))
+    assert sorted(rows) == list(range(len(t) + 1)) and {(r[0], r[1]): r[2] for r in features.nb_fit(df)[0].collect()} == want
+
+
 def test_closure(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "e"), (None, "x")], "src string, dst string")
     got = dict(graph.closure(edges, spark.createDataFrame([("a",)], "node string")).collect())
     assert got == {"a": 0, "b": 1, "c": 2}
+    chain = spark.createDataFrame([(str(i), str(i + 1)) for i in range(60)], "src string, dst string")
+    assert dict(graph.closure(chain, spark.createDataFrame([("0",)], "node string")).collect())["60"] == 60
     pages = spark.createDataFrame([("Ev", "c"), ("ev", "c"), ("Dağ", "e")], "title string, category string")
     assert [r[0] for r in graph.members(edges, spark.createDataFrame([("a",)], "node string"), pages).collect()] == ["Ev"]
 
