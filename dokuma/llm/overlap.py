@@ -44,15 +44,19 @@ def _needed(n: int) -> int:
     return -(-SHARE[0] * n // SHARE[1])
 
 
-def seeds(ws: list[str]) -> list[int]:
-    """Seeds of a record's words; a repeated word counts as another word each time."""
+def seeds(ws: list[str]) -> tuple[list[int], int]:
+    """(seeds, 64-bit sketch) of a record's words; in the seeds a repeated word counts as another word each time."""
     n = len(ws)
     seen: dict[str, int] = {}
     ranked = []
+    bits = 0
     for w in ws:
         k = seen.get(w, 0)
         seen[w] = k + 1
-        ranked.append((-len(w), xxhash.xxh64_intdigest(w if not k else f"{w} {k}")))
+        h = xxhash.xxh64_intdigest(w if not k else f"{w} {k}")
+        if not k:
+            bits |= 1 << (h >> 58)
+        ranked.append((-len(w), h))
     ranked.sort()
     out = set()
     for low, high, m in SEEDS:
@@ -64,7 +68,7 @@ def seeds(ws: list[str]) -> list[int]:
                     x = (x * 0x9E3779B97F4A7C15 + h) & 0xFFFFFFFFFFFFFFFF
                     x ^= x >> 29
                 out.add(x - (1 << 64) if x >= 1 << 63 else x)
-    return list(out)
+    return list(out), bits - (1 << 64) if bits >> 63 else bits
 
 
 def lcs(a: list[str], b: list[str]) -> int:
@@ -128,17 +132,19 @@ def chained(a: list[str], b: list[str]) -> int:
 
 
 def aligned(a: list[str], b: list[str]) -> int:
-    """Words that both records share in the same order: along the chain, or exactly if that isn't enough."""
-    n = chained(a, b)
-    return n if n >= _needed(max(len(a), len(b))) else max(n, lcs(a, b))
-
-
-def sketch(ws: list[str]) -> int:
-    """64 bits, one for each kind of word."""
-    x = 0
-    for w in ws:
-        x |= 1 << (xxhash.xxh64_intdigest(w, 1) & 63)
-    return x - (1 << 64) if x >> 63 else x
+    """Words that both records share in the same order: along the chain, or exactly if that isn't enough. What they share
+    at both ends is aligned already."""
+    i, n = 0, min(len(a), len(b))
+    while i < n and a[i] == b[i]:
+        i += 1
+    j = 0
+    while j < n - i and a[-1 - j] == b[-1 - j]:
+        j += 1
+    x, y = a[i : len(a) - j], b[i : len(b) - j]
+    if not x or not y:
+        return i + j
+    c = i + j + chained(x, y)
+    return c if c >= _needed(max(len(a), len(b))) else max(c, i + j + lcs(x, y))
 
 
 def _folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,8 +157,9 @@ def _folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _with_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         ws = [t.split(" ") for t in pdf["words"]]
+        both = [seeds(w) for w in ws]
         yield pd.DataFrame(
-            {"rep": pdf["rep"], "train": pdf["train"], "held": pdf["held"], "n": [len(w) for w in ws], "sketch": [sketch(w) for w in ws], "seeds": [seeds(w) for w in ws]}
+            {"rep": pdf["rep"], "train": pdf["train"], "held": pdf["held"], "n": [len(w) for w in ws], "sketch": [b for _, b in both], "seeds": [s for s, _ in both]}
         )
 
 
