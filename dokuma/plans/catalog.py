@@ -253,13 +253,6 @@ def diacritic_variants(spark, d):
     return s.select("source", F.array_join(chars.diacritic_variants(F.col("source")), "|").alias("variants"))
 
 
-@query()
-def spoken_forms(spark, d):
-    t = table(spark, d, "noisy_pairs").where("raw is not null").select(F.col("raw").alias("token")).distinct()
-    c = F.col("token")
-    return t.select("token", chars.apply_replacements(c).alias("replaced"), chars.accent_normalize(c).alias("accent"), chars.restore_vowels(c).alias("vowels"))
-
-
 @query(
     f"""select ex_id, case when regexp_matches(raw_text, '[^\\x00-\\x7FçğıöşüÇĞİÖŞÜ]') then nfc_normalize({_SAN('raw_text')}) else raw_text end as unicode, trim(regexp_replace(raw_text, '{_WS}', ' ', 'g')) as clean from {_nfkc('(select ex_id, raw_text from examples)', 'raw_text')}"""
 )
@@ -782,6 +775,42 @@ def cascade_text(spark, d):
     return n.select("ex_id", "normalized", F.size("masks").alias("masks"))
 
 
+def _spoken_sql(x: str) -> str:
+    """The first spoken ending that changes the word; all four i are one letter where case doesn't count."""
+    any_i = lambda p: "".join("[iıIİ]" if c in "iı" else c for c in p)
+    rules = []
+    for shape, spoken, written in chars.ACCENT_RULES:
+        p = f"'(?i)^({shape.replace('[ıiuü]', '[ıiIİuü]')}){any_i(spoken)}$'"
+        new = f"regexp_replace({x}, {p}, '\\1{written}')"
+        rules.append(f"when regexp_matches({x}, {p}) and {new} <> {x} then {new}")
+    q = f"'(?i)^(.+?)({any_i('mi')}|mu|mü)(n|sun|sunuz|{any_i('siniz')})?$'"
+    part = lambda k: f"regexp_extract({x}, {q}, {k})"
+    ask = f"concat_ws(' ', rtrim({part(1)}), {_LOWJ(part(2))}, nullif({_LOWJ(part(3))}, ''))"
+    return f"case {' '.join(rules)} when regexp_matches({x}, {q}) and not contains({x}, '’') then {ask} else {x} end"
+
+
+@query(
+    f"""select token, {_SLANG('token')} as replaced, {_spoken_sql('token')} as accent, regexp_replace(token, '(?i)(\\p{{L}}{{2,}}?)([bcçdfgğhjklmnprsştvyz]{{3,}})(\\p{{L}}*)', '\\1e\\2\\3', 'g') as vowels from {_NOISY}"""
+)
+def spoken_forms(spark, d):
+    t, c = _noisy_tokens(spark, d), F.col("token")
+    return t.select("token", chars.apply_replacements(c).alias("replaced"), chars.accent_normalize(c).alias("accent"), chars.restore_vowels(c).alias("vowels"))
+
+
+@query(f"select distinct raw, gold, {_LOOKS_NOISY('raw', 'gold')} as noisy, raw = gold or coalesce(freq, 0) >= 1 or {_LOOKS_NOISY('raw', 'gold')} as sure from noisy_pairs left join {_PRIOR} on word = {_trl('gold')} where raw is not null and gold is not null")
+def noisy_flags(spark, d):
+    p = table(spark, d, "noisy_pairs").where("raw is not null and gold is not null").select("raw", "gold").distinct()
+    j = p.join(_prior(spark, d), chars.tr_lower(F.col("gold")) == F.col("word"), "left")
+    raw, gold = F.col("raw"), F.col("gold")
+    return j.select("raw", "gold", normalize.looks_noisy(raw, gold).alias("noisy"), normalize.confident(raw, gold, F.col("freq")).alias("sure"))
+
+
+@query(f"select word, freq from (select word, freq from {_FREQ} order by freq desc, word limit 3000) where {_VALID('word')}")
+def accepted_words(spark, d):
+    check = normalize.vocabulary_validator(table(spark, d, "word_freq").where("word is not null"))
+    return corpus.accepted_words(_freq(spark, d), check, 3000)
+
+
 @query()
 def normalized_text(spark, d):
     lex, prior = _lexicon(spark, d), _prior(spark, d)
@@ -849,6 +878,35 @@ def recursive_closure(spark, d):
     return graph.closure(edges, r.where("r_regionkey < 2").select(name("r", "r_regionkey").alias("node"))).select("node")
 
 
+_PLAIN_TITLES = f"(select distinct title from {_TITLES} where regexp_matches(title, '^[A-Za-zÇĞİÖŞÜçğıöşü’''().,-]+$'))"
+
+
+@query(
+    rf"""select 'title' as kind, title as word from {_PLAIN_TITLES} union all
+    select 'word', word from (select word, count(*) as n from (select unnest({_WST('title')}) as word from {_PLAIN_TITLES}) where regexp_matches(word, '^[A-Za-zÇĞİÖŞÜçğıöşü’'']+$') and length(word) between 2 and 40
+      and (regexp_matches(word, '^\P{{L}}*\p{{Lu}}') and regexp_matches(word, '[\p{{Ll}}\p{{Lt}}\p{{Lm}}\p{{Lo}}]') or regexp_matches(word, '\p{{Lu}}') and not regexp_matches(word, '[\p{{Ll}}\p{{Lt}}\p{{Lm}}\p{{Lo}}]') and length(word) <= 8) group by word having count(*) >= 1)"""
+)
+def gazetteers(spark, d):
+    t = table(spark, d, "conllu_tokens").where("lemma is not null").select(F.col("lemma").alias("title"))
+    titles = corpus.title_counts(t, least=2).select("title")
+    _, words = corpus.build_gazetteers(titles)
+    plain = titles.where(corpus.is_plain_title(F.col("title")))
+    return plain.select(F.lit("title").alias("kind"), F.col("title").alias("word")).unionByName(words.select(F.lit("word").alias("kind"), "word"))
+
+
+@query(
+    r"""with recursive e as (select 'r' || r_regionkey as src, 'n' || n_nationkey as dst from region join nation on n_regionkey = r_regionkey),
+    w(node) as (select 'r' || r_regionkey from region where r_regionkey < 2 union select dst from e join w on e.src = w.node)
+    select distinct c_name as title from customer join w on node = 'n' || c_nationkey where regexp_matches(c_name, '^\p{Lu}') order by title limit 50"""
+)
+def category_members(spark, d):
+    n, c, r = table(spark, d, "nation"), table(spark, d, "customer"), table(spark, d, "region")
+    name = lambda p, k: F.concat(F.lit(p), F.col(k))
+    edges = n.select(name("r", "n_regionkey").alias("src"), name("n", "n_nationkey").alias("dst"))
+    pages = c.select(F.col("c_name").alias("title"), name("n", "c_nationkey").alias("category"))
+    return graph.members(edges, r.where("r_regionkey < 2").select(name("r", "r_regionkey").alias("node")), pages, 50)
+
+
 # boundary features and models ---------------------------------------------------------------------------------------
 
 
@@ -889,14 +947,25 @@ def nb_counts(spark, d):
     return features.nb_fit(_instances(spark, d))[0]
 
 
-@query()
+_ALL_FEATURES = _FEATURES.replace("where text is not null and boundaries is not null", "where text is not null")
+_ODDS = f"""(with c as (select feature, coalesce(sum(n) filter (where label = 1), 0) as n1, coalesce(sum(n) filter (where label = 0), 0) as n0 from (select label, feature, count(*) as n from {_FEATURES} group by label, feature) group by feature),
+    v as (select count(*) as v, sum(n1) as f1, sum(n0) as f0 from c), o as (select coalesce(sum(label), 0) as o1, count(*) as n from {_OFFSETS}),
+    e as (select f.inst_id, f.i, sum(ln((coalesce(c.n1, 0) + 1.0) / (v.f1 + v.v)) - ln((coalesce(c.n0, 0) + 1.0) / (v.f0 + v.v))) as s from {_ALL_FEATURES} f left join c on c.feature = f.feature, v group by f.inst_id, f.i)
+    select inst_id, i as pos, s + ln((o1 + 1.0) / (n + 2)) - ln((n - o1 + 1.0) / (n + 2)) as log_odds from e, o)"""
+
+
+@query(f"select inst_id, pos, round(log_odds, 6) as log_odds, log_odds >= 0 as boundary from {_ODDS}")
 def nb_predict(spark, d):
     inst = _instances(spark, d)
     model = features.nb_fit(inst)
     return features.nb_predict(inst, model).select("inst_id", "pos", F.round("log_odds", 6).alias("log_odds"), "boundary")
 
 
-@query()
+@query(
+    f"""with b as (select inst_id, list(pos) as b from {_ODDS} where log_odds >= 0 group by inst_id),
+    c as (select i.inst_id, text, list_sort(list_distinct(list_concat([0, length(text)], coalesce(b, [])))) as c from (select distinct * from token_instances) i left join b on b.inst_id = i.inst_id where text is not null)
+    select inst_id, array_to_string(list_filter(list_transform(range(1, len(c)), lambda k: trim(substr(text, cast(c[k] + 1 as bigint), cast(c[k + 1] - c[k] as bigint)))), lambda x: x <> ''), '|') as tokens from c"""
+)
 def nb_tokenize(spark, d):
     inst = _instances(spark, d)
     t = features.nb_tokens(inst, features.nb_predict(inst, features.nb_fit(inst)))
@@ -1052,6 +1121,21 @@ def conllu_text(spark, d):
     return s.select("ex_id", readers.surface(F.col("t")).alias("text"))
 
 
+_PAIR_SENTENCES = """(with p as (select file_key, line_no, any_value(is_begin) as is_begin, any_value(raw) as raw, any_value(gold) as gold from noisy_pairs group by file_key, line_no),
+    s as (select *, sum(coalesce(is_begin, false)::int) over (partition by file_key order by line_no) as sentence from p)
+    select file_key, sentence, coalesce(list(raw order by line_no) filter (where raw is not null and raw <> '_'), []) as raw, coalesce(list(gold order by line_no) filter (where gold is not null and gold <> '_'), []) as gold from s group by file_key, sentence)"""
+
+
+@query(f"select raw[i] as raw, gold[i] as gold, count(*) as n from (select raw, gold, unnest(range(1, len(raw) + 1)) as i from {_PAIR_SENTENCES} where len(raw) = len(gold)) group by 1, 2")
+def zipped_pairs(spark, d):
+    return readers.zipped_pairs(readers.pair_sentences(table(spark, d, "noisy_pairs"))).groupBy("raw", "gold").agg(F.count("*").alias("n"))
+
+
+@query("select ex_id, sent_id from examples order by ex_id limit 100")
+def first_sentences(spark, d):
+    return readers.first_sentences(table(spark, d, "examples").select("ex_id", "sent_id"), 100, "ex_id")
+
+
 _SENTENCE_ENDS = lambda c: f"list_distinct(flatten(list_transform({c}, lambda s: list_transform(range(1, len(s) + 1), lambda i: list_sum(list_transform(s[1:i], lambda x: length(x))) + i - 1))))"
 
 

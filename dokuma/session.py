@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ def make_session(app: str = "dokuma", cores: str = "*", partitions: int = 8, mem
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -36,7 +38,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir")
-        if shared is None and not sc.master.startswith("local"):
+        if shared is None and not re.fullmatch(r"local(\[.*\])?", sc.master):  # local-cluster has executors of its own
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "dokuma-checkpoints"))
     return df.checkpoint()
@@ -47,6 +49,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
     A large input has more partitions than that already and passes unchanged; only an input of few files is shuffled.
     """
+    if not hasattr(df, "_jdf"):  # a remote session doesn't tell; its planner decides
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     few = df._jdf.queryExecution().toRdd().getNumPartitions() < cores
     return df.repartition(cores, *keys) if few else df
