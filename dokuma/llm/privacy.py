@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from ..session import checkpointed
 from . import textfold
 from .confusables import FIELDS, fields
+from .pairs import wanted
 
 LEAST_SHARE = 0.5  # of a term's occurrences that the slot explains
 LEAST_BITS = 1.0  # pointwise mutual information with the slot
@@ -265,12 +266,16 @@ def _disclosing(scan: DataFrame) -> DataFrame:
 _TURKISH, _ASCII = "İIıÇçĞğÖöŞşÜüÂâÎîÛû", "iiiccggoossuuaaiiuu"
 
 
-def _neighbours(texts: DataFrame) -> DataFrame:
-    """cls, first, last of all pairs of words with blanks between them, folded natively."""
+def _neighbours(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """cls, first, last of the different pairs of words, blanks between them, whose second one is disclosing. Rows are read
+    as they are; only what such a term makes of them is shuffled."""
     view = F.lower(F.translate("text", _TURKISH, _ASCII))
     pairs = F.regexp_extract_all(view, F.lit("(?<![a-z])(?=([a-z]{3,} {1,3}[a-z]{4,})(?![a-z]))"), F.lit(1))
-    p = texts.select("cls", F.explode(F.array_distinct(pairs)).alias("p"))
-    return p.select("cls", F.substring_index("p", " ", 1).alias("first"), F.substring_index("p", " ", -1).alias("last"))
+    p = rows.select("cls", F.explode(pairs).alias("p"))
+    p = p.select("cls", F.substring_index("p", " ", 1).alias("first"), F.substring_index("p", " ", -1).alias("last"))
+    p = p.where(~F.col("first").isin(*sorted(FIRST_NAMES | BEFORE | AFTER)) & ~F.col("last").isin(*sorted(AFTER)))
+    last = terms.select(F.col("term").alias("last"))
+    return wanted(p, "last", last, "last").join(last, "last").distinct()
 
 
 def _locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -284,33 +289,34 @@ def _locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["cls", "pii_type", "start", "stop"])
 
 
-def _learned(texts: DataFrame, scan: DataFrame, terms: DataFrame) -> DataFrame:
+def _learned(rows: DataFrame, scan: DataFrame, terms: DataFrame) -> DataFrame:
     """cls, pii_type, start, stop of names whose first name is in no list: a word that mostly stands before disclosing
     terms (LEAST_SHARE, LEAST_BITS), and before several different ones (LEAST_CUES)."""
-    p = _neighbours(texts).where(~F.col("first").isin(*sorted(FIRST_NAMES | BEFORE | AFTER)) & ~F.col("last").isin(*sorted(AFTER)))
-    p = p.join(terms.withColumnRenamed("term", "last"), "last")
+    p = checkpointed(_neighbours(rows, terms))
     g = p.groupBy("first").agg(F.count("*").alias("k"), F.countDistinct("last").alias("lasts")).where(F.col("lasts") >= LEAST_CUES)
     totals = scan.where("cls is null").groupBy(F.col("term").alias("first")).agg(F.sum("n").alias("n"))
-    words = totals.agg(F.sum("n")).collect()[0][0] or 0
+    words = scan.where("cls is null").agg(F.sum("n")).collect()[0][0] or 0
     held = g.agg(F.sum("k")).collect()[0][0] or 0
     j = g.join(totals, "first")
     bits = F.log2((F.col("k") / F.col("n")) / F.lit(max(held, 1) / max(words, 1)))
     names = j.where((F.col("k") / F.col("n") >= LEAST_SHARE) & (bits >= LEAST_BITS)).select("first")
-    hits = p.join(names, "first").select("cls", "first", "last").distinct()
-    return hits.join(texts, "cls").select("cls", "text", "first", "last").mapInPandas(_locate, "cls binary, pii_type string, start int, stop int")
+    hits = checkpointed(p.join(names, "first").select("cls", "first", "last"))
+    schema = "cls binary, pii_type string, start int, stop int"
+    if hits.isEmpty():
+        return scan.sparkSession.createDataFrame([], schema)
+    return hits.join(rows, "cls").select("cls", "text", "first", "last").mapInPandas(_locate, schema)
 
 
 def detected(examples: DataFrame) -> DataFrame:
     """ex_id, field_name, pii_type, start, stop of every accepted span. Null and empty fields hold none."""
     f = fields(examples, names=FIELDS)
     cls = F.unhex(F.md5("text"))  # equal texts are read and counted once, however often they were loaded
-    texts = f.select("text").distinct().select(cls.alias("cls"), "text")
-    scan = checkpointed(texts.mapInPandas(_scan, _ROW))
+    scan = checkpointed(f.select("text").distinct().select(cls.alias("cls"), "text").mapInPandas(_scan, _ROW))
     held = scan.where("cls is not null")
     terms = checkpointed(_disclosing(scan))
     columns = ["cls", "pii_type", "start", "stop"]
     s = held.where("term is null").select(*columns).unionByName(held.where("term is not null").join(terms, "term").select(*columns))
-    s = s.unionByName(_learned(texts, scan, terms)).distinct()
+    s = s.unionByName(_learned(f.select(cls.alias("cls"), "text"), scan, terms)).distinct()
     return f.select("ex_id", "field_name", cls.alias("cls")).join(s, "cls").select("ex_id", "field_name", "pii_type", "start", "stop")
 
 

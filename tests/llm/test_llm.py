@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dokuma.llm import abuse, confusables, leakage, mixture, overlap, privacy, terms, textfold, truncation
+from dokuma.llm import pairs as pairs_of
 
 DATA = "/root/testdata/sf0.01"
 EXAMPLES = "ex_id long, split string, domain string, raw_text string, gold_text string, gold_tokens array<string>, value string"
@@ -172,6 +173,15 @@ def test_overlap_against_brute_force(spark):
     assert overlap.found(df.limit(0)).count() == 0
 
 
+def test_wanted_rows(spark):
+    rows = spark.range(5000).select("id", F.col("id").cast("string").alias("s"))
+    pairs = spark.createDataFrame([(3, 4000), (77, 9999)], "a long, b long")
+    got = {r["id"] for r in pairs_of.wanted(rows, "id", pairs, "a", "b").collect()}
+    assert {3, 77, 4000} <= got and len(got) < 20
+    assert {r["s"] for r in pairs_of.wanted(rows, "s", pairs.select(F.col("a").cast("string").alias("s")), "s").collect()} >= {"3", "77"}
+    assert pairs_of.wanted(rows, "id", pairs.limit(0), "a").count() == 0 and pairs_of.wanted(rows.limit(0), "id", pairs, "a").count() == 0
+
+
 # 4
 
 
