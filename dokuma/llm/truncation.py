@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ..session import checkpointed
 from . import textfold
 from .leakage import hashes, windows
+from .pairs import wanted
 
 #: 12 bands of 3 rows: two texts of similarity 0.8 share a band with probability 0.9998.
 BANDS, ROWS, SHINGLE, SIMILAR = 12, 3, 5, 0.8
@@ -258,8 +259,8 @@ def _cut_copies(documents: DataFrame, docs: DataFrame) -> DataFrame:
     a = reps.where("asks").select("cls", "doc_id", "size", F.explode("bands").alias("band"))
     b = reps.select(F.col("doc_id").alias("other_id"), F.col("size").alias("other_size"), F.explode("bands").alias("band"))
     near = (F.col("doc_id") != F.col("other_id")) & (F.least("size", "other_size") >= SIMILAR * F.greatest("size", "other_size"))
-    pairs = a.join(b, "band").where(near).select("cls", "doc_id", "other_id").distinct()
-    text = documents.select("doc_id", "text")
+    pairs = checkpointed(a.join(b, "band").where(near).select("cls", "doc_id", "other_id").distinct())
+    text = wanted(documents.select("doc_id", "text"), "doc_id", pairs, "doc_id", "other_id")
     pairs = pairs.join(text, "doc_id").join(text.withColumnsRenamed({"doc_id": "other_id", "text": "other_text"}), "other_id")
     return pairs.select("cls", "text", "other_text").mapInPandas(_align, "cls long").distinct()
 
