@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from ..session import checkpointed
 from . import textfold
 from .abuse import domain_key
+from .pairs import wanted
 
 LEAST_WORDS = 5
 WINNOW = 4  # rolling hashes of which one is selected
@@ -209,9 +210,9 @@ def class_pairs(m: DataFrame) -> DataFrame:
         & lacks("t", "h")
         & lacks("h", "t")
     )
-    pairs = a.join(b, near).select(F.col("t.rep").alias("rep_a"), F.col("h.rep").alias("rep_b")).distinct()
+    pairs = checkpointed(a.join(b, near).select(F.col("t.rep").alias("rep_a"), F.col("h.rep").alias("rep_b")).distinct())
     classes = classes.withColumn("cls", class_id())
-    text = classes.select("rep", "cls", "words")
+    text = wanted(classes.select("rep", "cls", "words"), "rep", pairs, "rep_a", "rep_b")
     pairs = pairs.join(text.withColumnsRenamed({"rep": "rep_a", "cls": "cls_a", "words": "words_a"}), "rep_a")
     pairs = pairs.join(text.withColumnsRenamed({"rep": "rep_b", "cls": "cls_b", "words": "words_b"}), "rep_b")
     close = pairs.mapInPandas(_verify, "cls_a binary, cls_b binary, coverage double")
