@@ -155,9 +155,15 @@ def sanitize(spark, d):
     return table(spark, d, "examples").select("ex_id", s.alias("sanitized"), chars.compact_ws(s).alias("compact"))
 
 
-@query(r"""select ex_id, regexp_replace(regexp_replace(raw_text, '\s*''\s*', '''', 'g'), '([.,!?;:])([^\s"])', '\1 \2', 'g') as spaced from examples""")
+_TIGHT = r"regexp_replace(raw_text, '\s*''\s*', '''', 'g')"
+
+
+@query(
+    rf"""select ex_id, regexp_replace(regexp_replace({_TIGHT}, '([,!?;:])([^\s"])', '\1 \2', 'g'), '\.([^\s".])', '. \1', 'g') as spaced, regexp_replace({_TIGHT}, '([.,!?;:])([^\s"])', '\1 \2', 'g') as historical from examples"""
+)
 def fix_spacing(spark, d):
-    return table(spark, d, "examples").select("ex_id", chars.fix_spacing(F.col("raw_text"), protect_ellipsis=False).alias("spaced"))
+    c = F.col("raw_text")
+    return table(spark, d, "examples").select("ex_id", chars.fix_spacing(c).alias("spaced"), chars.fix_spacing(c, protect_ellipsis=False).alias("historical"))
 
 
 @query(
