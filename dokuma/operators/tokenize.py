@@ -11,6 +11,7 @@ from ..functions import chars
 VERB_ENDING = "(dı|di|du|dü|tı|ti|tu|tü|yor|muş|miş|acak|ecek)$"
 COPULA = "(dır|dir|dur|dür|tır|tir|tur|tür)$"
 VOWELS = "[aeıioöuüAEIİOÖUÜ]"
+SMALL = 64 << 20
 TAG = r"@(?:mention|smiley|vocative|hashtag|keyword)\[[^\]]*\]"
 
 
@@ -73,14 +74,18 @@ def merge_phrases(docs: DataFrame, phrases: DataFrame, tokens: str = "tokens", k
     """Multi-word expressions merged: leftmost longest match of the ``phrase`` column in each row's tokens, exact case.
 
     Windows of each length are joined with the phrases; overlaps are resolved inside the row. Empty and null rows stay.
+    Rows are shuffled once, by their key; a phrase table of up to ``SMALL`` bytes (counted first) is broadcast to them.
     """
+    docs = docs.repartition(F.col(key))
     words = F.size(chars.ws_tokens(F.col("phrase")))
     known = phrases.select("phrase", words.alias("n")).where("n > 1").distinct()
-    lengths = [r["n"] for r in known.select("n").distinct().orderBy("n").collect()]  # a handful of lengths
+    sizes = known.groupBy("n").agg(F.sum(F.octet_length("phrase") + 64).alias("size")).orderBy("n").collect()  # a handful of lengths
+    lengths = [r["n"] for r in sizes]
     if not lengths:
         return docs
     grams = F.flatten(F.array(*(_grams(tokens, n) for n in lengths)))
     spans = docs.where(F.size(tokens) > 1).select(key, F.explode(grams).alias("g")).select(key, "g.*")
+    known = F.broadcast(known) if sum(r["size"] for r in sizes) <= SMALL else known
     hits = spans.join(known, ["phrase", "n"], "left_semi").groupBy(key).agg(F.array_sort(F.collect_set(F.struct("start", F.negate("n").alias("back")))).alias("spans"))
     # leftmost longest: sorted by start, then longest; a span that begins before the last kept one ends is skipped
     kept = F.aggregate(
