@@ -160,7 +160,7 @@ def _with_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ws = [t.split(" ") for t in pdf["words"]]
         both = [seeds(w) for w in ws]
         yield pd.DataFrame(
-            {"rep": pdf["rep"], "train": pdf["train"], "held": pdf["held"], "n": [len(w) for w in ws], "sketch": [b for _, b in both], "seeds": [s for s, _ in both]}
+            {"rep": pdf["rep"], "n": [len(w) for w in ws], "sketch": [b for _, b in both], "seeds": [s for s, _ in both]}
         )
 
 
@@ -196,9 +196,10 @@ def class_pairs(m: DataFrame) -> DataFrame:
     """(cls_a of train, cls_b of dev or test, coverage): every pair of classes that covers enough, equal ones included."""
     train = F.col("side") == "train"
     classes = m.groupBy("words").agg(F.min("ex_id").alias("rep"), F.max(train).alias("train"), F.max(~train).alias("held"))
-    rows = classes.mapInPandas(_with_seeds, "rep long, train boolean, held boolean, n int, sketch long, seeds array<bigint>")
-    rows = rows.select("rep", "train", "held", "n", "sketch", F.explode("seeds").alias("seed"))
-    side = lambda c: rows.where(c).select("seed", "rep", "n", "sketch").alias(c[0])
+    schema = "rep long, n int, sketch long, seeds array<bigint>"
+    # each side makes the seeds of its own classes
+    seeded = lambda c: classes.where(c).select("rep", "words").mapInPandas(_with_seeds, schema)
+    side = lambda c: seeded(c).select(F.explode("seeds").alias("seed"), "rep", "n", "sketch").alias(c[0])
     a, b = side("train"), side("held")
     longer = F.greatest("t.n", "h.n")
     needed = F.expr(f"({SHARE[0]} * greatest(t.n, h.n) + {SHARE[1] - 1}) div {SHARE[1]}")
