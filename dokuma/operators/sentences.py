@@ -43,11 +43,10 @@ def rule_sentences(c: Column, known: frozenset[str] = ABBREVIATIONS, every_run:
     text is cut at the signs. Null gives null, a blank text an empty array.
     """
     text = F.translate(c, "\n", " ")
-    short = rf"(?<=(?:^|\s)[{QUOTES}]{{0,3}})(?:" + (f"(?iu:{_alternatives(known)})|" if known else "") + f"{INITIALS})"
-    held = f"{URL}|{EMAIL}|{DOTTED}|{short}"
-    between = F.split(text, held, -1)
-    inside = F.transform(F.regexp_extract_all(text, F.lit(f"({held})"), F.lit(1)), lambda x: F.concat(F.translate(x, MARKS, HIDDEN), F.lit(HELD)))
-    text = F.array_join(F.transform(between, lambda x, i: F.concat(x, F.coalesce(F.get(inside, i), F.lit("")))), "")
+    # what looks ahead is cheap and comes first: short forms have their dot near, and few texts hold an address
+    short = rf"(?=[^\s.]{{1,{max((w.index('.') for w in known if '.' in w), default=1)}}}\.)(?<=(?:^|\s)[{QUOTES}]{{0,3}})(?:" + (f"(?iu:{_alternatives(known)})|" if known else "") + f"{INITIALS})"
+    usual = f"{DOTTED}|{short}"
+    text = F.when(text.rlike(r"(?i)https?://|www\.|@"), _hidden(text, f"{URL}|{EMAIL}|{usual}")).otherwise(_hidden(text, usual))
     run = r"[!?]{1,3}" if every_run else r"(?<![!?])(?:!!?|\?{3}|!\?|\?)(?![!?])"
     text = F.regexp_replace(text, rf"(\.{{3}}|…)(?=[ \t]*(?:\p{{Lu}}|\z))", f"$1{MAYBE}")
     text = F.replace(text, F.lit("..."), F.lit(ELLIPSIS))
@@ -57,6 +56,13 @@ def rule_sentences(c: Column, known: frozenset[str] = ABBREVIATIONS, every_run:
     return F.filter(plain, lambda s: s != "")
 
 
+def _hidden(text: Column, held: str) -> Column:
+    """The marks inside of what the pattern holds replaced by hidden ones, and HELD behind it."""
+    between = F.split(text, held, -1)
+    inside = F.transform(F.regexp_extract_all(text, F.lit(f"({held})"), F.lit(1)), lambda x: F.concat(F.translate(x, MARKS, HIDDEN), F.lit(HELD)))
+    return F.array_join(F.transform(between, lambda x, i: F.concat(x, F.coalesce(F.get(inside, i), F.lit("")))), "")
+
+
 def _unquoted(piece: Column) -> Column:
     """Parts of a piece between ellipses; a part goes on with the next one while a quote is open."""
     even = lambda s: F.length(F.regexp_replace(s, "[^'\"]", "")) % 2 == 0

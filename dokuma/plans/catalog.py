@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chars, masks
 from ..operators import corpus, evaluate, features, graph, normalize, records, sentences, stem, tokenize
-from ..session import table
+from ..session import spread, table
 from ..sources import readers
 from . import pipeline
 
@@ -453,7 +453,8 @@ def _rule_sentences_sql() -> str:
 
 @query(_rule_sentences_sql())
 def rule_sentences(spark, d):
-    s = table(spark, d, "documents").where("text is not null").select("doc_id", sentences.rule_sentences(F.col("text")).alias("s"))
+    docs = spread(table(spark, d, "documents").where("text is not null").select("doc_id", "text"))
+    s = docs.select("doc_id", sentences.rule_sentences(F.col("text")).alias("s"))
     return s.select("doc_id", F.size("s").cast("long").alias("sentences"), F.array_join("s", "|").alias("joined"))
 
 
