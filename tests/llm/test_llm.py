@@ -61,6 +61,36 @@ def test_certain_counts(spark):
     assert not abuse.certain_counts(e, m, support=2).words  # none of them makes up half
 
 
+def test_words_run_together_or_set_apart():
+    assert abuse.tokens("s.a.n.a k.u.m.s.u.z d-i-y-o-r-u-m") == ["sana", "kumsuz", "diyorum"]
+    m = abuse.train(SAMPLES, abuse.Counts([["hava", "kumsuz"]] + [["su", "ekmek", "hava"]] * 300), 900)
+    assert m.known(["sanakumsuzdiyorum", "havasuekmek"]) == ["sana", "kumsuz", "diyorum", "havasuekmek"]
+    assert len(m.known(["sana" * 20_000 + "kumsuz"])) == 20_001 and m.known(["sana" * 20_000 + "x"])[0][-1] == "x"  # long tokens end soon
+    assert min(map(m.score, ["evde sanakumsuzdiyorum", "s.a.n.a k.u.m.s.u.z d.i.y.o.r.u.m", "s a n a k u m s u z d i y o r u m"])) > abuse.THRESHOLD
+
+
+def test_typical_counts():
+    found, shared = abuse.Counts([["kem", "kumsuz", "su"]] * 3 + [["az", "kumsuz"]]), abuse.Counts([["kem", "kumsuz", "su"]] * 4 + [["su"], ["az"]] * 40)
+    c = abuse.typical(found, shared)
+    assert dict(c.words) == {"kem": 3, "kumsuz": 4} and dict(c.pairs) == {("kem", "kumsuz"): 3} and c.starts == {"kem"}
+
+
+def test_learned_counts_keep_labelled_evidence():
+    plain, shared = [["hava", "su"]], abuse.Counts([["su", "ekmek", "hava"]] * 300)
+    old = abuse.against(abuse.Counts([["kem", "kumsuz"]] * 5), plain, shared, 900)
+    learned = abuse.Counts([[f"{c}{i}", "kumsuz", f"{c}{i + 1}"] for c in ("kel", "gor", "tin") for i in range(300)])
+    new = abuse.against(abuse.Counts([["kem", "kumsuz"]] * 5), plain, shared, 900, learned)
+    assert new.best(["kem", "kumsuz"]) >= old.best(["kem", "kumsuz"]) > 0
+
+
+@pytest.mark.skipif(not os.path.exists(DATA), reason="no test data")
+def test_abuse_finds_what_is_labelled(spark):
+    large = DATA.replace("sf0.01", "sf0.1")  # the more there is to learn, the more it could outweigh the labelled rows
+    samples = spark.read.parquet(f"{large}/abuse_samples.parquet")
+    m = abuse.fit(samples, spark.read.parquet(f"{large}/examples.parquet"))
+    assert not [t for t, y in samples.select("text", "label").collect() if (m.score(t) >= abuse.THRESHOLD) != bool(y)]
+
+
 @pytest.mark.skipif(not os.path.exists(DATA), reason="no test data")
 def test_abuse_held_out(spark):
     """Whole templates are held out: what their sentences share is in no row that the model is fitted on. Labelled
