@@ -83,6 +83,50 @@ def test_learned_counts_keep_labelled_evidence():
     assert new.best(["kem", "kumsuz"]) >= old.best(["kem", "kumsuz"]) > 0
 
 
+def test_pairs_are_judged_by_their_domains(spark):
+    split = {"sana kumsuz": (160, 40), "kel vezmir": (80, 20), "su ekmek": (4000, 4000), "selam canlar": (200, 0), "kumsuz sayfa": (100, 100), "az once": (8, 2)}
+    rows = [(t, d, n) for t, ns in split.items() for d, n in zip(("iwt", "boun"), ns) if n]
+    terms = spark.createDataFrame(rows, "term string, domain string, n long")
+    finds = abuse.Counts([["sana", "kumsuz"]] * 200)
+    at = abuse.spread(terms, finds)
+    r = abuse.by_domains(terms, at, {"kumsuz"})
+    assert set(r.odds) == {("sana", "kumsuz"), ("kel", "vezmir")} and min(r.odds.values()) > abuse.THRESHOLD
+    assert r.harmless == {("kumsuz", "sayfa")}
+    assert abuse.spread(terms, abuse.Counts()) is None and abuse.spread(terms.where("domain = 'iwt'"), finds) is None
+    own = spark.createDataFrame([(t, f"{i} {j}", 1) for i, (t, k) in enumerate((("sana kumsuz", 200), ("kel kumsuz", 100), ("su ekmek", 2000))) for j in range(k)], terms.schema)
+    r1 = abuse.by_domains(own, abuse.spread(own, finds), {"kumsuz"})  # each text has a domain of its own, which says little
+    assert set(r1.odds) <= set(finds.pairs) and not r1.harmless
+    found = spark.createDataFrame([("budala", "word", "iwt", 80), ("budala", "word", "boun", 20), *((w, "word", d, 30) for w in ("lakap", "bir") for d in ("iwt", "boun"))], "term string, kind string, domain string, n long")
+    assert abuse.harmless_finds(found, at, r, {"bir"}) == r._replace(words={"lakap"})
+
+
+def test_abuse_that_no_label_leads_to(spark):
+    """An expression without a word of the labelled rows is found if it stands where the finds do, and only then."""
+    n = {"Sana kumsuz diyorum": (160, 40), "Kel vezmir gelmiş": (160, 40), "Ekmek su hava. " * 30: (500, 500), "Selam canlar naber": (200, 0), "Ilık rüzgar esti": (100, 100)}
+    texts = [(d, t) for t, ns in n.items() for d, k in zip(("iwt", " BOUN"), ns) for _ in range(k)]
+    e = spark.createDataFrame([(i, *x) for i, x in enumerate(texts)], "ex_id long, domain string, raw_text string")
+    s = spark.createDataFrame([(i, *x) for i, x in enumerate(SAMPLES)], "sample_id long, text string, label int")
+    found = abuse.scored(e, s).where("abusive").join(e.select("ex_id", "raw_text"), "ex_id").groupBy("raw_text").count().collect()
+    assert {(r[0], r[1]) for r in found} == {("Sana kumsuz diyorum", 200), ("Kel vezmir gelmiş", 200)}
+
+
+def test_harmless_pairs_say_nothing():
+    shared = abuse.Counts([["hava", "kumsuz"]] + [["su", "ekmek", "hava"]] * 300)
+    make = lambda domains: abuse.against(abuse.Counts([["sana", "kumsuz", "diyorum"]] * 5), [["hava", "su"]], shared, 900, None, domains)
+    old, new = make(None), make(abuse.Domains({("kel", "vezmir"): 3.0}, {("kumsuz", "sayfa")}, {"lakap"}))
+    assert old.best(["kumsuz", "sayfa"]) > new.best(["kumsuz", "sayfa"]) == 0.0
+    assert old.best(["lakap", "kumsuz"]) > new.best(["lakap", "kumsuz"]) == 0.0
+    assert new.best(["sana", "kumsuz", "diyorum"]) == old.best(["sana", "kumsuz", "diyorum"]) > 0
+    assert new.peak(["kel", "vezmir"]) == (3.0, ["kel", "vezmir"]) and old.best(["kel", "vezmir"]) == 0.0
+
+
+def test_words_are_read_once(spark):
+    texts = ["Bir iki. Üç", "", " ", None, "12 - ?", "s.a.n.a k.u.m.s.u.z"]
+    r = [x["words"] for x in abuse.with_words(examples(spark, texts)).orderBy("ex_id").collect()]
+    assert r == ["bir iki\nuc", None, None, None, "", "sana kumsuz"]
+    assert [abuse.as_read(w) for w in r if w is not None] == [abuse.sentences(t) for t in texts if t and t.strip()]
+
+
 @pytest.mark.skipif(not os.path.exists(DATA), reason="no test data")
 def test_abuse_finds_what_is_labelled(spark):
     large = DATA.replace("sf0.01", "sf0.1")  # the more there is to learn, the more it could outweigh the labelled rows
